@@ -3,5 +3,5 @@
 Importing this package fills ``registry.QUERIES`` and ``registry.ORACLE``.
 """
 
-from sievekit.plans import scoring  # noqa: F401
+from sievekit.plans import reporting, scoring  # noqa: F401
 from sievekit.plans.registry import ORACLE, QUERIES  # noqa: F401

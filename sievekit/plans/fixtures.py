@@ -80,3 +80,53 @@ def with_ctes(*parts: str) -> str:
 
 
 BASE_SQL = with_ctes(EXAMPLES_SQL, RUNS_SQL, PREDICTIONS_SQL, SCORES_SQL)
+
+
+# Predictions of the models retrained on each pruned split, per grid cell
+# (score, type, rate, run): the same closed form with the cell mixed in.
+SCORE_OFFSET = {"pvi": 0, "el2n": 17}
+TYPE_OFFSET = {"easy": 0, "hard": 29}
+RATES = (5, 10, 15, 20, 25, 30, 35, 40, 50, 60)
+
+
+def grid_predictions(ex: DataFrame, n_runs: int = N_RUNS) -> DataFrame:
+    """``(inf_score, prune_type, prune_rate, run, id, y, lang, predicted)``."""
+    spark = ex.sparkSession
+    cells = spark.createDataFrame(
+        [(s, so, t, to, r) for s, so in SCORE_OFFSET.items() for t, to in TYPE_OFFSET.items()
+         for r in RATES], "inf_score string, so int, prune_type string, tpo int, prune_rate int")
+    p1 = ((F.lit(1) + (F.col("id") * 7919 + F.col("run") * 104729 + F.col("prune_rate") * 131
+                       + F.col("so") + F.col("tpo") + F.col("n_chars") * 31) % 97)
+          / F.lit(99).cast("double"))
+    return (ex.select("id", "y", "lang", "n_chars")
+            .crossJoin(F.broadcast(cells)).crossJoin(F.broadcast(runs(spark, n_runs)))
+            .select("inf_score", "prune_type", "prune_rate", "run", "id", "y", "lang",
+                    (p1 >= 0.5).cast("int").alias("predicted")))
+
+
+GRID_PREDS_SQL = """gcells AS (
+  SELECT * FROM (VALUES ('pvi', 0), ('el2n', 17)) AS s(inf_score, so)
+  CROSS JOIN (VALUES ('easy', 0), ('hard', 29)) AS t(prune_type, tpo)
+  CROSS JOIN (VALUES (5), (10), (15), (20), (25), (30), (35), (40), (50), (60)) AS r(prune_rate)),
+gpreds AS (
+  SELECT g.inf_score, g.prune_type, g.prune_rate, r.run, e.id, e.y, e.lang,
+         CAST((1 + (e.id * 7919 + r.run * 104729 + g.prune_rate * 131 + g.so + g.tpo + e.n_chars * 31) % 97)
+              / CAST(99 AS DOUBLE) >= 0.5 AS INTEGER) AS predicted
+  FROM examples e CROSS JOIN gcells g CROSS JOIN runs r)"""
+
+# Base predictions with label, language and loss (natural log) per (id, run).
+BASE_PREDS_SQL = """bpreds AS (
+  SELECT p.id, p.run, e.y, e.lang, CAST(p.p1 >= 0.5 AS INTEGER) AS predicted,
+         -ln(CASE WHEN e.y = 1 THEN p.p1 ELSE 1 - p.p1 END) AS loss
+  FROM preds p JOIN examples e ON p.id = e.id)"""
+
+
+def base_predictions(ex: DataFrame) -> DataFrame:
+    """``(id, run, y, lang, predicted, loss)`` with loss = -ln p(y|x)."""
+    from sievekit.functions.scores import prob_of
+    pr = predictions(ex)
+    return (pr.join(ex.select("id", "y", "lang"), "id")
+            .select("id", "run", "y", "lang", "predicted", (-F.log(prob_of("probs", "y"))).alias("loss")))
+
+
+REPORT_SQL = with_ctes(EXAMPLES_SQL, RUNS_SQL, PREDICTIONS_SQL, BASE_PREDS_SQL, GRID_PREDS_SQL)
