@@ -86,7 +86,7 @@ def prior_bits(n_class, n_total) -> Column:
     return -F.log2(col(n_class) / col(n_total).cast("double"))
 
 
-def natural_mi(counts_with, class_totals, total) -> Column:
+def natural_mi(counts_with, class_totals) -> Column:
     """Mutual information (natural log) between a binary feature and the label.
 
     ``counts_with``: array of n(y, z=1) per class; ``class_totals``: array of

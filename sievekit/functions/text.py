@@ -19,7 +19,9 @@ from sievekit.functions._util import col
 # punctuation (\p{P}), these ASCII symbols are split off as single tokens.
 ASCII_SYMBOLS_AS_PUNCT = "$+<=>^`|~"
 PUNCT_CLASS = r"[\p{P}" + "$+<=>^`|~" + r"]"
-WORD_PATTERN = PUNCT_CLASS + r"|[^\s\p{P}" + "$+<=>^`|~" + r"]+"
+# A word is a run of characters that are not blank (ASCII \s or Unicode
+# separators \p{Z}), not control characters and not punctuation.
+WORD_PATTERN = PUNCT_CLASS + r"|[^\s\p{Z}\p{Cc}\p{P}" + "$+<=>^`|~" + r"]+"
 MASK_TOKEN = "[MASK]"
 ASCII_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"  # Python string.punctuation
 

@@ -14,7 +14,7 @@ from sievekit.sources.tables import table
 
 # DuckDB spellings of the Spark expressions used below.
 TOK_SQL = ("regexp_extract_all(lower(strip_accents(COALESCE({x}, ''))), "
-           "'[\\p{{P}}$+<=>^`|~]|[^\\s\\p{{P}}$+<=>^`|~]+')")
+           "'[\\p{{P}}$+<=>^`|~]|[^\\s\\p{{Z}}\\p{{Cc}}\\p{{P}}$+<=>^`|~]+')")
 
 
 def tok_sql(x: str) -> str:
