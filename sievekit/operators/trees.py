@@ -1,7 +1,8 @@
 """Parse-tree explosion: bracketed tree strings → one row per subtree.
 
-The only per-row Python in the shortcut pipeline: a UDTF parses each tree
-string once and emits its nodes in **post-order** with
+The only per-row Python in the shortcut pipeline: each tree string is parsed
+once (Arrow batches in, columnar batches out) and its nodes are emitted in
+**post-order** with
 
 ``node_no, root, tpl, yield, depth, n_leaves, lhs, rhs, node``
 
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +33,7 @@ from pyspark.sql.functions import udtf
 
 _TOKEN = re.compile(r"\(|\)|[^\s()]+")
 _WS = re.compile(r"\s+")
+_WS_OTHER = re.compile(r"[^\S ]")  # whitespace other than a blank
 EPSILON = "ϵ"
 
 NODE_SCHEMA = ("node_no int, root string, tpl string, yield string, depth int, "
@@ -78,52 +81,62 @@ def _split_side(s: str) -> tuple[str, str]:
 
 
 def nodes(tree, scfg: bool = False):
-    """Post-order node records of a parsed tree (see module doc)."""
+    """Post-order node records of a parsed tree (see module doc):
+    ``(node_no, root, tpl, yield, depth, n_leaves, lhs, rhs, node, n_children)``."""
     out = []
-    # iterative post-order: (node, state) where state 0 = expand, 1 = emit
-    work = [(tree, 0)]
-    done: dict[int, tuple] = {}  # id(node) -> (tpl, span, depth, n_leaves)
+    work = [(tree, False)]  # iterative post-order: (node, children done?)
+    done: dict[int, tuple] = {}  # id(node) -> (tpl, raw span, depth, n_leaves)
     while work:
-        node, state = work.pop()
+        node, expanded = work.pop()
         label, children = node
-        if state == 0:
-            work.append((node, 1))
+        if len(children) == 1 and isinstance(children[0], str):  # pre-terminal fast path
+            w = children[0]
+            if scfg:
+                a, b = _split_side(w)
+                raw = (a + "/" + b).replace("_", "")
+            else:
+                raw = w.replace("_", "")
+            tpl = "(" + label + " *)"
+            done[id(node)] = (tpl, raw, 1, 1)
+            out.append((tpl, raw, 1, 1, label, "(" + repr(w) + ",)", label + " -> '" + w + "'", 1))
+            continue
+        if not expanded:
+            work.append((node, True))
             for ch in reversed(children):
                 if not isinstance(ch, str):
-                    work.append((ch, 0))
+                    work.append((ch, False))
             continue
-        parts, spans = [label], []
-        depth, leaves = 0, 0
-        child_names = []
+        parts, spans, names = [label], [], []
+        depth = leaves = 0
         for ch in children:
             if isinstance(ch, str):
                 parts.append("*")
                 spans.append(ch)
                 leaves += 1
-                child_names.append(repr(ch))
+                names.append(repr(ch))
             else:
                 tpl_c, span_c, depth_c, leaves_c = done.pop(id(ch))
                 parts.append(tpl_c)
                 spans.append(span_c)
-                depth = max(depth, depth_c)
+                if depth_c > depth:
+                    depth = depth_c
                 leaves += leaves_c
-                child_names.append(ch[0])
+                names.append(ch[0])
         tpl = "(" + " ".join(parts) + ")"
         if scfg:
-            ls, rs = zip(*(_split_side(x) for x in spans)) if spans else ((), ())
-            span = (" ".join(ls) + "/" + " ".join(rs)).replace("_", "")
+            sides = [_split_side(x) for x in spans]
+            raw = (" ".join(a for a, _ in sides) + "/" + " ".join(b for _, b in sides)).replace("_", "")
         else:
-            span = " ".join(spans).replace("_", "")
-        done[id(node)] = (tpl, span, depth + 1, leaves)
-        rhs = "(" + ", ".join(child_names) + ("," if len(child_names) == 1 else "") + ")"
+            raw = " ".join(spans).replace("_", "")
+        done[id(node)] = (tpl, raw, depth + 1, leaves)
+        rhs = "(" + ", ".join(names) + ("," if len(names) == 1 else "") + ")"
         if len(children) == 1:
-            nd = f"{label} -> '{children[0] if isinstance(children[0], str) else children[0][0]}'"
-        elif len(children) >= 2:
-            a, b = children[0], children[1]
-            nd = f"{label} -> {a if isinstance(a, str) else a[0]} {b if isinstance(b, str) else b[0]}"
+            nd = f"{label} -> '{names[0]}'"
+        elif children:
+            nd = f"{label} -> {_name(children[0])} {_name(children[1])}"
         else:
             nd = f"{label} ->"
-        out.append([tpl, span, depth + 1, leaves, label, rhs, nd, len(children)])
+        out.append((tpl, raw, depth + 1, leaves, label, rhs, nd, len(children)))
     if not out or out[-1][3] == 0:
         return []
     rows = []
@@ -134,15 +147,26 @@ def nodes(tree, scfg: bool = False):
                 span = w + EPSILON
             elif w.startswith("/"):
                 span = EPSILON + w
-        span = _WS.sub(" ", span)
-        root = tpl[1:tpl.index(" ")] if " " in tpl else ""
-        rows.append((k, root, tpl, span, depth, leaves, label, rhs, nd, n_ch))
+        if "  " in span or _WS_OTHER.search(span):
+            span = _WS.sub(" ", span)
+        sp = tpl.find(" ")
+        rows.append((k, tpl[1:sp] if sp >= 0 else "", tpl, span, depth, leaves, label, rhs, nd, n_ch))
     return rows
 
 
+def _name(ch) -> str:
+    return ch if isinstance(ch, str) else ch[0]
+
+
+NODE_COLS = ["node_no", "root", "tpl", "yield", "depth", "n_leaves", "lhs", "rhs", "node", "n_children"]
+NODE_FIELDS = [T.StructField(c, T.IntegerType() if c in ("node_no", "depth", "n_leaves", "n_children")
+                             else T.StringType()) for c in NODE_COLS]
+
+
 @udtf(returnType=NODE_SCHEMA, useArrow=True)
 class ExplodeTree:
-    """``explode_tree(tree, scfg)`` — one row per subtree, post-order."""
+    """``explode_tree(tree, scfg)`` — one row per subtree, post-order (for SQL
+    ``LATERAL`` use; ``tree_nodes`` uses the faster columnar path)."""
 
     def eval(self, tree: str, scfg: bool):
         t = parse(tree)
@@ -152,19 +176,50 @@ class ExplodeTree:
 
 
 @F.pandas_udf(T.BooleanType())
-def tree_parse_ok(trees):  # pandas Series[str] -> Series[bool]
-    import pandas as pd
+def tree_parse_ok(trees: pd.Series) -> pd.Series:
     return pd.Series([parse(t) is not None for t in trees])
 
 
+def _explode_batches(keep: list[str], scfg: bool):
+    def run(batches):
+        import pandas as pd
+        for pdf in batches:
+            out = {c: [] for c in keep + NODE_COLS}
+            kept = [pdf[c].tolist() for c in keep]
+            for i, tree in enumerate(pdf["_tree"].tolist()):
+                t = parse(tree)
+                if t is None:
+                    continue
+                rows = nodes(t, scfg)
+                if not rows:
+                    continue
+                n = len(rows)
+                for c, vals in zip(keep, kept):
+                    out[c].extend([vals[i]] * n)
+                for j, c in enumerate(NODE_COLS):
+                    out[c].extend([r[j] for r in rows])
+            if out["node_no"]:  # an all-unparsable batch yields nothing
+                yield pd.DataFrame(out, columns=keep + NODE_COLS)
+    return run
+
+
 def tree_nodes(df: DataFrame, tree_col: str = "tree", scfg: bool = False,
-               keep: list[str] | None = None) -> DataFrame:
-    """Lateral explosion of ``tree_col``: ``keep`` columns (default all but the
-    tree) + the node columns.  Runs per row in Arrow batches; partitions stay
-    where they are (no shuffle)."""
+               keep: list[str] | None = None, partitions: int | None = None) -> DataFrame:
+    """Explode ``tree_col`` into node rows: ``keep`` columns (default all but
+    the tree) + the node columns.
+
+    Arrow batches in, columnar batches out (``mapInPandas``): no per-row
+    Python object crosses the JVM boundary.  Parsing is CPU-bound Python, so
+    ``partitions`` optionally spreads the trees round-robin over that many
+    tasks first (an input read as one large split would otherwise run in one
+    task); partitioning of the input is otherwise kept."""
     keep = keep if keep is not None else [c for c in df.columns if c != tree_col]
     base = df.select(*keep, F.col(tree_col).alias("_tree"))
-    return base.lateralJoin(ExplodeTree(F.col("_tree").outer(), F.lit(bool(scfg)))).drop("_tree")
+    if partitions:
+        base = base.repartition(partitions)
+    fields = [f for f in base.schema.fields if f.name in keep]
+    schema = T.StructType(fields + NODE_FIELDS)
+    return base.mapInPandas(_explode_batches(keep, bool(scfg)), schema)
 
 
 def count_unparsed(df: DataFrame, tree_col: str = "tree") -> DataFrame:

@@ -73,19 +73,23 @@ def _trees(spark, sf):
 
 
 def _nodes(spark, sf):
-    return TR.tree_nodes(_trees(spark, sf), "tree")
+    # parsing is CPU-bound Python: spread the trees over every core first
+    return TR.tree_nodes(_trees(spark, sf), "tree", partitions=spark.sparkContext.defaultParallelism)
 
 
 def _incidence(spark, sf):
-    return SC.feature_incidence(_nodes(spark, sf))
+    """The incidence table is used several times per query (MI, top-K, group
+    incidence): materialise it once with a reliable checkpoint."""
+    return SC.feature_incidence(_nodes(spark, sf)).checkpoint(eager=True)
 
 
-def _fmi(spark, sf):
-    return SC.feature_mi(_incidence(spark, sf), _examples(spark, sf))
+def _fmi(spark, sf, inc=None):
+    inc = inc if inc is not None else _incidence(spark, sf)
+    return SC.feature_mi(inc, _examples(spark, sf))
 
 
-def _topk(spark, sf, k=K_TOP):
-    return SC.topk_features(_fmi(spark, sf), k)
+def _topk(spark, sf, k=K_TOP, inc=None):
+    return SC.topk_features(_fmi(spark, sf, inc), k)
 
 
 _NODE_COLS = ["node_no", "root", "tpl", "yield", "depth", "n_leaves"]
@@ -264,7 +268,8 @@ def _group_cols(g):
 
 
 def _merged(spark, sf, by_template=False):
-    return SC.merge_by_majority(_incidence(spark, sf), _examples(spark, sf), _topk(spark, sf),
+    inc = _incidence(spark, sf)
+    return SC.merge_by_majority(inc, _examples(spark, sf), _topk(spark, sf, inc=inc),
                                 by_template=by_template)
 
 
@@ -384,13 +389,14 @@ sc AS (SELECT g.group_key, g.group_j,
        JOIN acc a ON a.id = g.id GROUP BY g.group_key, g.group_j)"""
 
 
-def _sc(spark, sf):
+def _sc(spark, sf, with_ginc=False):
     inc = _incidence(spark, sf)
     ex = _examples(spark, sf)
-    topk = _topk(spark, sf)
+    topk = _topk(spark, sf, inc=inc)
     groups = SC.merge_by_majority(inc, ex, topk)
     ginc = SC.group_incidence(inc, SC.group_members(topk, [0, 1]))
-    return groups, SC.support_counter_accuracy(ginc, groups, _acc(spark, sf))
+    sc = SC.support_counter_accuracy(ginc, groups, _acc(spark, sf))
+    return (groups, sc, ginc) if with_ginc else (groups, sc)
 
 
 @register("support_counter_accuracy", _SC_SQL + """
@@ -420,9 +426,7 @@ def q_apply_groups(spark, sf):
 SELECT g.id AS uid, g.group_key, g.group_j, g.y = gr.majority AS support, g.y <> gr.majority AS counter
 FROM ginc g JOIN groups gr ON g.group_key = gr.group_key AND g.group_j = gr.group_j""")
 def q_group_flags(spark, sf):
-    groups, _ = _sc(spark, sf)
-    topk = _topk(spark, sf)
-    ginc = SC.group_incidence(_incidence(spark, sf), SC.group_members(topk, [0, 1]))
+    groups, _, ginc = _sc(spark, sf, with_ginc=True)
     j = ginc.join(groups.select("group_key", "group_j", "majority"), ["group_key", "group_j"])
     return j.select("uid", "group_key", "group_j", (F.col("y") == F.col("majority")).alias("support"),
                     (F.col("y") != F.col("majority")).alias("counter"))
@@ -461,9 +465,7 @@ SELECT CASE WHEN {_PHASE.replace('id', 'g.id')} = 'test' THEN 'test' ELSE 'train
 FROM ginc g JOIN groups gr ON g.group_key = gr.group_key AND g.group_j = gr.group_j JOIN acc a ON a.id = g.id
 GROUP BY 1, 2""")
 def q_split_accuracy(spark, sf):
-    groups, _ = _sc(spark, sf)
-    topk = _topk(spark, sf)
-    ginc = SC.group_incidence(_incidence(spark, sf), SC.group_members(topk, [0, 1]))
+    groups, _, ginc = _sc(spark, sf, with_ginc=True)
     j = (ginc.join(groups.select("group_key", "group_j", "majority"), ["group_key", "group_j"])
          .join(_acc(spark, sf), "uid"))
     return (j.withColumn("split", _phase()).withColumn("is_support", F.col("y") == F.col("majority"))
