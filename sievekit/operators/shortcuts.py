@@ -228,12 +228,15 @@ def subtree_to_ngram_pair(yield_col) -> tuple[Column, Column]:
 
 
 def ngrams(tokens, max_n: int) -> Column:
-    """All contiguous n-grams, n = 1..max_n, as arrays."""
+    """All contiguous n-grams, n = 1..max_n, as arrays (texts shorter than n
+    give no n-grams of that size)."""
     t = F.col(tokens) if isinstance(tokens, str) else tokens
-    per_n = [F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - n + 1, F.lit(0))),
-                         lambda i, n=n: F.slice(t, i, n)) for n in range(1, max_n + 1)]
-    # sequence(1, 0) yields [1, 0]; keep only full-length slices
-    return F.filter(F.flatten(F.array(*per_n)), lambda g: F.size(g) > 0)
+
+    def of_size(n):
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(t), F.lit(1))),
+                          lambda i: i + (n - 1) <= F.size(t))
+        return F.transform(starts, lambda i: F.slice(t, i, n))
+    return F.flatten(F.array(*[of_size(n) for n in range(1, max_n + 1)]))
 
 
 def pair_ngram_features(pairs: DataFrame, patterns: DataFrame, id_col: str = "uid",
