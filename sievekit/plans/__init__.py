@@ -3,5 +3,5 @@
 Importing this package fills ``registry.QUERIES`` and ``registry.ORACLE``.
 """
 
-from sievekit.plans import editing, learning, mining, relational, reporting, scoring, textual  # noqa: F401
+from sievekit.plans import editing, learning, mining, relational, reporting, scoring, storage, textual  # noqa: F401
 from sievekit.plans.registry import ORACLE, QUERIES  # noqa: F401
