@@ -285,3 +285,86 @@ def explode_examples(roots: DataFrame, examples_col: str = "Examples") -> DataFr
     """Split a group's ``Examples`` string on ``,`` into trimmed patterns."""
     return roots.select("*", F.explode(F.split(F.col(examples_col), ",")).alias("_p")).withColumn(
         "pattern", F.trim("_p")).drop("_p").filter(F.col("pattern") != "")
+
+
+# ------------------------------------------------------------- greedy merge
+def merge_greedy(incidence: DataFrame, examples: DataFrame, topk: DataFrame, by_template: bool = False,
+                 label_col: str = "y", id_col: str = "uid") -> DataFrame:
+    """Greedy merge of top-K features into groups per key (root label, or the
+    whole template).
+
+    Features of a key are visited in MI order.  Each key starts with one empty
+    group of MI 0.  A feature joins the group whose MI after the OR is best
+    (score = sign(new − old) · new, first group on ties) unless every score
+    is negative, in which case it opens a new group.
+
+    The walk is sequential per key but keys are independent: step s handles
+    the s-th feature of **every** key at once with distributed joins —
+    intersections of the feature's examples with each group's members give
+    the union counts — and the group state (≤ K rows) and the membership
+    table are written with a reliable checkpoint after each step, so lineage
+    stays one step long.  Steps = the most features any key has."""
+    spark = incidence.sparkSession
+    labs = label_list(class_totals(examples, label_col), label_col)
+    labels = [x for x, _ in labs]
+    tot = F.array(*[F.lit(int(n)).cast("long") for _, n in labs])
+    key = F.col("tpl") if by_template else root_label("tpl")
+    members = (topk.select("tpl", "yield", "topk_no", key.alias("group_key"))
+               .withColumn("step", F.row_number().over(Window.partitionBy("group_key").orderBy("topk_no"))))
+    feat = (incidence.join(members.select("tpl", "yield", "group_key", "step"), ["tpl", "yield"])
+            .select(id_col, label_col, "group_key", "step").distinct().checkpoint(eager=True))
+
+    def counts_of(df, keys):
+        return df.groupBy(*keys).agg(F.array(*[F.sum(F.when(F.col(label_col) == F.lit(lab), 1).otherwise(0))
+                                               .cast("long") for lab in labels]).alias("counts"))
+    fcounts = counts_of(feat, ["group_key", "step"]).checkpoint(eager=True)
+    zero = F.array(*[F.lit(0).cast("long") for _ in labels])
+    groups = (members.select("group_key").distinct()
+              .select("group_key", F.lit(0).alias("g"), zero.alias("counts"), F.lit(0.0).alias("mi"))
+              .checkpoint(eager=True))
+    member_of = spark.createDataFrame([], f"{id_col} {incidence.schema[id_col].dataType.simpleString()}, "
+                                          f"group_key string, g int")
+    assigned = None
+    max_step = members.agg(F.max("step")).first()[0] or 0  # one scalar: the number of steps
+    for s in range(1, max_step + 1):
+        fs = feat.filter(F.col("step") == s).select(id_col, label_col, "group_key")
+        fc = fcounts.filter(F.col("step") == s).select("group_key", F.col("counts").alias("fc"))
+        inter = counts_of(fs.join(member_of, [id_col, "group_key"]), ["group_key", "g"]) \
+            .withColumnRenamed("counts", "ic")
+        cand = (groups.join(fc, "group_key").join(inter, ["group_key", "g"], "left")
+                .withColumn("ic", F.coalesce("ic", zero))
+                .withColumn("uc", F.zip_with(F.zip_with("counts", "fc", lambda a, b: a + b), "ic",
+                                             lambda a, b: a - b))
+                .withColumn("new_mi", natural_mi("uc", tot))
+                .withColumn("score", F.signum(F.col("new_mi") - F.col("mi")) * F.col("new_mi")))
+        wk = Window.partitionBy("group_key")
+        best = (cand.withColumn("_r", F.row_number().over(wk.orderBy(F.col("score").desc(), "g")))
+                .withColumn("_max_score", F.max("score").over(wk))
+                .withColumn("_max_g", F.max("g").over(wk))
+                .filter(F.col("_r") == 1))
+        opens = F.col("_max_score") < 0
+        decision = best.select(
+            "group_key",
+            F.when(opens, F.col("_max_g") + 1).otherwise(F.col("g")).alias("g"),
+            F.when(opens, F.col("fc")).otherwise(F.col("uc")).alias("counts"),
+            F.when(opens, natural_mi("fc", tot)).otherwise(F.col("new_mi")).alias("mi")).checkpoint(eager=True)
+        groups = (groups.join(decision.select("group_key", "g"), ["group_key", "g"], "left_anti")
+                  .unionByName(decision).checkpoint(eager=True))
+        new_members = fs.join(decision.select("group_key", "g"), "group_key").select(id_col, "group_key", "g")
+        member_of = member_of.unionByName(new_members).distinct().checkpoint(eager=True)
+        step_assign = decision.select("group_key", F.lit(s).alias("step"), "g")
+        assigned = step_assign if assigned is None else assigned.unionByName(step_assign)
+    lab = F.array(*[F.lit(x) for x in labels])
+    plus = F.transform("counts", lambda x: (x + 1).cast("double"))
+    out = (groups.withColumn("count", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x))
+           .withColumn("majority", _argmax_first(F.col("counts")))
+           .withColumn("majority_label", F.element_at(lab, F.col("majority") + 1))
+           .withColumn("pct_majority", F.array_max(plus) / F.aggregate(plus, F.lit(0.0), lambda a, x: a + x)))
+    if assigned is not None:
+        lists = (assigned.join(members.select("group_key", "step", "yield"), ["group_key", "step"])
+                 .groupBy("group_key", "g").agg(F.transform(F.sort_array(F.collect_list(F.struct("step", "yield"))),
+                                                            lambda x: x["yield"]).alias("members")))
+        out = out.join(lists, ["group_key", "g"], "left")
+    else:
+        out = out.withColumn("members", F.array().cast("array<string>"))
+    return out.withColumn("examples", F.array_join(F.coalesce("members", F.array().cast("array<string>")), ", "))

@@ -476,3 +476,102 @@ def q_split_accuracy(spark, sf):
 @register("yield_equals", TREES_SQL + "SELECT DISTINCT id AS uid, tpl FROM nodes WHERE yield = 'the'")
 def q_yield_equals(spark, sf):
     return _nodes(spark, sf).filter(F.col("yield") == "the").select("uid", "tpl").distinct()
+
+
+@register("merge_greedy")
+def q_merge_greedy(spark, sf):
+    """Greedy MI merge of the top-10 features per root label."""
+    inc = _incidence(spark, sf)
+    topk = SC.topk_features(SC.feature_mi(inc, _examples(spark, sf)), 10)
+    g = SC.merge_greedy(inc, _examples(spark, sf), topk)
+    return g.select("group_key", "g", r6("mi").alias("mi"), "count", "counts", "examples")
+
+
+def _pair_nodes(spark, sf):
+    """Synchronous trees over conversation pairs: premise words ``w/`` and
+    hypothesis words ``/v`` under one root."""
+    from sievekit.operators import text as OT
+    from sievekit.sources.tables import table
+    pairs = OT.conversation_pairs(table(spark, sf, "conversations"))
+    t = pairs.select("uid", (F.col("turn") % 2).cast("int").alias("y"),
+                     TX.tokens_basic("premise").alias("a_tokens"), TX.tokens_basic("hypothesis").alias("b_tokens"))
+    trees = t.select("uid", "y", "a_tokens", "b_tokens", TR.pair_tree("a_tokens", "b_tokens").alias("tree"))
+    return t, TR.tree_nodes(trees.select("uid", "y", "tree"), "tree", scfg=True,
+                            partitions=spark.sparkContext.defaultParallelism)
+
+
+@register("subtree_features_scfg")
+def q_subtree_features_scfg(spark, sf):
+    """Synchronous-grammar features ``(tpl, yield)`` per pair (set semantics)."""
+    _, n = _pair_nodes(spark, sf)
+    return SC.feature_incidence(n).select("uid", "tpl", "yield")
+
+
+@register("subtree_to_ngram_pair")
+def q_subtree_to_ngram_pair(spark, sf):
+    """Synchronous yields split at the last ``/`` into (left n-gram, right n-gram)."""
+    _, n = _pair_nodes(spark, sf)
+    u, v = SC.subtree_to_ngram_pair("yield")
+    return n.select("uid", "node_no", "yield", u.alias("u"), v.alias("v"))
+
+
+def _pair_patterns(spark, sf, k=20):
+    """Groups of n-gram twins from the top synchronous features: every top
+    feature of depth ≤ 2 is one group holding its (u, v) pair."""
+    t, n = _pair_nodes(spark, sf)
+    inc = SC.feature_incidence(n).checkpoint(eager=True)
+    ex = t.select(F.col("uid").alias("id"), "y")
+    top = SC.topk_features(SC.feature_mi(inc, ex), k)
+    u, v = SC.subtree_to_ngram_pair("yield")
+    pats = top.select(F.col("topk_no").alias("group"), u.alias("u"), v.alias("v"))
+    pats = pats.withColumn("u", F.when(F.col("u") == F.array(F.lit("")), F.array(F.lit("ϵ"))).otherwise(F.col("u")))
+    return t, pats
+
+
+@register("pair_ngram_features")
+def q_pair_ngram_features(spark, sf):
+    """Pairs holding group i's premise n-gram u and hypothesis n-gram v."""
+    t, pats = _pair_patterns(spark, sf)
+    return SC.pair_ngram_features(t, pats)
+
+
+@register("hypothesis_ngram_features")
+def q_hypothesis_ngram_features(spark, sf):
+    """Pairs whose hypothesis holds group i's n-gram v."""
+    t, pats = _pair_patterns(spark, sf)
+    return SC.hypothesis_ngram_features(t, pats)
+
+
+@register("equivalent_group_tables")
+def q_equivalent_group_tables(spark, sf):
+    """The same top groups seen through two feature families — subtree
+    features and plain n-grams of the group's example words — side by side:
+    Count, p(y|z) with +1, support and counter accuracy and their drop."""
+    from sievekit.operators import joins as J
+    groups, sc, _ = _sc(spark, sf, with_ginc=True)
+    fam1 = groups.join(sc, ["group_key", "group_j"], "left").select(
+        "group_key", "group_j", F.lit("Subtrees").alias("family"), "count", "counts", "majority",
+        "support_acc", "counter_acc")
+    # second family: documents containing any of the group's example words
+    ex = _examples(spark, sf)
+    pats = J.explode_examples(groups).select("group_key", "group_j", "pattern")
+    toks = ex.select("id", "y", F.explode(F.array_distinct(TX.tokens_basic("text"))).alias("pattern"))
+    hits = toks.join(pats, "pattern").select("id", "y", "group_key", "group_j").distinct()
+    acc = _acc(spark, sf).withColumnRenamed("uid", "id")
+    lab = [0, 1]
+    cnt = hits.groupBy("group_key", "group_j").agg(F.array(*[F.sum(F.when(F.col("y") == v, 1).otherwise(0))
+                                                            .cast("long") for v in lab]).alias("counts"))
+    maj = fam1.select("group_key", "group_j", "majority")
+    sc2 = (hits.join(maj, ["group_key", "group_j"]).join(acc, "id")
+           .groupBy("group_key", "group_j").agg(
+               F.avg(F.when(F.col("y") == F.col("majority"), F.col("acc").cast("double"))).alias("support_acc"),
+               F.avg(F.when(F.col("y") != F.col("majority"), F.col("acc").cast("double"))).alias("counter_acc")))
+    fam2 = (cnt.join(maj, ["group_key", "group_j"]).join(sc2, ["group_key", "group_j"], "left")
+            .withColumn("count", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x))
+            .select("group_key", "group_j", F.lit("Words").alias("family"), "count", "counts", "majority",
+                    "support_acc", "counter_acc"))
+    both = fam1.unionByName(fam2)
+    p = (F.element_at("counts", F.col("majority") + 1) + 1) / (F.col("count") + F.lit(len(lab))).cast("double")
+    return both.select("group_key", "group_j", "family", "count", r6(p).alias("p_y_given_z"),
+                       r6("support_acc").alias("support"), r6("counter_acc").alias("counter"),
+                       r6(F.col("support_acc") - F.col("counter_acc")).alias("drop"))
