@@ -242,3 +242,11 @@ def q_ngram_mutual_information(spark, sf):
     f = SC.feature_mi(inc, X.examples(spark, sf))
     return f.select(F.col("tpl").alias("ngram"), F.element_at("counts", 1).alias("n0"),
                     F.element_at("counts", 2).alias("n1"), r6("mi").alias("mi"))
+
+
+@register("submodular_prune")
+def q_submodular_prune(spark, sf):
+    """§2.E entry point of diversity pruning: per-class facility-location
+    selection at every prune rate (see ``submodular_prune_per_class``)."""
+    p = SL.submodular_prune(_emb(spark, sf), RATES, by=["label"])
+    return p.select("prune_rate", "label", "id")

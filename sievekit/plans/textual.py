@@ -380,3 +380,41 @@ def q_weighted_loss(spark, sf):
           "SELECT id, CASE WHEN y = 1 THEN 'toxic' ELSE 'non-toxic' END AS type FROM examples")
 def q_type_from_label(spark, sf):
     return X.examples(spark, sf).select("id", TX.type_from_label("y", "toxic", "non-toxic").alias("type"))
+
+
+# A user table of emoji aliases (fixed values for the check).
+EMOJI_ALIASES = [("\U0001F642", "slightly_smiling_face"), ("\U0001F621", "pouting_face"),
+                 ("\U0001F44D", "thumbs_up"), ("❤️", "red_heart")]
+_EMOJI_MARKED = "text || ' \U0001F642 ok \U0001F44D\U0001F621 ❤️'"
+
+
+def _demojize_sql() -> str:
+    x = _EMOJI_MARKED
+    for e, a in sorted(EMOJI_ALIASES, key=lambda p: -len(p[0])):
+        x = f"replace({x}, '{e}', ':{a}:')"
+    return f"SELECT doc_id, {x} AS text FROM documents"
+
+
+@register("demojize", _demojize_sql())
+def q_demojize(spark, sf):
+    """Emoji → ``:alias:`` from a user alias table (checked size, broadcast to
+    an Arrow-batched replacement)."""
+    d = _docs(spark, sf).select("doc_id", F.concat(F.col("text"), F.lit(" \U0001F642 ok \U0001F44D\U0001F621 ❤️"))
+                                .alias("text"))
+    aliases = spark.createDataFrame(EMOJI_ALIASES, "emoji string, alias string")
+    return OT.demojize(d, "text", aliases).select("doc_id", "text")
+
+
+@register("stream_clean", f"""
+SELECT doc_id, {{clean}} AS clean, CAST(len({tok_sql("{clean}")}) AS INTEGER) AS n_tokens FROM documents""".replace(
+    "{clean}", "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\\\[USER\\\\]*\\\\s*', '', 'g'), '^\\\\s+', ''), '\\\\s+$', ''), '\\\\[URL\\\\]*\\\\s*', '', 'g'), '^\\\\s+', ''), '\\\\s+$', ''), '\\\\[USER\\\\]*\\\\s*\\\\[URL\\\\]*', '', 'g'), '^\\\\s+', ''), '\\\\s+$', '')"))
+def q_stream_clean(spark, sf):
+    """Documents streamed through the cleaning operators (Structured
+    Streaming, ``availableNow``), read back from the parquet sink."""
+    from sievekit.sources.files import scratch_path
+    from sievekit.streaming.clean import run_clean_stream
+    src, sink, ck = (scratch_path(spark, n) for n in ("stream_src", "stream_sink", "stream_ckpt"))
+    docs = _docs(spark, sf).select("doc_id", "text")
+    docs.write.mode("overwrite").parquet(src)
+    run_clean_stream(spark, src, sink, ck, docs.schema)
+    return spark.read.parquet(sink).select("doc_id", "clean", "n_tokens")
