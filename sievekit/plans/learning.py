@@ -120,8 +120,14 @@ vocab AS (
   FROM (SELECT * FROM cnt ORDER BY count DESC, word LIMIT 19996))"""
 
 
+def _docs_spread(spark, sf):
+    """Documents spread over every task before CPU-bound tokenisation."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return table(spark, sf, "documents").repartition(n, "doc_id")
+
+
 def _vocab(spark, sf):
-    return MD.build_vocabulary(table(spark, sf, "documents"), ["text"])
+    return MD.build_vocabulary(_docs_spread(spark, sf), ["text"])
 
 
 @register("build_vocabulary", X.with_ctes(_VOCAB_SQL) + "SELECT word, id, count FROM vocab")
