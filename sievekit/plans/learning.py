@@ -203,19 +203,20 @@ def q_retrain_grid(spark, sf):
 
 
 _ATTR_SQL = f"""attr AS (SELECT id, y, {tok_sql('text')} AS t FROM examples),
-ex2 AS (SELECT y, unnest(t) AS token, unnest(list_transform(t, lambda w, i: (length(w) % 5 - 2) * 0.1::DOUBLE * ((i - 1) % 3))) AS s
+ex2 AS (SELECT y, unnest(t) AS token, unnest(list_transform(t, lambda w, i: (length(w) % 5 - 2) * ((i - 1) % 3))) AS s
         FROM attr)"""
 
 
 @register("token_attribution_stats", X.with_ctes(X.EXAMPLES_SQL, _ATTR_SQL) + """
-SELECT y, token, round(avg(s), 6) AS mean_score, COUNT(*) AS count FROM ex2 GROUP BY y, token""")
+SELECT y, token, round(avg(s) / CAST(10 AS DOUBLE), 6) AS mean_score, COUNT(*) AS count FROM ex2 GROUP BY y, token""")
 def q_token_attribution_stats(spark, sf):
     """Per-token score statistics per label from aligned (tokens, scores)
-    arrays; scores here are a closed-form stand-in for gradient saliency."""
+    arrays; scores here are a closed-form stand-in for gradient saliency,
+    carried in integer units of 0.1 so sums are exact in any order."""
     ex = X.examples(spark, sf).withColumn("tokens", TX.tokens_basic("text"))
-    ex = ex.withColumn("scores", F.transform("tokens", lambda w, i: ((F.length(w) % 5) - 2) * 0.1 * (i % 3)))
+    ex = ex.withColumn("scores", F.transform("tokens", lambda w, i: ((F.length(w) % 5) - 2) * (i % 3)))
     t = MD.token_attribution_stats(ex, "tokens", "scores", "y")
-    return t.select("y", "token", r6("mean_score").alias("mean_score"), "count")
+    return t.select("y", "token", r6(F.col("mean_score") / F.lit(10.0)).alias("mean_score"), "count")
 
 
 _NG_SQL = f"""toks AS (SELECT id, y, {tok_sql('text')} AS t FROM examples),
