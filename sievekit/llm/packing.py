@@ -1,11 +1,12 @@
 """Sum-of-squares packing of tokenised documents into fixed-length sequences.
 
 Documents become token ids; longer ones than a sequence are cut.  Pieces are
-dealt at random into blocks of bounded size, and every block is packed by the
-sum-of-squares rule: a piece goes where the sum of the squared counts of open
-bins per residual gap becomes smallest, ties to the tightest fit.  The partly
-filled bins that blocks leave behind are items of a second, far smaller packing
-by the same rule, so few sequences are lost to the blocking.
+dealt at random into blocks of bounded size, and every block is packed, longest
+piece first, by the sum-of-squares rule: a piece goes into the open bin for which
+the sum of the squared counts of open bins per residual gap becomes smallest,
+ties to the tightest fit, and opens a bin only where none fits.  Bins that blocks
+leave at most half full are items of a second, far smaller packing by the same
+rule, so few sequences are lost to the blocking.
 """
 
 from __future__ import annotations
@@ -112,24 +113,22 @@ def sum_of_squares(sizes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarra
     """(bin, offset) of each size, in the order given.
 
     ``count[g]`` open bins have gap g.  Moving a bin from gap g to g - s changes
-    the sum of squares by 2 (count[g - s] - count[g]) + 2, a full bin (gap 0) and
-    the unopened bin counting as empty classes; the smallest change wins, the
+    the sum of squares by 2 (count[g - s] - count[g]) + 2, and filling it (a full
+    bin is no longer open) by 1 - 2 count[g]; the smallest change wins, the
     tightest gap among equals.
     """
     count = np.zeros(limit + 1, dtype=np.int64)
     open_: list[list[int]] = [[] for _ in range(limit + 1)]
     where, offset, n_bins = np.empty(len(sizes), dtype=np.int64), np.empty(len(sizes), dtype=np.int64), 0
+    never = np.iinfo(np.int64).max
     for i, s in enumerate(sizes.tolist()):
-        rest = limit - s
-        best, gap = (2 * int(count[rest]) + 1 if rest else 0), limit
-        if rest:
-            have = count[s:limit]
-            change = 2 * (count[:rest] - have) + 2
+        have = count[s:limit]
+        gap = limit
+        if have.any():
+            change = 2 * (count[:limit - s] - have) + 2
             change[0] = 1 - 2 * have[0]
-            change[have == 0] = np.iinfo(np.int64).max
-            k = int(change.argmin())
-            if have[k] and change[k] <= best:
-                gap = s + k
+            change[have == 0] = never
+            gap = s + int(change.argmin())
         if gap == limit:
             b = n_bins
             n_bins += 1
@@ -151,7 +150,7 @@ _PLACED = pa.schema([("block", pa.int64()), ("item", pa.string()), ("length", pa
 def _pack_block(limit: int):
     def pack(table: pa.Table) -> pa.Table:
         import pyarrow.compute as pc
-        table = table.take(pc.sort_indices(table, sort_keys=[("order", "ascending"), ("item", "ascending")]))
+        table = table.take(pc.sort_indices(table, sort_keys=[("length", "descending"), ("item", "ascending")]))
         size = table.column("length").to_numpy()
         where, offset = sum_of_squares(size, limit)
         used = np.bincount(where, weights=size).astype(np.int64)[where]
@@ -162,11 +161,9 @@ def _pack_block(limit: int):
 
 
 def _blocked(items: DataFrame, n: int, per_block: int, limit: int) -> DataFrame:
-    """Pack ``item, length`` in ceil(n / per_block) random blocks; ``order`` is a hash too, as the
-    rule is at its best when sizes arrive at random."""
+    """Pack ``item, length`` in ceil(n / per_block) blocks, dealt by a hash of the name."""
     blocks = max(1, -(-n // per_block))
-    dealt = items.select("item", "length", F.pmod(F.xxhash64("item", F.lit(1)), F.lit(blocks)).alias("block"),
-                         F.xxhash64("item", F.lit(2)).alias("order"))
+    dealt = items.select("item", "length", F.pmod(F.xxhash64("item"), F.lit(blocks)).alias("block"))
     return dealt.groupBy("block").applyInArrow(_pack_block(limit), PLACED)
 
 
@@ -180,7 +177,7 @@ def pack(items: DataFrame, limit: int = SEQUENCE, per_block: int = BLOCK) -> Dat
     first = stash(_blocked(items.where(F.col("length") < limit), n, per_block, limit), "packed")
     bin_ = F.concat_ws(".", "block", "bin")
     bins = first.where("offset = 0").select(bin_.alias("item"), F.col("used").alias("length"))
-    loose = bins.where(F.col("length") < limit)
+    loose = bins.where(F.col("length") <= limit // 2)  # of two bins that can be joined, one is
     n_loose = loose.count()
     again = stash(_blocked(loose, n_loose, per_block, limit), "repacked")
     to = again.select(F.col("item").alias("b"), F.concat_ws(".", F.lit("r"), "block", "bin").alias("seq"),

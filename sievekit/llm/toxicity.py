@@ -1,8 +1,9 @@
 """Toxic passages by maximum-scoring segments of token log-odds.
 
 Word weights are log-odds between toxic and other training texts under an
-informative Dirichlet prior whose counts come from the whole corpus; a word with
-no evidence of its own leans on its stem (its first letters).  A linear scan
+informative Dirichlet prior whose counts come from the whole corpus (a token
+counts once per text, so that one repetitive text proves nothing); a word with no
+evidence of its own leans on its longest known stem (its first letters).  A linear scan
 finds every maximal segment of positive total.  Segment scores follow an
 extreme-value law in clean text; its parameters, fitted on clean training texts,
 turn the scores into expectations, whose aggregate is calibrated to the
@@ -25,12 +26,13 @@ from sievekit.llm._common import fold_of, rows, stash
 from sievekit.llm._words import sliced
 
 WORD = re.compile(r"[^\W\d_]+")
-#: Letters of a stem.
-STEM = 5
+#: Letters of stems, longest first.
+STEMS = (5, 4)
 #: Weights the model may hold: the largest by evidence.
 MAX_WEIGHTS = 100_000
-#: Mass of the corpus prior, in tokens, and the least evidence (z-score) of a weight.
-PRIOR = 1000.0
+#: Mass of the corpus prior, as a share of the labelled tokens, and the least evidence
+#: (z-score) of a weight.
+PRIOR = 0.2
 LEAST_Z = 3.0
 #: What any other token adds to a segment: toxic passages are dense.
 DRIFT = -0.25
@@ -40,9 +42,9 @@ def tokens(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def stem(word: str) -> str:
-    """The stem token of a word ("" if it is too short for one); ``~`` keeps stems and words apart."""
-    return "~" + word[:STEM] if len(word) > STEM else ""
+def stems(word: str) -> list[str]:
+    """The stem tokens of a word, longest first; ``~`` and the length keep stems and words apart."""
+    return [f"~{k}{word[:k]}" for k in STEMS if len(word) > k]
 
 
 _COUNT = pa.schema([("token", pa.string()), ("label", pa.int32()), ("n", pa.int64())])
@@ -53,13 +55,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in sliced(batches, limit=8 << 20):
         by: dict[int, Counter] = {}
         for text, label in zip(b.column("text").to_pylist(), b.column("label").to_pylist()):
-            by.setdefault(label, Counter()).update(tokens(text or ""))
+            words = set(tokens(text or ""))
+            c = by.setdefault(label, Counter())
+            c.update(words)
+            for k in STEMS:
+                c.update({f"~{k}{w[:k]}" for w in words if len(w) > k})
         for label, c in by.items():
-            stems: Counter = Counter()
-            for w, n in c.items():
-                if s := stem(w):
-                    stems[s] += n
-            c.update(stems)
             yield rows(_COUNT, token=list(c), label=[label] * len(c), n=list(c.values()))
 
 
@@ -67,17 +68,18 @@ def weights(labelled: DataFrame, corpus: DataFrame) -> DataFrame:
     """``token, delta, z`` of tokens with at least ``LEAST_Z`` of evidence.
 
     delta = log-odds(toxic) - log-odds(other) with Dirichlet pseudo-counts
-    alpha_w = PRIOR * corpus share of w, z = delta over its standard deviation."""
+    alpha_w = PRIOR * labelled tokens * corpus share of w, z = delta over its standard deviation."""
     marked = (corpus.select(F.col("text"), F.lit(-1).alias("label"))
               .unionByName(labelled.select("text", F.col("label").cast("int").alias("label"))))
     counts = marked.mapInArrow(_count, "token string, label int, n bigint")
     of = lambda k: F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0))
     table = stash(counts.groupBy("token").agg(of(1).alias("y1"), of(0).alias("y0"), of(-1).alias("c"))
-                  .withColumn("stem", F.col("token").startswith("~")), "tokens")
+                  .withColumn("stem", F.when(F.col("token").startswith("~"), F.substring("token", 2, 1)).otherwise("")), "tokens")
     totals = table.groupBy("stem").agg(F.sum("y1").alias("n1"), F.sum("y0").alias("n0"), F.sum("c").alias("nc"))
-    t = table.where("y1 + y0 > 0").join(F.broadcast(totals), "stem")  # two rows
-    a = F.lit(PRIOR) * (F.col("c") + 1) / (F.col("nc") + 1)
-    odds = lambda y, n: F.log((F.col(y) + a) / (F.col(n) + PRIOR - F.col(y)))
+    t = table.where("y1 + y0 > 0").join(F.broadcast(totals), "stem")  # a row for words and one per stem length
+    mass = PRIOR * (F.col("n1") + F.col("n0"))
+    a = mass * (F.col("c") + 1) / (F.col("nc") + 1)
+    odds = lambda y, n: F.log((F.col(y) + a) / (F.col(n) + mass - F.col(y) - a))
     delta = odds("y1", "n1") - odds("y0", "n0")
     sd = F.sqrt(1 / (F.col("y1") + a) + 1 / (F.col("y0") + a))
     return (t.select("token", delta.alias("delta"), (delta / sd).alias("z"))
@@ -93,8 +95,10 @@ class ToxicModel:
     chance: tuple[float, ...] = (0.0,)      # probability of label 1 in each step
 
     def value(self, word: str) -> float:
-        got = self.weight.get(word)
-        return got if got is not None else self.weight.get(stem(word), DRIFT)
+        for token in (word, *stems(word)):
+            if token in self.weight:
+                return self.weight[token]
+        return DRIFT
 
     def segments(self, words: list[str]) -> list[tuple[int, int, float]]:
         """Every maximal scoring segment (first, end, score) of the words, linear in
@@ -102,7 +106,8 @@ class ToxicModel:
         weight = self.weight
         if not weight:
             return []
-        hot = [i for i, w in enumerate(words) if w in weight or w[:STEM] in self._heads and stem(w) in weight]
+        heads = self._heads
+        hot = [i for i, w in enumerate(words) if w in weight or w[:STEMS[-1]] in heads and self.value(w) != DRIFT]
         found: list[list[float]] = []       # first, end, cumulative before, cumulative after
         total, last = 0.0, 0
         for i in hot:
@@ -128,7 +133,7 @@ class ToxicModel:
     def _heads(self) -> set[str]:
         got = self.__dict__.get("_h")
         if got is None:
-            got = self.__dict__["_h"] = {t[1:] for t in self.weight if t.startswith("~")}
+            got = self.__dict__["_h"] = {t[2:2 + STEMS[-1]] for t in self.weight if t.startswith("~")}
         return got
 
     def evidence(self, segments: list[tuple[int, int, float]], n: int) -> float:
