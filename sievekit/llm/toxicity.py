@@ -2,7 +2,7 @@
 
 Word weights are log-odds between toxic and other training texts under an
 informative Dirichlet prior whose counts come from the whole corpus (a token
-counts once per text, so that one repetitive text proves nothing); a word with no
+counts once per text, and copies of a text count once between them); a word with no
 evidence of its own leans on its longest known stem (its first letters).  A linear scan
 finds every maximal segment of positive total.  Segment scores follow an
 extreme-value law in clean text; its parameters, fitted on clean training texts,
@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievekit.llm._common import fold_of, rows, stash
-from sievekit.llm._words import sliced
+from sievekit.llm._words import U64, mix64, sliced
+from sievekit.llm.neardup import shingle_sets
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Letters of stems, longest first.
@@ -32,8 +33,12 @@ STEMS = (5, 4)
 MAX_WEIGHTS = 100_000
 #: Mass of the corpus prior, as a share of the labelled tokens, and the least evidence
 #: (z-score) of a weight.
-PRIOR = 0.2
+PRIOR = 0.05
 LEAST_Z = 3.0
+#: The evidence asked for grows with the tokens tried, as sqrt(2 log(tokens / TRIED)).
+TRIED = 100
+#: Standard deviations by which a weight is drawn towards 0, so that chance finds weigh little.
+CAUTION = 2.0
 #: What any other token adds to a segment: toxic passages are dense.
 DRIFT = -0.25
 
@@ -47,43 +52,76 @@ def stems(word: str) -> list[str]:
     return [f"~{k}{word[:k]}" for k in STEMS if len(word) > k]
 
 
-_COUNT = pa.schema([("token", pa.string()), ("label", pa.int32()), ("n", pa.int64())])
+_COUNT = pa.schema([("token", pa.string()), ("label", pa.int32()), ("n", pa.float64())])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from collections import Counter
     for b in sliced(batches, limit=8 << 20):
         by: dict[int, Counter] = {}
-        for text, label in zip(b.column("text").to_pylist(), b.column("label").to_pylist()):
+        for text, label, one in zip(*(b.column(c).to_pylist() for c in ("text", "label", "one"))):
             words = set(tokens(text or ""))
-            c = by.setdefault(label, Counter())
-            c.update(words)
-            for k in STEMS:
-                c.update({f"~{k}{w[:k]}" for w in words if len(w) > k})
+            if one == 1.0:
+                c = by.setdefault(label, Counter())
+                c.update(words)
+                for k in STEMS:
+                    c.update({f"~{k}{w[:k]}" for w in words if len(w) > k})
+            else:
+                c = by.setdefault(label, Counter())
+                for w in words.union(*({f"~{k}{w[:k]}" for w in words if len(w) > k} for k in STEMS)):
+                    c[w] += one
         for label, c in by.items():
             yield rows(_COUNT, token=list(c), label=[label] * len(c), n=list(c.values()))
 
 
+#: Seeds of the signatures that find copies among training texts.
+SEEDS = (1, 2, 3)
+
+
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("h", pa.int64()), ("seed", pa.int32()), ("m", pa.int64())])
+    for b in sliced(batches):
+        out = []
+        for h, s in zip(b.column("h").to_pylist(), shingle_sets(b.column("text"))):
+            if len(s):
+                out += [(h, k, int(mix64(s ^ U64(k * 0x9E3779B97F4A7C15 % 2**64)).min().view(np.int64))) for k in SEEDS]
+        yield rows(schema, **dict(zip(schema.names, map(list, zip(*out)))) if out else {n: [] for n in schema.names})
+
+
+def unique_share(labelled: DataFrame) -> DataFrame:
+    """``labelled`` (text, label) with ``one``: 1 over the number of texts that share the
+    least shingle under one of the seeds, so that a text and its copies count about once."""
+    t = labelled.withColumn("h", F.xxhash64("text"))
+    signs = stash(t.select("h", "text").mapInArrow(_sign, "h bigint, seed int, m bigint"), "signs")
+    crowd = signs.groupBy("seed", "m").agg(F.count("*").alias("n")).where("n > 1")
+    worst = signs.join(crowd, ["seed", "m"]).groupBy("h").agg(F.max("n").alias("n"))
+    return t.join(worst, "h", "left").select("text", "label", (1 / F.coalesce("n", F.lit(1))).alias("one"))
+
+
 def weights(labelled: DataFrame, corpus: DataFrame) -> DataFrame:
-    """``token, delta, z`` of tokens with at least ``LEAST_Z`` of evidence.
+    """``token, delta, z`` of tokens with at least ``LEAST_Z`` of evidence; delta is drawn
+    towards 0 by ``CAUTION`` standard deviations.
 
     delta = log-odds(toxic) - log-odds(other) with Dirichlet pseudo-counts
     alpha_w = PRIOR * labelled tokens * corpus share of w, z = delta over its standard deviation."""
-    marked = (corpus.select(F.col("text"), F.lit(-1).alias("label"))
-              .unionByName(labelled.select("text", F.col("label").cast("int").alias("label"))))
-    counts = marked.mapInArrow(_count, "token string, label int, n bigint")
-    of = lambda k: F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0))
+    marked = (corpus.select(F.col("text"), F.lit(-1).alias("label"), F.lit(1.0).alias("one"))
+              .unionByName(unique_share(labelled.select("text", F.col("label").cast("int").alias("label")))))
+    counts = marked.mapInArrow(_count, "token string, label int, n double")
+    of = lambda k: F.round(F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0)), 6)
     table = stash(counts.groupBy("token").agg(of(1).alias("y1"), of(0).alias("y0"), of(-1).alias("c"))
                   .withColumn("stem", F.when(F.col("token").startswith("~"), F.substring("token", 2, 1)).otherwise("")), "tokens")
-    totals = table.groupBy("stem").agg(F.sum("y1").alias("n1"), F.sum("y0").alias("n0"), F.sum("c").alias("nc"))
+    totals = table.groupBy("stem").agg(F.sum("y1").alias("n1"), F.sum("y0").alias("n0"), F.sum("c").alias("nc"),
+                                       F.count_if(F.col("y1") + F.col("y0") > 0).alias("tried"))
     t = table.where("y1 + y0 > 0").join(F.broadcast(totals), "stem")  # a row for words and one per stem length
     mass = PRIOR * (F.col("n1") + F.col("n0"))
     a = mass * (F.col("c") + 1) / (F.col("nc") + 1)
     odds = lambda y, n: F.log((F.col(y) + a) / (F.col(n) + mass - F.col(y) - a))
     delta = odds("y1", "n1") - odds("y0", "n0")
     sd = F.sqrt(1 / (F.col("y1") + a) + 1 / (F.col("y0") + a))
-    return (t.select("token", delta.alias("delta"), (delta / sd).alias("z"))
-            .where(F.abs("z") >= LEAST_Z))
+    sure = delta - F.signum(delta) * CAUTION * sd
+    least = F.sqrt(F.greatest(F.lit(LEAST_Z ** 2), 2 * F.log(F.greatest(F.col("tried"), F.lit(1)) / TRIED)))
+    return (t.select("token", sure.alias("delta"), (delta / sd).alias("z"), least.alias("least"))
+            .where(F.abs("z") >= F.col("least")).drop("least"))
 
 
 @dataclass
@@ -109,11 +147,12 @@ class ToxicModel:
         heads = self._heads
         hot = [i for i, w in enumerate(words) if w in weight or w[:STEMS[-1]] in heads and self.value(w) != DRIFT]
         found: list[list[float]] = []       # first, end, cumulative before, cumulative after
-        total, last = 0.0, 0
+        total, last, met = 0.0, 0, set()
         for i in hot:
             total += DRIFT * (i - last)
             last = i + 1
-            v = self.value(words[i])
+            v = DRIFT if words[i] in met else self.value(words[i])   # a token tells once per text, as in training
+            met.add(words[i])
             before, total = total, total + v
             if v <= 0:
                 continue
@@ -166,7 +205,7 @@ def _fit_law(rows_: list, model: ToxicModel) -> None:
     model.rate = (len(scores) + 1) / (n + 1)
 
 
-def _calibrate(rows_: list, model: ToxicModel, steps: int = 12) -> None:
+def _calibrate(rows_: list, model: ToxicModel, steps: int = 24) -> None:
     """Isotonic steps of P(label 1 | evidence): pool texts by evidence, then merge
     neighbours until the shares rise."""
     ev = np.array([model.evidence([(0, 0, s) for s in r["segments"]], r["n"]) for r in rows_])
