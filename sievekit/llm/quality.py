@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from sievekit.llm._common import fold_of, rows, stash
 from sievekit.llm._words import BLANK, Words, sliced
-from sievekit.llm.toxicity import training_rows
 
 FEATURES = ("log_words", "log_word_bytes", "word_bytes_spread", "symbols", "punctuation", "upper", "digits",
             "non_ascii", "pipes", "short_words", "distinct_words", "top_word", "repeated_bigrams", "line_words",
@@ -124,8 +123,8 @@ _PART = pa.schema([("label", pa.int32()), ("cell", pa.int32()), ("v", pa.float64
 
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     d = len(FEATURES)
-    for b in sliced(batches):
-        x, y = statistics(b.column("text")), b.column("label").to_numpy()
+    for b in batches:
+        x, y = _matrix(b.column("x")), b.column("label").to_numpy()
         for c in (0, 1):
             s = x[y == c]
             if len(s):
@@ -133,11 +132,27 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield rows(_PART, label=np.full(len(v), c), cell=np.arange(1 + d + d * d), v=v)
 
 
-def fit(labelled: DataFrame) -> Discriminant:
-    """From every ``text, label`` row: counts, sums and products are added up by Spark,
-    only the two classes' totals reach the driver."""
+def _matrix(col: pa.Array) -> np.ndarray:
+    return col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), len(FEATURES))
+
+
+def measure(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` columns with ``x``, the statistics of each whole text."""
+    def run(batches):
+        for b in sliced(batches):
+            x = statistics(b.column("text"))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(list(x), pa.list_(pa.float64()))],
+                                             names=[*keep, "x"])
+    kinds = dict(docs.dtypes)
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(
+        run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", x array<double>")
+
+
+def fit(measured: DataFrame) -> Discriminant:
+    """From every ``x, label`` row: counts, sums and products are added up by Spark, only
+    the two classes' totals reach the driver."""
     d = len(FEATURES)
-    got = (labelled.select("text", "label").mapInArrow(_moments, "label int, cell int, v double")
+    got = (measured.select("x", "label").mapInArrow(_moments, "label int, cell int, v double")
            .groupBy("label", "cell").agg(F.sum("v").alias("v")).collect())
     flat = {c: np.zeros(1 + d + d * d) for c in {r["label"] for r in got}}
     for r in got:
@@ -145,30 +160,35 @@ def fit(labelled: DataFrame) -> Discriminant:
     return Discriminant.from_moments({c: (v[0], v[1:1 + d], v[1 + d:].reshape(d, d)) for c, v in flat.items()})
 
 
-def predict(docs: DataFrame, model: Discriminant, keep: list[str], wordless: float = 0.0) -> DataFrame:
+def predict(measured: DataFrame, model: Discriminant, keep: list[str], wordless: float = 0.0) -> DataFrame:
     """``keep`` columns with ``score``; texts without a word get ``wordless``."""
-    handle = docs.sparkSession.sparkContext.broadcast(model)
+    handle = measured.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = handle.value
-        for b in sliced(batches):
-            x = statistics(b.column("text"))
+        for b in batches:
+            x = _matrix(b.column("x"))
             s = np.where(x.any(axis=1), m.score(x), wordless)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(s)], names=[*keep, "score"])
-    kinds = dict(docs.dtypes)
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(
-        run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", score double")
+    kinds = dict(measured.dtypes)
+    return measured.select(*keep, "x").mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", score double")
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, cut: float = 0.3) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``docs``.
 
     Labels train only where crc32(doc_id) modulo ``folds`` is not ``held`` (a null id
-    counts as remainder 0).  Null, empty and blank texts score 0.  Repeated rows
-    score alike; an empty table gives no rows; without labels every text with a
-    word scores near 0.5; other columns are ignored."""
+    counts as remainder 0); an id that ``labels`` repeats trains once for each distinct
+    label.  Null, empty and blank texts score 0.  Repeated rows score alike; an empty
+    table gives no rows; without labels every text with a word scores near 0.5; other
+    columns are ignored.  Texts are read once and never shuffled: only their
+    statistics meet the labels."""
     own = docs.select("doc_id", F.col("text").cast("string").alias("text"),
                       (fold_of(F.col("doc_id"), folds) == held).alias("held_out"))
-    model = fit(stash(training_rows(own.where(~F.col("held_out")), labels, "quality"), "quality-train"))
-    return predict(own, model, ["doc_id", "held_out"]).select(
+    measured = stash(measure(own, ["doc_id", "held_out"]), "quality")
+    y = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("label")) \
+        .where(F.col("label").isin(0, 1)).distinct()
+    train = measured.where(~F.col("held_out"))
+    model = fit(train.join(y, train["doc_id"] == y["_id"]))
+    return predict(measured, model, ["doc_id", "held_out"]).select(
         "doc_id", "held_out", "score", (F.col("score") >= cut).cast("int").alias("predicted"))

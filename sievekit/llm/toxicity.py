@@ -190,10 +190,6 @@ class ToxicModel:
 
 
 _SCAN = pa.schema([("label", pa.int32()), ("n", pa.int64()), ("best", pa.float64()), ("segments", pa.list_(pa.float64()))])
-#: Training texts read for the fit of the law and its calibration, at most.
-FIT_TEXTS = 50_000
-
-
 def _fit_law(rows_: list, model: ToxicModel) -> None:
     """lambda and K by maximum likelihood from clean texts' segment scores: scores
     over 0 fall off as exp(-lambda s), K is their number per token."""
@@ -228,10 +224,10 @@ def _calibrate(rows_: list, model: ToxicModel, steps: int = 24) -> None:
 
 
 def fit(labelled: DataFrame, corpus: DataFrame) -> ToxicModel:
-    """Weights from all labelled rows and all of the corpus; the law and the
-    calibration from at most ``FIT_TEXTS`` labelled rows (those of smallest hash).
+    """Weights from the labelled rows and all of the corpus; law and calibration from the
+    labelled rows.
 
-    ``labelled``: text, label; ``corpus``: text.  Without positive labels the
+    ``labelled``: text, label (bounded by ``MAX_LABELS``); ``corpus``: text.  Without positive labels the
     model scores every text 0."""
     got = weights(labelled, corpus).orderBy(F.abs("z").desc(), "token").limit(MAX_WEIGHTS).collect()
     model = ToxicModel({r["token"]: float(r["delta"]) for r in got})
@@ -245,9 +241,8 @@ def fit(labelled: DataFrame, corpus: DataFrame) -> ToxicModel:
                 seg = [s for *_, s in plain.segments(w)]
                 out.append((label, len(w), max(seg, default=0.0), seg))
             yield rows(_SCAN, **dict(zip(_SCAN.names, map(list, zip(*out)))))
-    sample = (labelled.select("text", F.col("label").cast("int").alias("label"), F.xxhash64("text").alias("h"))
-              .orderBy("h", "label").limit(FIT_TEXTS).drop("h"))
-    seen = sample.mapInArrow(scan, "label int, n bigint, best double, segments array<double>").collect()
+    seen = labelled.select("text", F.col("label").cast("int").alias("label")).mapInArrow(
+        scan, "label int, n bigint, best double, segments array<double>").toArrow().to_pylist()
     _fit_law(seen, model)
     _calibrate(seen, model)
     return model
@@ -284,23 +279,30 @@ def passages(docs: DataFrame, model: ToxicModel, keep: list[str]) -> DataFrame:
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """``text, label`` of rows with a 0 or 1 label; an id that ``labels`` repeats
-    trains once for each distinct label, null ids and labels not at all."""
+#: Labelled documents the model is fitted on, at most (those whose ids hash lowest).
+MAX_LABELS = 200_000
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int) -> DataFrame:
+    """``text, label`` of documents with a 0 or 1 label outside the held-out fold; an id
+    that ``labels`` repeats trains once for each distinct label, null ids and labels
+    not at all.  The label table is cut to ``MAX_LABELS`` rows, so its broadcast has
+    a fixed bound and no text is shuffled."""
     y = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("label")) \
-        .where(F.col("label").isin(0, 1)).distinct()
-    return docs.join(y, docs["doc_id"] == y["_id"]).select(docs["text"], "label")
+        .where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id"), folds) != held)).distinct()
+    y = y.orderBy(F.xxhash64("_id"), "_id", "label").limit(MAX_LABELS)
+    return docs.join(F.broadcast(y), docs["doc_id"] == y["_id"]).select(docs["text"], "label")
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, cut: float = 0.7) -> DataFrame:
     """``doc_id, held_out, score, predicted, n_passages`` for every row of ``docs``.
 
-    Labels train only where crc32(doc_id) modulo ``folds`` is not ``held``; null ids
-    are never held out and carry no label.  Repeated rows score alike; an empty
+    Labels train only where crc32(doc_id) modulo ``folds`` is not ``held`` (at most
+    ``MAX_LABELS``); null ids are never held out and carry no label.  Repeated rows score alike; an empty
     table gives no rows; other columns are ignored."""
     own = docs.select("doc_id", F.col("text").cast("string").alias("text"),
                       (fold_of(F.col("doc_id"), folds) == held).alias("held_out"))
-    train = stash(training_rows(own.where(~F.col("held_out")), labels, "toxic"), "toxic-train")
+    train = stash(training_rows(own, labels, "toxic", folds, held), "toxic-train")
     model = fit(train, own)
     out = passages(own, model, ["doc_id", "held_out"])
     return out.select("doc_id", "held_out", "score", (F.col("score") >= cut).cast("int").alias("predicted"),
