@@ -12,13 +12,22 @@ from pyspark.sql import functions as F
 from sievekit.session import ensure_checkpoint_dir
 
 
-def stash(df: DataFrame, tag: str, rebalance: bool = False) -> DataFrame:
+#: Spark's own switch that drops a statement's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stash(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet below the session's checkpoint folder and read it
     back: lineage is cut on storage every executor sees, and later readers get
-    column pruning."""
+    column pruning.  The shuffle files of the write are not needed again and go."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

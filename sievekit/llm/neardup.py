@@ -94,28 +94,47 @@ def bucket_frequencies(docs: DataFrame) -> np.ndarray:
     return out
 
 
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("rare", pa.list_(pa.int64())), ("row", pa.int64())])
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("node", pa.int64())])
 
 
-def sketches(docs: DataFrame, frequency: np.ndarray) -> DataFrame:
-    """``doc_id, n, node, rare, row``: set size, name of the set (a 64-bit digest, null if
-    it is empty), its rarest shingles, and the row's own name as it came."""
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in sliced(batches):
+        sets = shingle_sets(b.column("text"))
+        yield rows(_SKETCH, doc_id=b.column("doc_id"), row=b.column("row"), n=[len(s) for s in sets],
+                   node=[_name(s) for s in sets])
+
+
+#: Set names a task remembers so as to hand equal sets on once.
+SEEN = 200_000
+
+
+def incidence(docs: DataFrame, frequency: np.ndarray) -> DataFrame:
+    """``h, node, n``: each set with its rarest shingles, a row per (shingle, set); equal
+    sets are dropped within a task first, then where their rows meet."""
     handle = docs.sparkSession.sparkContext.broadcast(frequency)
+    schema = pa.schema([("h", pa.int64()), ("node", pa.int64()), ("n", pa.int64())])
 
     def run(batches):
-        freq = handle.value
+        freq, seen = handle.value, set()
         for b in sliced(batches):
-            node, n, rare = [], [], []
+            h, node, n = [], [], []
             for s in shingle_sets(b.column("text")):
-                n.append(len(s))
-                node.append(_name(s))
+                name = _name(s)
+                if name is None or name in seen:
+                    continue
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(name)
                 least = required(len(s))
                 keep = len(s) - least + min(NEED, least)
                 order = np.argsort(freq[(s & U64(BUCKETS - 1)).astype(np.int64)], kind="stable")[:keep]
-                rare.append(s[order].view(np.int64))
-            yield rows(_SKETCH, doc_id=b.column("doc_id"), n=n, node=node, rare=rare, row=b.column("row"))
-    return docs.select("doc_id", "text", "row").mapInArrow(
-        run, "doc_id bigint, n bigint, node bigint, rare array<bigint>, row bigint")
+                h.append(s[order].view(np.int64))
+                node.append(np.full(keep, name, dtype=np.int64))
+                n.append(np.full(keep, len(s), dtype=np.int64))
+            if h:
+                yield rows(schema, h=np.concatenate(h), node=np.concatenate(node), n=np.concatenate(n))
+    return (docs.select("text").mapInArrow(run, "h bigint, node bigint, n bigint")
+            .repartition("h").dropDuplicates(["h", "node"]))
 
 
 def _near_sizes(a, b):
@@ -221,13 +240,12 @@ def near_duplicates(docs: DataFrame, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = own.withColumn("row", F.xxhash64("doc_id", "text"))
-    sketch = stash(sketches(own, bucket_frequencies(own)), "sketch")
+    sketch = stash(own.select("doc_id", "row", "text").mapInArrow(_sketch, "doc_id bigint, row bigint, n bigint, node bigint"), "sketch")
     nodes = stash(sketch.where("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("least"), F.min("row").alias("row"), F.first("n").alias("n"),
-        F.first("rare").alias("rare")), "nodes")
+        F.min("doc_id").alias("least"), F.min("row").alias("row")), "nodes")
     # a list is the nodes that hold one of their rarest shingles in common; lists of one are dropped
     by_shingle = Window.partitionBy("h")
-    live = stash(nodes.select("node", "n", F.explode("rare").alias("h"))
+    live = stash(incidence(own, bucket_frequencies(own))
                  .withColumn("c", F.count("*").over(by_shingle)).where("c > 1").drop("c"), "lists")
 
     # whole sets of the nodes that stand in enough lists to pass the bound at all
