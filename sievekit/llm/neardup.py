@@ -35,8 +35,8 @@ UP, DOWN = 75, 100
 NEED = 3
 #: Frequency buckets of the global shingle order.
 BUCKETS = 1 << 18
-#: Rounds of hub pairs before all remaining pairs are measured.
-HUB_ROUNDS = 3
+#: Hubs a node is measured against in each turn, before all remaining pairs are.
+HUBS = (1, 4, 8)
 
 #: Odd multipliers, one per place in a shingle.
 _PLACE = mix64(np.arange(1, 65, dtype=U64)) | U64(1)
@@ -147,22 +147,30 @@ def _enough(n_a, n_b, shared):
     return shared >= F.least(need(n_a), need(n_b))
 
 
-def hub_pairs(live: DataFrame, root: DataFrame, turn: int) -> DataFrame:
-    """At most one candidate per node: the hub it shares most lists with.
+def _apart(live: DataFrame, root: DataFrame | None) -> DataFrame:
+    """The lists that still hold more than one component, with each node's ``root``."""
+    if root is None:
+        return live.withColumn("root", F.col("node"))
+    rooted = live.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = rooted.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("h")
+    return stash(rooted.join(apart, "h", "left_semi").select("h", "node", "n", "root"), "apart")
+
 
-    A list's hubs are its nodes of least hash in this turn's order; members of the
-    hub's component are passed over, so each turn works on what is still apart."""
-    rank = F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), F.col("node").alias("hub"), F.col("n").alias("hub_n"),
+def hub_pairs(apart: DataFrame, turn: int, hubs: int) -> DataFrame:
+    """At most ``hubs`` candidates per node: of each order, the hub it shares most lists with.
+
+    A list's hub is its node of least hash in the order; members of the hub's
+    component are passed over, so each turn works on what is still apart."""
+    order = F.explode(F.array(*(F.lit(turn * 100 + k) for k in range(hubs)))).alias("o")
+    rank = F.struct(F.xxhash64("node", "o").alias("r"), F.col("node").alias("hub"), F.col("n").alias("hub_n"),
                     F.col("root").alias("hub_root"))
-    rooted = live.join(root, "node", "left").withColumn("root", F.coalesce("root", "node")) if root is not None \
-        else live.withColumn("root", F.col("node"))
-    hubs = (rooted.groupBy("h").agg(F.min(rank).alias("r"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-            .where("r0 != r1").select("h", "r.hub", "r.hub_n", "r.hub_root"))
-    met = (rooted.join(hubs, "h").where((F.col("root") != F.col("hub_root")) & _near_sizes(F.col("n"), F.col("hub_n")))
-           .groupBy("node", "n", "hub", "hub_n").agg(F.count("*").alias("shared"))
+    each = apart.select("*", order)
+    hub = each.groupBy("h", "o").agg(F.min(rank).alias("x")).select("h", "o", "x.hub", "x.hub_n", "x.hub_root")
+    met = (each.join(hub, ["h", "o"]).where((F.col("root") != F.col("hub_root")) & _near_sizes(F.col("n"), F.col("hub_n")))
+           .groupBy("node", "n", "o", "hub", "hub_n").agg(F.count("*").alias("shared"))
            .where(_enough(F.col("n"), F.col("hub_n"), F.col("shared"))))
-    return (met.groupBy("node", "n").agg(F.max(F.struct("shared", "hub", "hub_n")).alias("m"))
-            .select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("m.hub").alias("b"), F.col("m.hub_n").alias("n_b")))
+    return (met.groupBy("node", "n", "o").agg(F.max(F.struct("shared", "hub", "hub_n")).alias("m"))
+            .select(F.greatest("node", "m.hub").alias("a"), F.least("node", "m.hub").alias("b")).distinct())
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,16 +194,13 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(schema, **dict(zip(schema.names, map(list, zip(*out)))))
 
 
-def remaining_pairs(live: DataFrame, root: DataFrame | None) -> DataFrame:
+def remaining_pairs(apart: DataFrame) -> DataFrame:
     """Every pair from different components whose shared rarest shingles, summed over
     all blocks, reach the bound."""
-    rooted = live.join(root, "node", "left").withColumn("root", F.coalesce("root", "node")) if root is not None \
-        else live.withColumn("root", F.col("node"))
-    apart = rooted.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("h")
-    lists = rooted.join(apart, "h", "left_semi").repartition("h").sortWithinPartitions("h", "n", "node")
+    lists = apart.repartition("h").sortWithinPartitions("h", "n", "node")
     met = lists.select("h", "n", "node", "root").mapInArrow(_meet, "a bigint, n_a bigint, b bigint, n_b bigint")
     return (met.groupBy("a", "b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.count("*").alias("shared"))
-            .where(_enough(F.col("n_a"), F.col("n_b"), F.col("shared"))).drop("shared"))
+            .where(_enough(F.col("n_a"), F.col("n_b"), F.col("shared"))).select("a", "b"))
 
 
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -218,7 +223,7 @@ def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the threshold."""
     one = sets.select(F.col("node").alias("a"), F.col("s").alias("set_a"))
     two = sets.select(F.col("node").alias("b"), F.col("s").alias("set_b"))
-    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b") \
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b") \
         .mapInArrow(_measure, "a bigint, b bigint")
 
 
@@ -228,7 +233,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(schema, node=b.column("node"), s=[s.tobytes() for s in shingle_sets(b.column("text"))])
 
 
-def near_duplicates(docs: DataFrame, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, hubs: tuple[int, ...] = HUBS) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``.
 
     Sets are of the distinct 5-word shingles of a whole text (A-Z lower-cased); two
@@ -256,13 +261,12 @@ def near_duplicates(docs: DataFrame, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
     sets = stash(texts.mapInArrow(_sets, "node bigint, s binary"), "sets")
 
     found, root = None, None
-    for turn in range(hub_rounds + 1):
-        pairs = hub_pairs(live, root, turn) if turn < hub_rounds else remaining_pairs(live, root)
-        new = stash(links(pairs, sets), "links")
-        if turn < hub_rounds and new.isEmpty():
+    for turn, k in enumerate([*hubs, None]):
+        apart = _apart(live, root)
+        new = stash(links(remaining_pairs(apart) if k is None else hub_pairs(apart, turn, k), sets), "links")
+        if root is not None and new.isEmpty():
             continue
-        found = new if found is None else found.unionByName(new)
-        root = components(found)
+        root = components(new if found is None else found.unionByName(new))
         found = root.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a != b")
     least = (nodes.select("node", "least").join(root, "node")
              .groupBy("root").agg(F.min("least").alias("component_id")))
