@@ -21,7 +21,7 @@ def prob_of(probs, label) -> Column:
 
 
 def entropy_bits(probs, label) -> Column:
-    """V-entropy term ``-log2 p(y|x)`` of the gold class (``P-Vinfo`` ``H_y*``)."""
+    """V-entropy term ``-log2 p(y|x)`` of the gold class."""
     return -F.log2(prob_of(probs, label))
 
 

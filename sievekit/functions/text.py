@@ -117,8 +117,7 @@ def raw_overlap_mask(tokens, other_tokens, mask: str = MASK_TOKEN) -> Column:
     """Keep tokens present in both sides (set intersection), mask the rest,
     joined by blanks."""
     a, b = col(tokens), col(other_tokens)
-    both = F.array_intersect(a, b)
-    return F.array_join(F.transform(a, lambda t: F.when(F.array_contains(both, t), t)
+    return F.array_join(F.transform(a, lambda t: F.when(F.array_contains(b, t), t)
                                     .otherwise(F.lit(mask))), " ")
 
 
@@ -141,7 +140,7 @@ def lexicon_pattern(lexicon: list[str]) -> str:
     """Regex that matches every word *not* in the lexicon (case-insensitive)."""
     import re
     alts = "|".join(re.escape(w) for w in lexicon)
-    return r"(?i)(?!\b(" + alts + r")\b)\b[^ ]+\b"
+    return r"(?iU)(?!\b(" + alts + r")\b)\b[^ ]+\b"
 
 
 def keep_lexicon_words(text, lexicon: list[str]) -> Column:
@@ -173,7 +172,8 @@ def drop_special_tokens(ids) -> Column:
 def concat_positions(len_a, len_b) -> Column:
     """Position ids for ``a ++ b``: 0..la-1 then la..la+lb-1."""
     la, lb = col(len_a), col(len_b)
-    return F.sequence(F.lit(0), la + lb - 1)
+    n = la + lb
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).when(n == 0, F.array().cast("array<int>"))
 
 
 def type_from_label(label, positive_name: str, other_name: str, positive=1) -> Column:

@@ -63,19 +63,27 @@ def score_runs(preds: DataFrame, examples: DataFrame, null: DataFrame | None = N
                     S.el2n("probs", label_col).alias("el2n"))
 
 
+def _ordered_mean(v):
+    runs = F.transform(F.array_sort(F.collect_list(F.when(v.isNotNull(), F.struct(F.col("run").alias("run"), v.alias("v"))))),
+                       lambda x: x["v"])
+    return F.when(F.size(runs) > 0, F.aggregate(runs, F.lit(0.0), lambda a, x: a + x) / F.size(runs))
+
+
 def average_scores(scored: DataFrame, score_cols: Sequence[str] = ("pvi", "el2n"),
                    id_col: str = "id", label_col: str = "y",
-                   keys: Sequence[str] = (), rounding: int | None = 6) -> DataFrame:
+                   keys: Sequence[str] = (), rounding: int | None = None) -> DataFrame:
     """Mean of each score over runs (NaN treated as missing, like
     ``mean(skipna=True)``) plus ``misclassification_number`` = runs whose
     prediction differs from the gold label — one ``groupBy(id)``.
 
-    Output columns are ``average_<score>``.  ``keys`` adds grouping columns
-    (e.g. a checkpoint number)."""
+    Output columns are ``average_<score>``, unrounded unless ``rounding`` asks for
+    it.  Runs are added in order of their number (a group holds one row per run),
+    so a mean does not depend on how rows were shuffled.  ``keys`` adds grouping
+    columns (e.g. a checkpoint number)."""
     aggs = []
     for c in score_cols:
         v = F.when(F.isnan(c), None).otherwise(F.col(c))
-        a = F.avg(v)
+        a = _ordered_mean(v) if "run" in scored.columns else F.avg(v)
         aggs.append((F.round(a, rounding) if rounding is not None else a).alias(f"average_{c}"))
     miss = F.sum(F.when(F.col("predicted_label") != F.col(label_col), 1).otherwise(0)).cast("long")
     aggs.append(miss.alias("misclassification_number"))

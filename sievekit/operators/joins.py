@@ -32,7 +32,7 @@ def pattern_regex(patterns: DataFrame, pattern_col: str = "pattern", literal: bo
     lst = sorted(r["p"] for r in rows)
     if not lst:
         return None
-    return "(?i)" + "|".join("(?:" + (re.escape(p) if literal else p) + ")" for p in lst)
+    return "(?iu)" + "|".join("(?:" + (re.escape(p) if literal else p) + ")" for p in lst)
 
 
 def pattern_join(texts: DataFrame, patterns: DataFrame, text_col: str = "text",

@@ -75,7 +75,7 @@ def fit_run_ensemble(train: DataFrame, text_col: str = "text", label_col: str =
                      max_iter: int = 20, seed: int = 7) -> DataFrame:
     """Fit one classifier per run (hashed term frequencies → IDF → logistic
     regression) on a Bayesian-bootstrap reweighting of ``train`` (weights
-    ``-ln U``, U uniform with a per-run seed); predict ``score`` (default the
+    ``-ln U``, U uniform by a hash of seed, run and id); predict ``score`` (default the
     training rows).  Output the long table ``(id, run, probs, predicted)``
     that the influence operators consume."""
     from pyspark.ml.classification import LogisticRegression
@@ -88,7 +88,9 @@ def fit_run_ensemble(train: DataFrame, text_col: str = "text", label_col: str =
     tr, sc = idf.transform(tr), idf.transform(sc)
     out = None
     for r in range(1, runs + 1):
-        w = tr.withColumn("_w", -F.log(F.rand(seed * 1000 + r) + F.lit(1e-12)))
+        # U from a hash of (seed, run, id): the same weights however rows are partitioned
+        u = (F.pmod(F.xxhash64(F.lit(seed), F.lit(r), id_col), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+        w = tr.withColumn("_w", -F.log(u))
         lr = LogisticRegression(featuresCol="_x", labelCol=label_col, weightCol="_w", maxIter=max_iter,
                                 regParam=0.01, probabilityCol="_p", predictionCol="_pred",
                                 rawPredictionCol="_raw")

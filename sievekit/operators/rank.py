@@ -70,7 +70,7 @@ def distributed_rank(df: DataFrame, order: Sequence, by: Sequence[str] = (),
         rank = F.col("_sk_g") - F.col("_sk_start") + 1
     else:
         rank = F.col("_sk_g") + 1
-    return (out.withColumn(rank_col, rank.cast("int"))
+    return (out.withColumn(rank_col, rank.cast("long"))
             .drop("_sk_mid", "_sk_pid", "_sk_pos", "_sk_off", "_sk_g", "_sk_start"))
 
 
@@ -88,8 +88,10 @@ def with_group_sizes(df: DataFrame, by: Sequence[str], name: str = "n_group") ->
     if not by:
         n = df.agg(F.count(F.lit(1)).alias(name))
         return df.crossJoin(F.broadcast(n))  # one row
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias(name))
-    return df.join(sizes, list(by))
+    o = df.alias("_sk_o")
+    s = df.groupBy(*by).agg(F.count(F.lit(1)).alias(name)).alias("_sk_s")
+    # null-safe: rows whose group is NULL are a group like any other
+    return o.join(s, _null_safe_on(o, s, list(by)), "inner").select("_sk_o.*", F.col(f"_sk_s.{name}"))
 
 
 def sample_fraction_exact(df: DataFrame, frac: float, seed: int, id_col: str = "id",
@@ -147,6 +149,7 @@ def stratified_split(df: DataFrame, label_col: str, test_size: float = 0.2, seed
                          + F.when(F.col("_sk_pos") <= F.col("_sk_short"), 1).otherwise(0))
              .select(label_col, "_sk_quota"))
     # one row per class: bounded by the label cardinality
-    out = ranked.join(F.broadcast(quota), label_col)
+    r, q = ranked.alias("_sk_o"), F.broadcast(quota).alias("_sk_s")
+    out = r.join(q, _null_safe_on(r, q, [label_col]), "inner").select("_sk_o.*", "_sk_s._sk_quota")
     split = F.when(F.col("_sk_r") <= F.col("_sk_quota"), "test").otherwise("train")
     return out.withColumn("split", split).drop("_sk_h", "_sk_r", "_sk_quota")

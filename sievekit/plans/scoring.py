@@ -20,7 +20,7 @@ def scored(spark, sf):
 
 
 def averaged(spark, sf):
-    return I.average_scores(scored(spark, sf))
+    return I.average_scores(scored(spark, sf), rounding=6)
 
 
 # ---------------------------------------------------------------- §2.D
@@ -78,7 +78,7 @@ SELECT s.id, round(avg(s.pvi), 6) AS average_pvi, round(avg(s.el2n), 6) AS avera
        round(avg(-log2(CASE WHEN s.y = 1 THEN p.p1 ELSE 1 - p.p1 END)), 6) AS average_H_yx
 FROM scored s JOIN preds p ON s.id = p.id AND s.run = p.run GROUP BY s.id""")
 def q_average_any(spark, sf):
-    a = I.average_scores(scored(spark, sf), score_cols=("pvi", "el2n", "H_yx"))
+    a = I.average_scores(scored(spark, sf), score_cols=("pvi", "el2n", "H_yx"), rounding=6)
     return a.select("id", "average_pvi", "average_el2n", "average_H_yx")
 
 
