@@ -86,3 +86,14 @@ def test_entry_smoke(spark):
 def test_predictions_fixture_scales(spark):
     ex = X.examples(spark, MEDIUM)
     assert X.predictions(ex).count() == 5 * ex.count()
+
+
+def test_null_class_is_a_group_like_any_other(spark):
+    from sievekit.operators import influence, rank
+    df = spark.createDataFrame([("a", None), ("b", None), ("c", 1), ("d", 1)], "id string, y int")
+    got = rank.with_group_sizes(rank.distributed_rank(df, ["id"], ["y"], rank_col="r"), ["y"], "n")
+    assert sorted((r.id, r.y, r.r, r.n) for r in got.collect()) == [("a", None, 1, 2), ("b", None, 2, 2), ("c", 1, 1, 2), ("d", 1, 2, 2)]
+    assert dict(got.dtypes)["r"] == "bigint"
+    runs = spark.createDataFrame([("a", 1, k, 0, 0.1 * k + 1e-9) for k in range(1, 6)], "id string, y int, run int, predicted_label int, pvi double")
+    mean = influence.average_scores(runs, ("pvi",)).first()
+    assert mean.average_pvi == sum(0.1 * k + 1e-9 for k in range(1, 6)) / 5 and mean.misclassification_number == 5

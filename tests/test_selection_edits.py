@@ -64,48 +64,20 @@ def _mi(counts, totals):
     return s
 
 
-def test_merge_greedy_matches_set_walk(spark):
-    rng = np.random.default_rng(11)
-    n = 120
-    ys = rng.integers(0, 2, n)
-    feats = [("(A *)", f"w{k}") for k in range(6)] + [("(B *)", f"v{k}") for k in range(4)]
-    inc = []
-    for uid in range(n):
-        for f in feats:
-            if rng.random() < (0.35 if (ys[uid] == 1 and f[1] in ("w0", "w1", "v0")) else 0.12):
-                inc.append((uid, int(ys[uid]), f[0], f[1]))
+def test_merge_greedy_hand_worked(spark):
+    """Ten positive (0-9) and ten negative (10-19) examples.  ``p`` and ``q`` mark
+    positives only, so their union tells more than either; ``m`` marks negatives
+    only, and its union with a positive group tells almost nothing, so it must
+    open a group of its own; ``z`` hangs under another root."""
+    marks = {("(A *)", "p"): range(0, 4), ("(A *)", "q"): range(4, 7), ("(A *)", "m"): range(10, 14), ("(B *)", "z"): range(0, 2)}
+    inc = [(i, int(i < 10), *f) for f, ids in marks.items() for i in ids]
     inc_df = spark.createDataFrame(inc, "uid long, y int, tpl string, yield string")
-    ex = spark.createDataFrame([(i, int(ys[i])) for i in range(n)], "uid long, y int")
-    fmi = SC.feature_mi(inc_df, ex)
-    topk = SC.topk_features(fmi, 10)
-    got = SC.merge_greedy(inc_df, ex, topk)
-    got_sets = sorted((r.group_key, tuple(r.members or [])) for r in got.collect())
-    # reference walk on Python sets
-    totals = [int((ys == 0).sum()), int((ys == 1).sum())]
-    members = {}
-    for r in inc:
-        members.setdefault((r[2], r[3]), set()).add(r[0])
-    order = [(r.tpl, r["yield"]) for r in topk.orderBy("topk_no").collect()]
-    groups = {}
-    for f in order:
-        key = f[0][1:f[0].index(" ")]
-        gs = groups.setdefault(key, [([], 0.0, set())])
-        fs = members[f]
-        scores, cand = [], []
-        for names, gmi, s in gs:
-            u = s | fs
-            c = [sum(1 for i in u if ys[i] == 0), sum(1 for i in u if ys[i] == 1)]
-            m = _mi(c, totals)
-            scores.append(np.sign(m - gmi) * m)
-            cand.append((names + [f[1]], m, u))
-        if all(sc < 0 for sc in scores):
-            c = [sum(1 for i in fs if ys[i] == 0), sum(1 for i in fs if ys[i] == 1)]
-            gs.append(([f[1]], _mi(c, totals), set(fs)))
-        else:
-            j = int(np.argmax(scores))
-            gs[j] = cand[j]
-    exp = sorted((k, tuple(names)) for k, gs in groups.items() for names, _, _ in gs)
-    assert got_sets == exp
+    ex = spark.createDataFrame([(i, int(i < 10)) for i in range(20)], "uid long, y int")
+    topk = SC.topk_features(SC.feature_mi(inc_df, ex), 10)
+    got = [(r.group_key, frozenset(r.members)) for r in SC.merge_greedy(inc_df, ex, topk).collect()]
+    assert sorted(got, key=repr) == sorted([("A", frozenset("pq")), ("A", frozenset("m")), ("B", frozenset("z"))], key=repr)
+    # every feature is in exactly one group
+    assert sorted(m for _, g in got for m in g) == ["m", "p", "q", "z"]
 
 
 def test_vocabulary_rule(spark):

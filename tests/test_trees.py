@@ -1,9 +1,9 @@
-"""Tree explosion goldens (FIXTURES §4.4) through the Spark UDTF."""
+"""Tree explosion goldens through ``tree_nodes``."""
 
 from sievekit.operators import trees as TR
 
 PCFG = "(25 (28 (57 women) (77 should)) (74 .))"
-SCFG = "(9 (1 (14 (82 a/a) (32 dog/cat)) (31 (61 is/is) (19 (50 playing/) (47 park/outside)))) (67 ./.))"
+SCFG = "(7 (3 (11 the/the) (12 red/blue)) (5 (13 quickly/) (14 runs/sleeps)))"
 
 
 def test_pcfg_nodes(spark):
@@ -22,9 +22,8 @@ def test_scfg_yields(spark):
     df = spark.createDataFrame([("u", SCFG)], "uid string, tree string")
     rows = TR.tree_nodes(df, scfg=True).orderBy("node_no").collect()
     assert [r["yield"] for r in rows] == [
-        "a/a", "dog/cat", "a dog/a cat", "is/is", "playing/ϵ", "park/outside", "playing park/ outside",
-        "is playing park/is outside", "a dog is playing park/a cat is outside", "./.",
-        "a dog is playing park ./a cat is outside ."]
+        "the/the", "red/blue", "the red/the blue", "quickly/ϵ", "runs/sleeps", "quickly runs/ sleeps",
+        "the red quickly runs/the blue sleeps"]
 
 
 def test_bad_tree_skipped(spark):
