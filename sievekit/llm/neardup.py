@@ -8,7 +8,8 @@ frequency bucket is, so a document enters the product with its rarest shingles
 only: two sets that link must share ``NEED`` of those.  Surviving pairs are
 measured on their whole sets.
 
-Equal sets are one node.  Within a component not all pairs are needed: first each
+Equal sets are one node, and shingles held by exactly the same nodes are one list
+with a weight, so a group's product is added up once and not once per shingle.  Within a component not all pairs are needed: first each
 node is measured against hubs of its lists, then only pairs from different
 components are, so groups of thousands of near copies cost about a measurement
 per member, and still no link between components is lost.
@@ -147,13 +148,23 @@ def _enough(n_a, n_b, shared):
     return shared >= F.least(need(n_a), need(n_b))
 
 
+def weighted_lists(met: DataFrame) -> DataFrame:
+    """``h, node, n, w``: the lists of ``met`` with two or more nodes; the ``w`` shingles
+    that the same nodes share are one list, named by a digest of those nodes (two lists
+    of one digest would only add candidates, and candidates are measured)."""
+    by_shingle = Window.partitionBy("h")
+    same = F.xxhash64(F.count("*").over(by_shingle), F.bit_xor(F.xxhash64("node")).over(by_shingle))
+    return (met.select(same.alias("h"), "node", "n", F.count("*").over(by_shingle).alias("c")).where("c > 1")
+            .groupBy("h", "node", "n").agg(F.count("*").alias("w")))
+
+
 def _apart(live: DataFrame, root: DataFrame | None) -> DataFrame:
     """The lists that still hold more than one component, with each node's ``root``."""
     if root is None:
         return live.withColumn("root", F.col("node"))
     rooted = live.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     apart = rooted.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("h")
-    return stash(rooted.join(apart, "h", "left_semi").select("h", "node", "n", "root"), "apart")
+    return stash(rooted.join(apart, "h", "left_semi").select("h", "node", "n", "w", "root"), "apart")
 
 
 def hub_pairs(apart: DataFrame, turn: int, hubs: int) -> DataFrame:
@@ -167,7 +178,7 @@ def hub_pairs(apart: DataFrame, turn: int, hubs: int) -> DataFrame:
     each = apart.select("*", order)
     hub = each.groupBy("h", "o").agg(F.min(rank).alias("x")).select("h", "o", "x.hub", "x.hub_n", "x.hub_root")
     met = (each.join(hub, ["h", "o"]).where((F.col("root") != F.col("hub_root")) & _near_sizes(F.col("n"), F.col("hub_n")))
-           .groupBy("node", "n", "o", "hub", "hub_n").agg(F.count("*").alias("shared"))
+           .groupBy("node", "n", "o", "hub", "hub_n").agg(F.sum("w").alias("shared"))
            .where(_enough(F.col("n"), F.col("hub_n"), F.col("shared"))))
     return (met.groupBy("node", "n", "o").agg(F.max(F.struct("shared", "hub", "hub_n")).alias("m"))
             .select(F.greatest("node", "m.hub").alias("a"), F.least("node", "m.hub").alias("b")).distinct())
@@ -176,16 +187,17 @@ def hub_pairs(apart: DataFrame, turn: int, hubs: int) -> DataFrame:
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of each list (rows sorted by h, n) from different components and of near
     sizes; a list's rows are kept only while a later row can still be near in size."""
-    schema = pa.schema([("a", pa.int64()), ("n_a", pa.int64()), ("b", pa.int64()), ("n_b", pa.int64())])
+    schema = pa.schema([("a", pa.int64()), ("n_a", pa.int64()), ("b", pa.int64()), ("n_b", pa.int64()),
+                        ("w", pa.int64())])
     h, window, out = None, [], []
     for batch in batches:
-        for key, n, node, root in zip(*(batch.column(c).to_pylist() for c in ("h", "n", "node", "root"))):
+        for key, n, node, root, w in zip(*(batch.column(c).to_pylist() for c in ("h", "n", "node", "root", "w"))):
             if key != h:
                 h, window = key, []
             window = [x for x in window if x[0] * DOWN >= n * UP]
             for n_b, other, r in window:
                 if r != root:
-                    out.append((node, n, other, n_b) if node > other else (other, n_b, node, n))
+                    out.append((node, n, other, n_b, w) if node > other else (other, n_b, node, n, w))
             window.append((n, node, root))
             if len(out) >= 50_000:
                 yield rows(schema, **dict(zip(schema.names, map(list, zip(*out)))))
@@ -198,8 +210,8 @@ def remaining_pairs(apart: DataFrame) -> DataFrame:
     """Every pair from different components whose shared rarest shingles, summed over
     all blocks, reach the bound."""
     lists = apart.repartition("h").sortWithinPartitions("h", "n", "node")
-    met = lists.select("h", "n", "node", "root").mapInArrow(_meet, "a bigint, n_a bigint, b bigint, n_b bigint")
-    return (met.groupBy("a", "b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.count("*").alias("shared"))
+    met = lists.select("h", "n", "node", "root", "w").mapInArrow(_meet, "a bigint, n_a bigint, b bigint, n_b bigint, w bigint")
+    return (met.groupBy("a", "b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.sum("w").alias("shared"))
             .where(_enough(F.col("n_a"), F.col("n_b"), F.col("shared"))).select("a", "b"))
 
 
@@ -248,13 +260,11 @@ def near_duplicates(docs: DataFrame, hubs: tuple[int, ...] = HUBS) -> DataFrame:
     sketch = stash(own.select("doc_id", "row", "text").mapInArrow(_sketch, "doc_id bigint, row bigint, n bigint, node bigint"), "sketch")
     nodes = stash(sketch.where("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("least"), F.min("row").alias("row")), "nodes")
-    # a list is the nodes that hold one of their rarest shingles in common; lists of one are dropped
-    by_shingle = Window.partitionBy("h")
-    live = stash(incidence(own, bucket_frequencies(own))
-                 .withColumn("c", F.count("*").over(by_shingle)).where("c > 1").drop("c"), "lists")
+    # a list is the nodes that hold some of their rarest shingles in common; lists of one are dropped
+    live = stash(weighted_lists(incidence(own, bucket_frequencies(own))), "lists")
 
     # whole sets of the nodes that stand in enough lists to pass the bound at all
-    able = (live.groupBy("node", "n").agg(F.count("*").alias("c"))
+    able = (live.groupBy("node", "n").agg(F.sum("w").alias("c"))
             .where(F.col("c") >= F.least(F.lit(NEED), F.ceil(F.col("n") * UP / DOWN))).select("node"))
     bearer = nodes.select("node", "row").join(able, "node", "left_semi")
     texts = own.select("row", "text").dropDuplicates(["row"]).join(bearer, "row").select("node", "text")
