@@ -158,6 +158,24 @@ def weighted_lists(met: DataFrame) -> DataFrame:
             .groupBy("h", "node", "n").agg(F.count("*").alias("w")))
 
 
+def overlap_bound(n_a: int, n_b: int) -> int:
+    """Least number of rarest shingles two linked sets share.
+
+    Linked sets overlap by at least t / (1 + t) of the sum of their sizes.  Of the set whose
+    rarest shingles end first in the global order, every overlap among them is also among the
+    other's, so all that a shared count can lack is what that set holds beyond them."""
+    overlap = -(-UP * (n_a + n_b) // (DOWN + UP))
+    most = required(max(n_a, n_b))
+    return max(1, overlap - most + min(NEED, most))
+
+
+def _bounded(n_a, n_b):
+    """``overlap_bound`` as a column."""
+    overlap = F.ceil((n_a + n_b) * UP / (DOWN + UP))
+    most = F.ceil(F.greatest(n_a, n_b) * UP / DOWN)
+    return F.greatest(F.lit(1), overlap - most + F.least(F.lit(NEED), most))
+
+
 def _apart(live: DataFrame, root: DataFrame | None) -> DataFrame:
     """The lists that still hold more than one component, with each node's ``root``."""
     if root is None:
@@ -186,19 +204,20 @@ def hub_pairs(apart: DataFrame, turn: int, hubs: int) -> DataFrame:
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of each list (rows sorted by h, n) from different components and of near
-    sizes; a list's rows are kept only while a later row can still be near in size."""
+    sizes, where the lists of both add up to the bound at all; a list's rows are kept
+    only while a later row can still be near in size."""
     schema = pa.schema([("a", pa.int64()), ("n_a", pa.int64()), ("b", pa.int64()), ("n_b", pa.int64()),
                         ("w", pa.int64())])
     h, window, out = None, [], []
     for batch in batches:
-        for key, n, node, root, w in zip(*(batch.column(c).to_pylist() for c in ("h", "n", "node", "root", "w"))):
+        for key, n, node, root, w, t in zip(*(batch.column(c).to_pylist() for c in ("h", "n", "node", "root", "w", "t"))):
             if key != h:
                 h, window = key, []
             window = [x for x in window if x[0] * DOWN >= n * UP]
-            for n_b, other, r in window:
-                if r != root:
+            for n_b, other, r, t_b in window:
+                if r != root and min(t, t_b) >= overlap_bound(n, n_b):
                     out.append((node, n, other, n_b, w) if node > other else (other, n_b, node, n, w))
-            window.append((n, node, root))
+            window.append((n, node, root, t))
             if len(out) >= 50_000:
                 yield rows(schema, **dict(zip(schema.names, map(list, zip(*out)))))
                 out = []
@@ -208,11 +227,11 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remaining_pairs(apart: DataFrame) -> DataFrame:
     """Every pair from different components whose shared rarest shingles, summed over
-    all blocks, reach the bound."""
-    lists = apart.repartition("h").sortWithinPartitions("h", "n", "node")
-    met = lists.select("h", "n", "node", "root", "w").mapInArrow(_meet, "a bigint, n_a bigint, b bigint, n_b bigint, w bigint")
+    all blocks, reach the bound; ``t`` is all that a node can share."""
+    lists = apart.withColumn("t", F.sum("w").over(Window.partitionBy("node"))).repartition("h").sortWithinPartitions("h", "n", "node")
+    met = lists.select("h", "n", "node", "root", "w", "t").mapInArrow(_meet, "a bigint, n_a bigint, b bigint, n_b bigint, w bigint")
     return (met.groupBy("a", "b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.sum("w").alias("shared"))
-            .where(_enough(F.col("n_a"), F.col("n_b"), F.col("shared"))).select("a", "b"))
+            .where(F.col("shared") >= _bounded(F.col("n_a"), F.col("n_b"))).select("a", "b"))
 
 
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])

@@ -76,6 +76,20 @@ def test_jaccard_matches_brute_force(spark):
     assert neardup.near_duplicates(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_overlap_bound_loses_no_link():
+    rng, linked = random.Random(5), 0
+    for _ in range(20_000):
+        all_of = sorted(rng.sample(range(200), rng.randint(1, 60)))
+        x, y = ([e for e in all_of if rng.random() < 0.93] for _ in range(2))
+        both = len(set(x) & set(y))
+        if not both or 100 * both < 75 * (len(x) + len(y) - both):
+            continue
+        rare = [set(z[:len(z) - neardup.required(len(z)) + min(neardup.NEED, neardup.required(len(z)))]) for z in (x, y)]
+        assert len(rare[0] & rare[1]) >= neardup.overlap_bound(len(x), len(y))
+        linked += 1
+    assert linked > 10_000
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
     import public_tokenizers
