@@ -9,15 +9,17 @@ only: two sets that link must share ``NEED`` of those.  Surviving pairs are
 measured on their whole sets.
 
 Equal sets are one node, and shingles held by exactly the same nodes are one list
-with a weight, so a group's product is added up once and not once per shingle.  Within a component not all pairs are needed: first each
-node is measured against hubs of its lists, then only pairs from different
-components are, so groups of thousands of near copies cost about a measurement
-per member, and still no link between components is lost.
+with a weight, so a group's product is added up once and not once per shingle.
+Within a component not all pairs are needed: first each node is measured against
+hubs of its lists, then only pairs from different components are, so groups of
+thousands of near copies cost about a measurement per member, and still no link
+between components is lost.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +38,10 @@ UP, DOWN = 75, 100
 NEED = 3
 #: Frequency buckets of the global shingle order.
 BUCKETS = 1 << 18
-#: Hubs a node is measured against in each turn, before all remaining pairs are.
-HUBS = (1, 4, 8)
+#: Turns in which nodes are measured against hubs, before all remaining pairs are.
+TURNS = 1
+#: Slots of a node's list weights, and nodes of a list that meet in one block.
+SLOTS, BLOCK = 128, 4096
 
 #: Odd multipliers, one per place in a shingle.
 _PLACE = mix64(np.arange(1, 65, dtype=U64)) | U64(1)
@@ -158,15 +162,15 @@ def weighted_lists(met: DataFrame) -> DataFrame:
             .groupBy("h", "node", "n").agg(F.count("*").alias("w")))
 
 
-def overlap_bound(n_a: int, n_b: int) -> int:
-    """Least number of rarest shingles two linked sets share.
+def overlap_bound(n_a, n_b):
+    """Least number of rarest shingles two linked sets share (of sizes, or arrays of them).
 
     Linked sets overlap by at least t / (1 + t) of the sum of their sizes.  Of the set whose
     rarest shingles end first in the global order, every overlap among them is also among the
     other's, so all that a shared count can lack is what that set holds beyond them."""
     overlap = -(-UP * (n_a + n_b) // (DOWN + UP))
-    most = required(max(n_a, n_b))
-    return max(1, overlap - most + min(NEED, most))
+    most = required(np.maximum(n_a, n_b))
+    return np.maximum(1, overlap - most + np.minimum(NEED, most))
 
 
 def _bounded(n_a, n_b):
@@ -177,59 +181,113 @@ def _bounded(n_a, n_b):
 
 
 def _apart(live: DataFrame, root: DataFrame | None) -> DataFrame:
-    """The lists that still hold more than one component, with each node's ``root``."""
-    if root is None:
-        return live.withColumn("root", F.col("node"))
-    rooted = live.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    apart = rooted.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("h")
-    return stash(rooted.join(apart, "h", "left_semi").select("h", "node", "n", "w", "root"), "apart")
-
-
-def hub_pairs(apart: DataFrame, turn: int, hubs: int) -> DataFrame:
-    """At most ``hubs`` candidates per node: of each order, the hub it shares most lists with.
-
-    A list's hub is its node of least hash in the order; members of the hub's
-    component are passed over, so each turn works on what is still apart."""
-    order = F.explode(F.array(*(F.lit(turn * 100 + k) for k in range(hubs)))).alias("o")
-    rank = F.struct(F.xxhash64("node", "o").alias("r"), F.col("node").alias("hub"), F.col("n").alias("hub_n"),
-                    F.col("root").alias("hub_root"))
-    each = apart.select("*", order)
-    hub = each.groupBy("h", "o").agg(F.min(rank).alias("x")).select("h", "o", "x.hub", "x.hub_n", "x.hub_root")
-    met = (each.join(hub, ["h", "o"]).where((F.col("root") != F.col("hub_root")) & _near_sizes(F.col("n"), F.col("hub_n")))
+    """The lists that still hold more than one component, with each node's ``root`` and
+    the number of nodes ``g`` of the list."""
+    rooted = live.withColumn("root", F.col("node")) if root is None else \
+        live.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = (rooted.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("g"))
+             .where("r0 != r1").select("h", "g"))
+    return stash(rooted.join(apart, "h").select("h", "node", "n", "w", "root", "g"), "apart")
+
+
+def hub_pairs(apart: DataFrame, turn: int) -> DataFrame:
+    """At most two candidates per node: for each of two rows of size classes, the hub it
+    shares most lists with.
+
+    A class is as wide as the threshold lets linked sizes differ, and the second row is
+    shifted by half a class, so near sizes meet in one of them.  A list's hub in a class is,
+    in the first turn, the node of which most is shared with any other: of many near copies
+    the one with the fewest changes of its own.  Later turns take another node by hash.
+    Members of the hub's component are passed over."""
+    size = F.log(F.col("n").cast("double")) / math.log(DOWN / UP)
+    t = F.sum("w").over(Window.partitionBy("node"))
+    each = apart.withColumn("share", t / F.col("n") if turn == 0 else F.lit(0.0)) \
+        .select("*", F.posexplode(F.array(F.floor(size), F.floor(size + 0.5))).alias("o", "size"))
+    rank = F.struct("share", F.xxhash64("node", F.lit(turn)).alias("r"), F.col("node").alias("hub"),
+                    F.col("n").alias("hub_n"), F.col("root").alias("hub_root"))
+    hub = each.groupBy("h", "o", "size").agg(F.max(rank).alias("x")) \
+        .select("h", "o", "size", "x.hub", "x.hub_n", "x.hub_root")
+    met = (each.join(hub, ["h", "o", "size"])
+           .where((F.col("root") != F.col("hub_root")) & _near_sizes(F.col("n"), F.col("hub_n")))
            .groupBy("node", "n", "o", "hub", "hub_n").agg(F.sum("w").alias("shared"))
            .where(_enough(F.col("n"), F.col("hub_n"), F.col("shared"))))
     return (met.groupBy("node", "n", "o").agg(F.max(F.struct("shared", "hub", "hub_n")).alias("m"))
             .select(F.greatest("node", "m.hub").alias("a"), F.least("node", "m.hub").alias("b")).distinct())
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """The rows of each block (equal h, x, y; sorted), as arrays; ``slots`` is a row per node."""
+    rest = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        got = {c: b.column(c).to_numpy(zero_copy_only=False) for c in b.schema.names if c != "slots"}
+        lists = b.column("slots")
+        flat, slots = lists.flatten(), np.zeros((b.num_rows, SLOTS), dtype=np.int64)
+        at = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+        slots[at, flat.field("slot").to_numpy(zero_copy_only=False)] = flat.field("w").to_numpy(zero_copy_only=False)
+        got["slots"] = slots
+        if rest is not None:
+            got = {c: np.concatenate([rest[c], v]) for c, v in got.items()}
+        new = np.zeros(len(got["h"]), dtype=bool)
+        for c in ("h", "x", "y"):
+            new[1:] |= got[c][1:] != got[c][:-1]
+        edges = [0, *np.flatnonzero(new).tolist()]
+        for i, j in zip(edges, edges[1:]):
+            yield {c: v[i:j] for c, v in got.items()}
+        rest = {c: v[edges[-1]:] for c, v in got.items()}
+    if rest is not None:
+        yield rest
+
+
+#: Rows of a block that meet the rest of it at once, and pairs whose slots are compared at once.
+TILE, PAIRS = 128, 16_384
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of each list (rows sorted by h, n) from different components and of near
-    sizes, where the lists of both add up to the bound at all; a list's rows are kept
-    only while a later row can still be near in size."""
+    """Pairs of each block from different components and of near sizes whose slot weights
+    can add up to the bound: the lesser weight of each slot, summed, is at least what both share."""
     schema = pa.schema([("a", pa.int64()), ("n_a", pa.int64()), ("b", pa.int64()), ("n_b", pa.int64()),
                         ("w", pa.int64())])
-    h, window, out = None, [], []
-    for batch in batches:
-        for key, n, node, root, w, t in zip(*(batch.column(c).to_pylist() for c in ("h", "n", "node", "root", "w", "t"))):
-            if key != h:
-                h, window = key, []
-            window = [x for x in window if x[0] * DOWN >= n * UP]
-            for n_b, other, r, t_b in window:
-                if r != root and min(t, t_b) >= overlap_bound(n, n_b):
-                    out.append((node, n, other, n_b, w) if node > other else (other, n_b, node, n, w))
-            window.append((n, node, root, t))
-            if len(out) >= 50_000:
-                yield rows(schema, **dict(zip(schema.names, map(list, zip(*out)))))
-                out = []
-    if out:
-        yield rows(schema, **dict(zip(schema.names, map(list, zip(*out)))))
-
-
-def remaining_pairs(apart: DataFrame) -> DataFrame:
+    for g in _runs(batches):
+        n, node, root, part, slots, w = (g[c] for c in ("n", "node", "root", "part", "slots", "w"))
+        t, low, across = slots.sum(axis=1), np.searchsorted(n * DOWN, n * UP), g["x"][0] != g["y"][0]
+        for i in range(0, len(n), TILE):
+            one = np.arange(i, min(i + TILE, len(n)))[:, None]
+            two = np.arange(low[i], one[-1, 0])[None]
+            ok = (two < one) & (two >= low[one]) & (root[one] != root[two])
+            if across:
+                ok &= part[one] != part[two]
+            ok &= np.minimum(t[one], t[two]) >= overlap_bound(n[one], n[two])
+            p, q = np.nonzero(ok)
+            p, q = p + i, q + low[i]
+            for k in range(0, len(p), PAIRS):
+                a, b = p[k:k + PAIRS], q[k:k + PAIRS]
+                fit = np.minimum(slots[a], slots[b]).sum(axis=1) >= overlap_bound(n[a], n[b])
+                a, b = a[fit], b[fit]
+                if len(a):
+                    first = node[a] > node[b]
+                    a, b = np.where(first, a, b), np.where(first, b, a)
+                    yield rows(schema, a=node[a], n_a=n[a], b=node[b], n_b=n[b], w=np.minimum(w[a], w[b]))
+
+
+def remaining_pairs(apart: DataFrame, block: int = BLOCK) -> DataFrame:
     """Every pair from different components whose shared rarest shingles, summed over
-    all blocks, reach the bound; ``t`` is all that a node can share."""
-    lists = apart.withColumn("t", F.sum("w").over(Window.partitionBy("node"))).repartition("h").sortWithinPartitions("h", "n", "node")
-    met = lists.select("h", "n", "node", "root", "w", "t").mapInArrow(_meet, "a bigint, n_a bigint, b bigint, n_b bigint, w bigint")
+    all blocks, reach the bound.
+
+    Every row carries its node's list weights summed by ``SLOTS`` hashed slots, so most pairs
+    are discarded where they would be formed.  A list of more than ``block`` nodes is cut into
+    parts, and each two of them meet in a block of their own."""
+    slot = F.pmod(F.xxhash64("h"), F.lit(SLOTS)).cast("int").alias("slot")
+    slots = (apart.groupBy("node", slot).agg(F.sum("w").alias("w"))
+             .groupBy("node").agg(F.collect_list(F.struct("slot", "w")).alias("slots")))
+    parts = F.ceil(F.col("g") / F.lit(block)).cast("long")
+    lists = (apart.join(slots, "node").withColumn("part", F.pmod(F.xxhash64("node"), parts))
+             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+             .select("h", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"),
+                     "part", "n", "node", "root", "w", "slots")
+             .repartition("h", "x", "y").sortWithinPartitions("h", "x", "y", "n", "node"))
+    met = lists.mapInArrow(_meet, "a bigint, n_a bigint, b bigint, n_b bigint, w bigint")
     return (met.groupBy("a", "b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.sum("w").alias("shared"))
             .where(F.col("shared") >= _bounded(F.col("n_a"), F.col("n_b"))).select("a", "b"))
 
@@ -264,7 +322,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(schema, node=b.column("node"), s=[s.tobytes() for s in shingle_sets(b.column("text"))])
 
 
-def near_duplicates(docs: DataFrame, hubs: tuple[int, ...] = HUBS) -> DataFrame:
+def near_duplicates(docs: DataFrame, turns: int = TURNS, block: int = BLOCK) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``.
 
     Sets are of the distinct 5-word shingles of a whole text (A-Z lower-cased); two
@@ -290,9 +348,10 @@ def near_duplicates(docs: DataFrame, hubs: tuple[int, ...] = HUBS) -> DataFrame:
     sets = stash(texts.mapInArrow(_sets, "node bigint, s binary"), "sets")
 
     found, root = None, None
-    for turn, k in enumerate([*hubs, None]):
-        apart = _apart(live, root)
-        new = stash(links(remaining_pairs(apart) if k is None else hub_pairs(apart, turn, k), sets), "links")
+    for turn in [*range(turns), None]:
+        # before the first turn every list holds as many components as nodes
+        apart = live.withColumn("root", F.col("node")) if turn == 0 else _apart(live, root)
+        new = stash(links(remaining_pairs(apart, block) if turn is None else hub_pairs(apart, turn), sets), "links")
         if root is not None and new.isEmpty():
             continue
         root = components(new if found is None else found.unionByName(new))

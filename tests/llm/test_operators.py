@@ -70,8 +70,8 @@ def test_jaccard_matches_brute_force(spark):
     for i, (d, _) in enumerate(texts):
         group = [texts[j][0] for j in range(len(texts)) if find(j) == find(i) and texts[j][0] is not None]
         want.append((d, len(s[i]), min(group, default=None)))
-    for hubs in ((), (1, 4, 8)):
-        got = [tuple(r) for r in neardup.near_duplicates(docs(spark, texts), hubs).collect()]
+    for turns, block in ((0, 7), (1, 4096), (2, 3)):
+        got = [tuple(r) for r in neardup.near_duplicates(docs(spark, texts), turns, block).collect()]
         assert sorted(got, key=repr) == sorted(want, key=repr)
     assert neardup.near_duplicates(docs(spark, texts).limit(0)).count() == 0
 
