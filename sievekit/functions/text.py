@@ -22,6 +22,12 @@ PUNCT_CLASS = r"[\p{P}" + "$+<=>^`|~" + r"]"
 # A word is a run of characters that are not blank (ASCII \s or Unicode
 # separators \p{Z}), not control characters and not punctuation.
 WORD_PATTERN = PUNCT_CLASS + r"|[^\s\p{Z}\p{Cc}\p{P}" + "$+<=>^`|~" + r"]+"
+# The blocks of CJK ideographs, each of which is a word of its own.
+CJK = (r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B73F}\x{2B740}-\x{2B81F}"
+       r"\x{2B820}-\x{2CEAF}\x{F900}-\x{FAFF}\x{2F800}-\x{2FA1F}")
+WORD_PATTERN = "[" + CJK + "]|" + WORD_PATTERN.replace(r"\p{Cc}", r"\p{Cc}" + CJK)
+# Control and format characters (blanks aside) vanish before words are cut.
+VANISHING = r"[\p{Cc}\p{Cf}\x{FFFD}&&[^\t\n\r]]"
 MASK_TOKEN = "[MASK]"
 ASCII_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"  # Python string.punctuation
 
@@ -54,12 +60,14 @@ def parse_label(s) -> Column:
 
 @lru_cache(maxsize=1)
 def _accent_table() -> tuple[str, str]:
-    """Rule-built ``translate`` table: every precomposed Latin letter whose NFD
-    form is one base letter plus combining marks maps to that base letter."""
+    """Rule-built ``translate`` table: every precomposed letter of any script whose NFD
+    form is one base letter plus non-spacing marks maps to that base letter."""
     src, dst = [], []
-    for cp in list(range(0x00C0, 0x0250)) + list(range(0x1E00, 0x1F00)):
+    for cp in range(0x00C0, 0x10000):
         ch = chr(cp)
-        base = "".join(c for c in unicodedata.normalize("NFD", ch) if not unicodedata.combining(c))
+        if not unicodedata.decomposition(ch) or unicodedata.decomposition(ch).startswith("<"):
+            continue
+        base = "".join(c for c in unicodedata.normalize("NFD", ch) if unicodedata.category(c) != "Mn")
         if len(base) == 1 and base != ch:
             src.append(ch)
             dst.append(base)
@@ -67,17 +75,18 @@ def _accent_table() -> tuple[str, str]:
 
 
 def strip_accents(text) -> Column:
-    """Accent strip (NFD, drop non-spacing marks) for Latin scripts: a
+    """Accent strip (NFD, drop non-spacing marks) for every script: a
     ``translate`` table plus removal of free combining marks — JVM-side."""
     s, d = _accent_table()
     return F.regexp_replace(F.translate(col(text), s, d), r"\p{Mn}+", "")
 
 
 def tokens_basic(text) -> Column:
-    """Word-level tokens of the reference's tokenizer: lower-case, strip
-    accents, split on whitespace; every punctuation mark is its own token.
-    NULL text → no tokens."""
-    t = F.lower(strip_accents(F.coalesce(col(text), F.lit(""))))
+    """Word-level tokens of the reference's tokenizer: drop control and format
+    characters, lower-case, strip accents, split on whitespace; every
+    punctuation mark and every CJK ideograph is its own token.  NULL text → no
+    tokens."""
+    t = F.lower(strip_accents(F.regexp_replace(F.coalesce(col(text), F.lit("")), VANISHING, "")))
     return F.regexp_extract_all(t, F.lit(WORD_PATTERN), 0)
 
 

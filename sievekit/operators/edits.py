@@ -12,15 +12,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ARROW = "\\textarrow "
 
 
-def fmt_edit(w, w_) -> Column:
-    """``w\\textarrow w_`` with words joined by blanks (pair sides by ``/``)."""
+def fmt_edit(w, w_, pair: bool = False) -> Column:
+    """``w\\textarrow w_`` with words joined by blanks; of a ``pair`` (arrays of two word
+    arrays) the sides are joined by ``/``."""
     def side(c):
         c = F.col(c) if isinstance(c, str) else c
-        return F.array_join(c, " ")
+        return F.array_join(F.transform(c, lambda s: F.array_join(s, " ")), "/") if pair else F.array_join(c, " ")
     return F.concat(side(w), F.lit(ARROW), side(w_))
 
 
@@ -40,20 +42,20 @@ def change_lmi(paired: DataFrame, key: str = "tpl") -> DataFrame:
     c = paired.groupBy(key).agg(
         (F.sum(F.when(~F.col("changed"), 1).otherwise(0)) + 1).cast("double").alias("_c0"),
         (F.sum(F.when(F.col("changed"), 1).otherwise(0)) + 1).cast("double").alias("_c1"))
-    w = Window.partitionBy()  # one row per template
-    tot = F.sum(F.col("_c0") + F.col("_c1")).over(w)
+    sums = c.agg(F.sum("_c0").alias("_n0"), F.sum("_c1").alias("_n1"))  # one row
+    tot = F.col("_n0") + F.col("_n1")
     p0, p1 = F.col("_c0") / tot, F.col("_c1") / tot
     px = p0 + p1
-    py0 = F.sum("_c0").over(w) / tot
-    py1 = F.sum("_c1").over(w) / tot
-    return c.select(key, (p0 * F.log(p0 / (px * py0))).alias("lmi_unchanged"),
+    py0, py1 = F.col("_n0") / tot, F.col("_n1") / tot
+    return c.crossJoin(F.broadcast(sums)).select(key, (p0 * F.log(p0 / (px * py0))).alias("lmi_unchanged"),
                     (p1 * F.log(p1 / (px * py1))).alias("lmi_changed"))
 
 
 def group_edits_by_edit(paired: DataFrame) -> DataFrame:
     """Per (template, edit): number of edits and number that changed the
     prediction."""
-    return (paired.withColumn("edit", fmt_edit("w", "w_")).groupBy("tpl", "edit")
+    pair = isinstance(paired.schema["w"].dataType.elementType, T.ArrayType)
+    return (paired.withColumn("edit", fmt_edit("w", "w_", pair)).groupBy("tpl", "edit")
             .agg(F.count(F.lit(1)).alias("count"),
                  F.sum(F.col("changed").cast("int")).cast("long").alias("changed")))
 

@@ -39,9 +39,20 @@ def _null_safe_on(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Co
     return cond
 
 
+#: Groups whose starts or sizes are broadcast once counted; more of them meet in a shuffle join.
+MAX_BROADCAST_GROUPS = 100_000
+
+
+def _broadcast_if_few(groups: DataFrame) -> DataFrame:
+    """A one-row-per-group table, broadcast if it is counted small: the ranked rows then
+    stay where they are instead of meeting in one task per group."""
+    few = groups.limit(MAX_BROADCAST_GROUPS + 1).count() <= MAX_BROADCAST_GROUPS
+    return F.broadcast(groups) if few else groups
+
+
 def distributed_rank(df: DataFrame, order: Sequence, by: Sequence[str] = (),
                      rank_col: str = "rank", partitions: int | None = None) -> DataFrame:
-    """``row_number() OVER (PARTITION BY by ORDER BY order)`` as an int column.
+    """``row_number() OVER (PARTITION BY by ORDER BY order)`` as a bigint column.
 
     ``order`` holds names or sort Columns (``F.col(x).desc()``); it must make
     the order total.  Null group keys form their own group.
@@ -63,7 +74,7 @@ def distributed_rank(df: DataFrame, order: Sequence, by: Sequence[str] = (),
            .withColumn("_sk_g", F.col("_sk_off") + F.col("_sk_pos")))
     if by:
         starts = out.groupBy(*by).agg(F.min("_sk_g").alias("_sk_start"))
-        s = starts.alias("_sk_s")
+        s = _broadcast_if_few(starts).alias("_sk_s")
         o = out.alias("_sk_o")
         joined = o.join(s, _null_safe_on(o, s, list(by)), "inner")
         out = joined.select("_sk_o.*", F.col("_sk_s._sk_start"))
@@ -84,12 +95,12 @@ def hash_key(seed, id_col) -> Column:
 
 
 def with_group_sizes(df: DataFrame, by: Sequence[str], name: str = "n_group") -> DataFrame:
-    """Attach the row count of each group (partial aggregate + join back)."""
+    """Attach the row count of each group (partial aggregate, broadcast back if few)."""
     if not by:
         n = df.agg(F.count(F.lit(1)).alias(name))
         return df.crossJoin(F.broadcast(n))  # one row
     o = df.alias("_sk_o")
-    s = df.groupBy(*by).agg(F.count(F.lit(1)).alias(name)).alias("_sk_s")
+    s = _broadcast_if_few(df.groupBy(*by).agg(F.count(F.lit(1)).alias(name))).alias("_sk_s")
     # null-safe: rows whose group is NULL are a group like any other
     return o.join(s, _null_safe_on(o, s, list(by)), "inner").select("_sk_o.*", F.col(f"_sk_s.{name}"))
 

@@ -2,10 +2,10 @@
 
 ``f(S) = Σ_i max_{j∈S} sim(i, j)`` with cosine similarity.  The reference
 builds the dense n×n matrix of the whole pool in memory.  Here the pool of
-each group (class, or everything) is hash-split into **blocks** of bounded
-size (``block_size``); the objective is evaluated block-locally, so memory
-per task is O(block_size²) whatever the data size, and no pair rows are
-ever emitted.
+each group (class, or everything) is hash-split into ``blocks`` **blocks**, an
+argument that holds at every size: with 1 the objective is the exact one, with
+more it is block-local.  A task takes O((n / blocks)²) memory, so the caller
+sets ``blocks`` for the pool at hand; no pair rows are ever emitted.
 
 Selection runs the exact greedy (ties: lowest id) to the end of every block
 in one ``applyInPandas`` pass, recording each pick's marginal gain.  With a
@@ -28,7 +28,8 @@ from pyspark.sql import types as T
 
 from sievekit.operators.rank import distributed_rank, with_group_sizes
 
-DEFAULT_BLOCK = 512
+#: Blocks of a group unless the caller says otherwise.
+DEFAULT_BLOCKS = 8
 
 
 def l2_normalize(vec) -> Column:
@@ -44,11 +45,9 @@ def cosine(a, b) -> Column:
 
 
 def assign_blocks(df: DataFrame, by: Sequence[str], id_col: str = "id",
-                  block_size: int = DEFAULT_BLOCK) -> DataFrame:
-    """Split every group into ``ceil(n / block_size)`` hash blocks."""
-    sized = with_group_sizes(df, list(by), "_n")
-    nb = F.greatest(F.ceil(F.col("_n") / F.lit(float(block_size))), F.lit(1))
-    return sized.withColumn("block", F.pmod(F.xxhash64(F.col(id_col)), nb).cast("int")).drop("_n")
+                  blocks: int = DEFAULT_BLOCKS) -> DataFrame:
+    """Split every group into ``blocks`` hash blocks: a row's block depends on its id alone."""
+    return df.withColumn("block", F.pmod(F.xxhash64(F.col(id_col)), F.lit(int(blocks))).cast("int"))
 
 
 def _greedy(sim: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,10 +86,10 @@ def _block_greedy(keys: Sequence[str], id_col: str, vec_col: str):
 
 
 def greedy_order(df: DataFrame, by: Sequence[str] = (), id_col: str = "id", vec_col: str = "embedding",
-                 block_size: int = DEFAULT_BLOCK) -> DataFrame:
+                 blocks: int = DEFAULT_BLOCKS) -> DataFrame:
     """Per row: ``block``, greedy ``step`` inside its block, marginal ``gain``
     and the global ``order`` (merge of blocks by gain) within its group."""
-    blocked = assign_blocks(df.select(*by, id_col, vec_col), by, id_col, block_size)
+    blocked = assign_blocks(df.select(*by, id_col, vec_col), by, id_col, blocks)
     keys = [*by, "block"]
     schema = T.StructType([df.schema[id_col], T.StructField("step", T.IntegerType()),
                            T.StructField("gain", T.DoubleType())]
@@ -107,12 +106,12 @@ def budget(rate, n) -> Column:
 
 
 def submodular_prune(df: DataFrame, rates: Sequence[int], by: Sequence[str] = (), id_col: str = "id",
-                     vec_col: str = "embedding", block_size: int = DEFAULT_BLOCK) -> DataFrame:
+                     vec_col: str = "embedding", blocks: int = DEFAULT_BLOCKS) -> DataFrame:
     """Keep the first ``ceil((1-q/100)·n)`` rows of the greedy order for every
     rate (per group of ``by`` when given: class-wise budgets keep the class
     ratio).  Output ``(prune_rate, id, gain, order, …by)``."""
     spark = df.sparkSession
-    ordered = with_group_sizes(greedy_order(df, by, id_col, vec_col, block_size), list(by), "_n")
+    ordered = with_group_sizes(greedy_order(df, by, id_col, vec_col, blocks), list(by), "_n")
     grid = spark.createDataFrame([(int(r),) for r in rates], "prune_rate int")
     j = ordered.crossJoin(F.broadcast(grid))
     return (j.filter(F.col("order") <= budget(F.col("prune_rate"), "_n"))
@@ -120,12 +119,12 @@ def submodular_prune(df: DataFrame, rates: Sequence[int], by: Sequence[str] = ()
 
 
 def block_objective(df: DataFrame, selected: DataFrame, by: Sequence[str] = (), id_col: str = "id",
-                    vec_col: str = "embedding", block_size: int = DEFAULT_BLOCK,
+                    vec_col: str = "embedding", blocks: int = DEFAULT_BLOCKS,
                     set_cols: Sequence[str] = ()) -> DataFrame:
-    """Block-local facility-location value ``Σ_i max_{j∈S∩block(i)} sim(i,j)``
+    """Block-local facility-location value ``Σ_i max(0, max_{j∈S∩block(i)} sim(i,j))``
     of the selected set(s) (``set_cols`` name several sets, e.g. a rate), per
     group.  Each block is scored in one pandas call."""
-    blocked = assign_blocks(df.select(*by, id_col, vec_col), by, id_col, block_size)
+    blocked = assign_blocks(df.select(*by, id_col, vec_col), by, id_col, blocks)
     keys = [*by, "block"]
     sets = selected.select(*set_cols, id_col).withColumn("_in", F.lit(True))
     if set_cols:
@@ -141,7 +140,7 @@ def block_objective(df: DataFrame, selected: DataFrame, by: Sequence[str] = (),
         norms = np.linalg.norm(x, axis=1, keepdims=True)
         x = x / np.where(norms > 0, norms, 1.0)
         m = pdf["_in"].to_numpy()
-        val = float((x @ x[m].T).max(axis=1).sum()) if m.any() else 0.0
+        val = float(np.maximum((x @ x[m].T).max(axis=1), 0.0).sum()) if m.any() else 0.0
         out = pd.DataFrame({"value": [val], "n_selected": [int(m.sum())]})
         for k in gkeys:
             out[k] = pdf[k].iloc[0]
@@ -154,10 +153,10 @@ def block_objective(df: DataFrame, selected: DataFrame, by: Sequence[str] = (),
 
 
 def marginal_gains(df: DataFrame, selected: DataFrame, by: Sequence[str] = (), id_col: str = "id",
-                   vec_col: str = "embedding", block_size: int = DEFAULT_BLOCK) -> DataFrame:
+                   vec_col: str = "embedding", blocks: int = DEFAULT_BLOCKS) -> DataFrame:
     """Marginal gain of every candidate given the selected set, block-locally:
     ``Σ_i max(0, sim(i, c) − cover_i)``."""
-    blocked = assign_blocks(df.select(*by, id_col, vec_col), by, id_col, block_size)
+    blocked = assign_blocks(df.select(*by, id_col, vec_col), by, id_col, blocks)
     keys = [*by, "block"]
     marked = blocked.join(selected.select(id_col).withColumn("_in", F.lit(True)), id_col, "left") \
         .withColumn("_in", F.coalesce("_in", F.lit(False)))
@@ -168,7 +167,7 @@ def marginal_gains(df: DataFrame, selected: DataFrame, by: Sequence[str] = (), i
         x = x / np.where(norms > 0, norms, 1.0)
         sim = x @ x.T
         m = pdf["_in"].to_numpy()
-        cover = sim[:, m].max(axis=1) if m.any() else np.zeros(len(pdf))
+        cover = np.maximum(sim[:, m].max(axis=1), 0.0) if m.any() else np.zeros(len(pdf))
         gain = np.maximum(sim - cover[:, None], 0.0).sum(axis=0)
         out = pd.DataFrame({id_col: pdf[id_col].to_numpy(), "gain": gain, "selected": m})
         for k in keys:
@@ -180,10 +179,10 @@ def marginal_gains(df: DataFrame, selected: DataFrame, by: Sequence[str] = (), i
 
 
 def nearest_neighbour(df: DataFrame, by: Sequence[str] = (), id_col: str = "id", vec_col: str = "embedding",
-                      block_size: int = DEFAULT_BLOCK) -> DataFrame:
+                      blocks: int = DEFAULT_BLOCKS) -> DataFrame:
     """Per row: the most similar other row of its block and that cosine
     similarity — a linear-size summary of the block similarity matrix."""
-    blocked = assign_blocks(df.select(*by, id_col, vec_col), by, id_col, block_size)
+    blocked = assign_blocks(df.select(*by, id_col, vec_col), by, id_col, blocks)
     keys = [*by, "block"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -180,6 +180,10 @@ def tree_parse_ok(trees: pd.Series) -> pd.Series:
     return pd.Series([parse(t) is not None for t in trees])
 
 
+#: Node rows after which a frame is handed on: memory does not grow with the trees of a batch.
+FRAME_ROWS = 4096
+
+
 def _explode_batches(keep: list[str], scfg: bool):
     def run(batches):
         import pandas as pd
@@ -198,6 +202,9 @@ def _explode_batches(keep: list[str], scfg: bool):
                     out[c].extend([vals[i]] * n)
                 for j, c in enumerate(NODE_COLS):
                     out[c].extend([r[j] for r in rows])
+                if len(out["node_no"]) >= FRAME_ROWS:
+                    yield pd.DataFrame(out, columns=keep + NODE_COLS)
+                    out = {c: [] for c in keep + NODE_COLS}
             if out["node_no"]:  # an all-unparsable batch yields nothing
                 yield pd.DataFrame(out, columns=keep + NODE_COLS)
     return run

@@ -72,9 +72,14 @@ def _trees(spark, sf):
     return ex.select(F.col("id").alias("uid"), "y", TR.flat_tree(TX.tokens_basic("text")).alias("tree"))
 
 
+def _spread(spark):
+    """Tasks for tree parsing: every core, and no fewer than the session's shuffles get."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _nodes(spark, sf):
     # parsing is CPU-bound Python: spread the trees over every core first
-    return TR.tree_nodes(_trees(spark, sf), "tree", partitions=spark.sparkContext.defaultParallelism)
+    return TR.tree_nodes(_trees(spark, sf), "tree", partitions=_spread(spark))
 
 
 def _incidence(spark, sf):
@@ -497,7 +502,7 @@ def _pair_nodes(spark, sf):
                      TX.tokens_basic("premise").alias("a_tokens"), TX.tokens_basic("hypothesis").alias("b_tokens"))
     trees = t.select("uid", "y", "a_tokens", "b_tokens", TR.pair_tree("a_tokens", "b_tokens").alias("tree"))
     return t, TR.tree_nodes(trees.select("uid", "y", "tree"), "tree", scfg=True,
-                            partitions=spark.sparkContext.defaultParallelism)
+                            partitions=_spread(spark))
 
 
 @register("subtree_features_scfg")

@@ -143,11 +143,7 @@ FROM examples e JOIN trees t ON e.id = t.id JOIN preds p ON p.id = e.id WHERE p.
 def q_load_trees_from_predictions(spark, sf):
     """Prediction JSON of the train and test splits → flat rows with trees."""
     base = _write_predictions(spark, sf)
-    out = None
-    for split, name in (("train", "toxic_train"), ("test", "toxic")):
-        df = spark.read.schema(_PRED_SCHEMA).json(f"{base}/predictions.{name}.end.json")
-        f = FS.flatten_predictions(df).withColumn("split", F.lit(split))
-        out = f if out is None else out.unionByName(f)
+    out = FS.load_trees_from_predictions(spark, base, "toxic", _PRED_SCHEMA, multi_line=False)
     return out.select("uid", "sentence", "label", "tree", "predicted", "split")
 
 

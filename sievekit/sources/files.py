@@ -2,18 +2,21 @@
 
 Schemas are always given (never inferred).  Texts hold quotes, commas and
 newlines, so CSV is read with ``multiLine`` and ``"`` as escape.  Row-position
-ids (the reference's ``uid = row number`` when a file has no uid column) come
-from ``zipWithIndex`` over the file scan, which is stable for a given file.
+ids (the reference's ``uid = row number`` when a file has no uid column) follow
+the order of file paths, then places in a file, however Spark deals out the files.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sievekit.operators.rank import distributed_rank
+
 SPLIT_PARTITIONS = ("strategy", "inf_score", "prune_type", "prune_rate")
 
 
@@ -32,12 +35,21 @@ def read_labelled_tsv(spark: SparkSession, path: str, schema: T.StructType | str
 
 
 def with_row_uid(df: DataFrame, uid_col: str = "uid") -> DataFrame:
-    """Add ``uid`` = row position (string) when the file has none."""
+    """Add ``uid`` = row position (string, from 0) when the file has none.
+
+    Rows of a file scan count by path, place of the split and row; others in the
+    order of their partitions.  The rank is exact and made by Spark's range sort."""
     if uid_col in df.columns:
         return df.withColumn(uid_col, F.col(uid_col).cast("string"))
-    schema = T.StructType(df.schema.fields + [T.StructField(uid_col, T.StringType(), False)])
-    rdd = df.rdd.zipWithIndex().map(lambda rv: tuple(rv[0]) + (str(rv[1]),))
-    return df.sparkSession.createDataFrame(rdd, schema)
+    keys = {"_sk_row": F.monotonically_increasing_id()}
+    try:
+        at = {"_sk_file": F.col("_metadata.file_path"), "_sk_block": F.col("_metadata.file_block_start")}
+        placed = df.select("*", *(c.alias(k) for k, c in {**at, **keys}.items()))
+        order = [*at, *keys]
+    except AnalysisException:  # not a file scan
+        placed, order = df.select("*", keys["_sk_row"].alias("_sk_row")), [*keys]
+    ranked = distributed_rank(placed, order, rank_col="_sk_rank")
+    return ranked.select(*df.columns, (F.col("_sk_rank") - 1).cast("string").alias(uid_col))
 
 
 def load_examples(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -68,9 +80,11 @@ def load_examples_json(spark: SparkSession, path: str, schema: T.StructType | st
     dropped."""
     df = spark.read.schema(schema).option("multiLine", multi_line).json(path)
     pos_col = "_pos"
-    indexed = with_row_uid(df, pos_col)
-    uid = F.coalesce(F.col("uid").cast("string"), F.col(pos_col)) if "uid" in df.columns else F.col(pos_col)
-    out = indexed.withColumn("uid", uid)
+    if "uid" in df.columns and df.where(F.col("uid").isNull()).isEmpty():
+        out = df.withColumn("uid", F.col("uid").cast("string"))
+    else:
+        uid = F.coalesce(F.col("uid").cast("string"), F.col(pos_col)) if "uid" in df.columns else F.col(pos_col)
+        out = with_row_uid(df, pos_col).withColumn("uid", uid)
     if "text" in df.columns:
         t = F.col("text")
         cleaned = F.when(t.startswith("<br"), F.replace(F.replace(t, F.lit("<br />"), F.lit("")),
@@ -89,7 +103,6 @@ def load_tree_table(spark: SparkSession, paths: dict[str, str], schema: T.Struct
                     sep: str = ",") -> DataFrame:
     """Split files holding a ``tree`` column → one table with a ``split``
     column; ``uid`` as string, ``y`` = label.  A missing split is empty."""
-    from pyspark.sql.utils import AnalysisException
     out = None
     for split, path in paths.items():
         try:
@@ -132,14 +145,14 @@ def flatten_predictions(preds: DataFrame) -> DataFrame:
 
 
 def load_trees_from_predictions(spark: SparkSession, output_dir: str, dataset: str,
-                                schema: T.StructType | str) -> DataFrame:
+                                schema: T.StructType | str, multi_line: bool = True) -> DataFrame:
     """``predictions.{dataset}_train.end.json`` (train) and
-    ``predictions.{dataset}.end.json`` (test), flattened, with ``split``."""
-    from pyspark.sql.utils import AnalysisException
+    ``predictions.{dataset}.end.json`` (test), flattened, with ``split``; a file holds one
+    JSON array (``multi_line``) or a row per line."""
     out = None
     for split, name in (("train", f"{dataset}_train"), ("test", dataset)):
         try:
-            df = spark.read.schema(schema).option("multiLine", True).json(
+            df = spark.read.schema(schema).option("multiLine", multi_line).json(
                 f"{output_dir.rstrip('/')}/predictions.{name}.end.json")
             df.schema  # noqa: B018
         except AnalysisException:

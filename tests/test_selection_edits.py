@@ -21,7 +21,7 @@ def _vectors(n, d=8, seed=3):
 def test_greedy_matches_brute_force_single_block(spark):
     x = _vectors(40)
     df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id long, embedding array<double>")
-    got = SL.greedy_order(df, block_size=1000).orderBy("order").select("id", "gain").collect()
+    got = SL.greedy_order(df, blocks=1).orderBy("order").select("id", "gain").collect()
     xn = x / np.linalg.norm(x, axis=1, keepdims=True)
     sim = xn @ xn.T
     chosen, cover = [], np.zeros(len(x))
@@ -36,12 +36,12 @@ def test_greedy_matches_brute_force_single_block(spark):
 def test_facility_value_monotone_and_beats_random(spark):
     x = _vectors(300, seed=5)
     df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id long, embedding array<double>")
-    sel = SL.submodular_prune(df, [40, 60, 80], block_size=100).select("prune_rate", "id")
-    vals = {r.prune_rate: r.value for r in SL.block_objective(df, sel, block_size=100, set_cols=["prune_rate"]).collect()}
+    sel = SL.submodular_prune(df, [40, 60, 80], blocks=3).select("prune_rate", "id")
+    vals = {r.prune_rate: r.value for r in SL.block_objective(df, sel, blocks=3, set_cols=["prune_rate"]).collect()}
     assert vals[80] <= vals[60] <= vals[40]
     n20 = math.ceil(0.2 * 300)
     rnd = df.select("id").orderBy(F.md5(F.col("id").cast("string"))).limit(n20).withColumn("prune_rate", F.lit(80))
-    rv = SL.block_objective(df, rnd, block_size=100, set_cols=["prune_rate"]).collect()[0].value
+    rv = SL.block_objective(df, rnd, blocks=3, set_cols=["prune_rate"]).collect()[0].value
     assert vals[80] >= rv
 
 
