@@ -58,11 +58,16 @@ def _may_have_base(w: Words) -> np.ndarray:
             i = data.find(n)
             while i >= 0:
                 at.append(i)
-                i = data.find(n, i + len(n))
-    other = np.ones(256, dtype=bool)
-    other[48:58] = other[97:103] = False
-    stops = np.concatenate([[-1], np.flatnonzero(other[w.raw]), [len(w.raw)]])
-    at += (stops[:-1][np.diff(stops) > 32] + 1).tolist()
+                i = data.find(n, i + 1)     # a match across two texts hides none in the second
+    digit = _HEXDIGIT[w.raw]
+    begin, finish = digit.copy(), digit.copy()
+    begin[1:] &= ~digit[:-1]
+    finish[:-1] &= ~digit[1:]
+    full = w.off[1:] > w.off[:-1]           # runs end where their text ends
+    begin[w.off[:-1][full]] = digit[w.off[:-1][full]]
+    finish[w.off[1:][full] - 1] = digit[w.off[1:][full] - 1]
+    starts, ends = np.flatnonzero(begin), np.flatnonzero(finish) + 1
+    at += starts[ends - starts >= 32].tolist()
     return np.unique(np.searchsorted(w.off, np.array(at, dtype=np.int64), side="right") - 1) if at else np.zeros(0, dtype=np.int64)
 
 
@@ -139,10 +144,12 @@ class Field:
             e += self.w[f[:, k]]
         return e
 
-    def can_win(self, e: np.ndarray) -> np.ndarray:
+    def can_win(self, e: np.ndarray, first: np.ndarray) -> np.ndarray:
         """True for tokens that might leave the outside tag on some best path: below 0 the
-        bound shows that a path with the token outside is at least as good."""
-        into = max(self.t[O, B], self.t[B, B], self.t[I, B], self.t[B, I], self.t[I, I]) - self.t[O, O]
+        bound shows that a path with the token outside is at least as good.  ``first``:
+        numbers of the tokens that begin a text; no transition leads into these."""
+        into = np.full(len(e), max(self.t[O, B], self.t[B, B], self.t[I, B], self.t[B, I], self.t[I, I]) - self.t[O, O])
+        into[first] = 0.0
         leave = max(self.t[B, O], self.t[I, O]) - self.t[O, O]
         return np.maximum(e[:, B], e[:, I]) - e[:, O] + into + max(0.0, leave) > 0
 
@@ -262,7 +269,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Field | None:
 def field_spans(w: Words, model: Field) -> dict[int, list[tuple[int, int]]]:
     """Text number -> byte ranges (in the text) of the tagged secrets."""
     e = model.emissions(features(w))
-    hot = np.flatnonzero(model.can_win(e))
+    hot = np.flatnonzero(model.can_win(e, w.first[:-1][w.counts > 0]))
     out: dict[int, list[tuple[int, int]]] = {}
     for d in np.unique(np.searchsorted(w.first, hot, side="right") - 1).tolist():
         a, z = int(w.first[d]), int(w.first[d + 1])

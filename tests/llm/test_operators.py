@@ -208,6 +208,25 @@ def test_secrets_base_and_field(spark):
     assert {r[0]: r[1] for r in red.collect()} == {1: "a [secret] b [secret]", 2: None, 3: "plain"}
 
 
+def test_base_spans_do_not_depend_on_the_neighbours():
+    import pyarrow as pa
+    h = hashlib.md5(b"k").hexdigest()
+    texts = ["all is done", h + " x", h, h, None, "", h[:31], h[0], "AKI", "AKIAABCDEFGHIJKLM", "pass", "word=abcdefgh", "token=abcdefgh1"]
+    for order in (texts, texts[::-1], texts[2:] + texts[:2]):
+        assert [[s[:3] for s in secrets.base_spans(t or "")] for t in order] == secrets.spans_of(pa.array(order, pa.string()), None)
+
+
+def test_first_token_of_a_text_can_win():
+    import pyarrow as pa
+    t = np.array([[4.0, -9.0, -1e9], [0.0, -9.0, -9.0], [0.0, -9.0, -9.0]])
+    w = secrets.Words(pa.array(["", "plain", "key plain"]), secrets.PARTS)
+    f = secrets.Field(np.zeros((secrets.N_FEATURES, 3)), t)
+    own = np.setdiff1d(secrets.features(w)[1], secrets.features(w)[[0, 2]])
+    f.w[own, secrets.B] = 8.0 / len(own)
+    assert f.viterbi(f.emissions(secrets.features(w))[1:]).tolist() == [secrets.B, secrets.O]
+    assert secrets.field_spans(w, f) == {2: [(0, 3)]}
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(5)
     t = rng.normal(size=(3, 3))
