@@ -248,6 +248,17 @@ def test_segments_are_the_maximal_ones():
     assert max(got, key=lambda g: g[2])[2] == pytest.approx(best[0])
 
 
+def test_every_occurrence_of_a_word_scores():
+    m = toxicity.ToxicModel({"bad": 3.0, "ill": 2.0, "vile": 2.5}, scale=1.0, rate=1.0)
+    apart = " ".join(w + " x" * 40 for w in ("bad", "ill", "vile")).split()
+    dense = "bad ill vile".split()
+    words = apart + dense + ["x"] * 40 + dense
+    got = m.segments(words)
+    assert [(a, e) for a, e, s in got if s == 7.5] == [(len(apart), len(apart) + 3), (len(words) - 3, len(words))]
+    assert sum(m.evidence([g], len(words)) > 0 for g in got) == 2
+    assert sorted(s for *_, s in m.segments(words[::-1])) == sorted(s for *_, s in got)
+
+
 def test_models_on_odd_rows_and_held_out(spark):
     rng = random.Random(4)
     good = [(k, " ".join(rng.choice(WORDS) for _ in range(80)) + ".") for k in range(100, 400)]
