@@ -18,7 +18,7 @@ from sievekit.sources.tables import table
 ORACLE_SQL = None
 
 #: A document is rejected only if its language is undetermined, or its best language
-#: contains less than about this share of its trigrams.
+#: contains less than about this share of the trigrams it would know in a new text of its own.
 LEAST_SCORE = 0.2
 
 
@@ -29,7 +29,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = language.learn(known.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")))
     scored = language.predict(docs.withColumnsRenamed({"lang_pred": "_lang_pred", "score": "_score"}), model,
                               [{"lang_pred": "_lang_pred", "score": "_score"}.get(c, c) for c in docs.columns])
-    kept = scored.where((F.col("lang_pred") != language.UND) & (F.col("score") >= LEAST_SCORE)).drop("lang_pred", "score")
+    least = F.create_map(*(F.lit(x) for name in model.names for x in (name, LEAST_SCORE * model.coverage[name]))) \
+        if model.names else F.lit(None).cast("map<string,double>")
+    kept = scored.where((F.col("lang_pred") != language.UND) & (F.col("score") >= least[F.col("lang_pred")])).drop("lang_pred", "score")
     return kept.withColumnsRenamed({"_lang_pred": "lang_pred", "_score": "score"})
 
 

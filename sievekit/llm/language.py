@@ -1,30 +1,37 @@
 """Language identification with language-bitmask n-gram filters.
 
-Every language owns the character trigrams that make up at least a fixed share
-of its training text.  All sets live in one bit-sliced Bloom filter: a slot holds
-a bit per language, and the AND of a trigram's slots is the bitmask of all
-languages that contain it.  A text's trigrams vote; each language's popcount is
+Every language owns the character trigrams that are frequent in its training text and,
+however rare, all that no other language uses far more.  All sets live in one bit-sliced Bloom filter, sized from the counted trigrams: a slot holds a bit
+per language, and the AND of a trigram's slots is the bitmask of all languages
+that contain it.  A text's trigrams vote; each language's popcount is
 corrected for the rate of false positives its slots have, and the largest wins.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievekit.llm._common import fold_of, local_rows, rows, stash
 from sievekit.llm._words import U64, mix64, sliced
 
-#: Least share of a language's trigrams: no language can own more than 1 / SHARE.
+#: A trigram is frequent from this share of a language's trigrams on; a rarer one is owned
+#: unless another language uses it more than FOREIGN times as much.
 SHARE = 5e-5
-#: Slots of the filter for each 64 languages, and probes for each trigram.
+FOREIGN = 2.0
+#: Slots of the filter for each 64 languages, at least; slots for each trigram of the
+#: language that has most; probes for each trigram.
 SLOTS = 1 << 20
+PER_GRAM = 16
 PROBES = 4
+#: Trigrams the driver takes in at a time, about.
+MET = 4_000_000
 #: Languages the training labels may name.
 MAX_LANGUAGES = 1024
 
@@ -92,28 +99,42 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def language_grams(labelled: DataFrame, share: float = SHARE) -> DataFrame:
-    """``lang, gram, n, total``: the trigrams each language owns, from all ``text, lang`` rows."""
+    """``lang, gram, n, total, own``: the trigrams of each language, from all ``text, lang``
+    rows, and whether the language owns them.  Foreign words put the trigrams of one
+    language into texts of another, there less often by far; what is rare in all goes to
+    those that use it most, so a script of many letters loses none at any size."""
     counts = stash(labelled.select("text", "lang").mapInArrow(_count, "lang string, gram bigint, n bigint")
                    .groupBy("lang", "gram").agg(F.sum("n").alias("n")), "trigrams")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    return counts.join(totals, "lang").where(F.col("n") >= share * F.col("total"))
+    part = F.col("n") / F.col("total")
+    most = F.max(part).over(Window.partitionBy("gram"))     # a row per language
+    return stash(counts.join(F.broadcast(totals), "lang")
+                 .withColumn("own", (part >= share) | (part * FOREIGN >= most)), "owned")
 
 
 @dataclass
 class LanguageFilter:
-    """``slots[s, w]``: for slot s the bits of languages 64 w to 64 w + 63."""
+    """``slots[s, w]``: for slot s the bits of languages 64 w to 64 w + 63; ``coverage``:
+    the share of a language's trigrams expected to be known in a new text of it."""
     names: list[str]
     slots: np.ndarray
+    coverage: dict[str, float] = field(default_factory=dict)
+
+    @classmethod
+    def empty(cls, names: list[str], n_slots: int) -> LanguageFilter:
+        return cls(names, np.zeros((n_slots, max(1, -(-len(names) // 64))), dtype=U64))
 
     @classmethod
     def build(cls, grams: list[tuple[str, int]], n_slots: int = SLOTS) -> LanguageFilter:
-        names = sorted({g[0] for g in grams})
-        slots = np.zeros((n_slots, max(1, -(-len(names) // 64))), dtype=U64)
-        for k, name in enumerate(names):
-            key = np.array([g[1] for g in grams if g[0] == name], dtype=np.int64).view(U64)
-            for place in _probes(key, n_slots):
-                slots[place, k // 64] |= U64(1 << (k % 64))
-        return cls(names, slots)
+        out = cls.empty(sorted({g[0] for g in grams}), n_slots)
+        for k, name in enumerate(out.names):
+            out.add(k, np.array([g[1] for g in grams if g[0] == name], dtype=np.int64).view(U64))
+        return out
+
+    def add(self, k: int, keys: np.ndarray) -> None:
+        """Language number k owns the keys."""
+        for place in _probes(keys, len(self.slots)):
+            self.slots[place, k // 64] |= U64(1 << (k % 64))
 
     def masks(self, keys: np.ndarray) -> np.ndarray:
         """The bitmask of the languages that contain each key."""
@@ -125,8 +146,11 @@ class LanguageFilter:
 
     def false_rate(self) -> np.ndarray:
         """Per language, the chance that a key it lacks passes all probes."""
-        fill = [((self.slots[:, k // 64] >> U64(k % 64)) & U64(1)).mean() for k in range(len(self.names))]
-        return np.array(fill) ** PROBES
+        got = self.__dict__.get("_rate")
+        if got is None:
+            fill = [np.count_nonzero(self.slots[:, k // 64] & U64(1 << (k % 64))) / len(self.slots) for k in range(len(self.names))]
+            got = self.__dict__["_rate"] = np.array(fill) ** PROBES
+        return got
 
     def votes(self, keys: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
         """Corrected popcounts, (texts, languages)."""
@@ -145,12 +169,27 @@ def _probes(keys: np.ndarray, n_slots: int) -> list[np.ndarray]:
     return [((a + U64(i) * b) % U64(n_slots)).astype(np.int64) for i in range(PROBES)]
 
 
-def learn(labelled: DataFrame, share: float = SHARE) -> LanguageFilter:
-    """A filter from all rows with a text and a language; its size is bounded by
-    ``share`` and the number of languages."""
+def learn(labelled: DataFrame) -> LanguageFilter:
+    """A filter from all rows with a text and a language; it grows with the trigrams of the
+    language that has most.  ``coverage`` is the share of owned trigrams without those
+    seen once (Good and Turing's estimate of what new text adds)."""
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    got = local_rows(language_grams(known, share).select("lang", "gram"), int(1 / share) * MAX_LANGUAGES)
-    return LanguageFilter.build([(r[0], r[1]) for r in got])
+    grams = language_grams(known)
+    sizes = sorted(local_rows(grams.groupBy("lang").agg(
+        F.count_if("own").alias("grams"), (F.sum(F.when(F.col("own") & (F.col("n") > 1), F.col("n")).otherwise(0)) / F.max("total"))
+        .alias("coverage")), MAX_LANGUAGES))
+    most = max((r["grams"] for r in sizes), default=0)
+    out = LanguageFilter.empty([r["lang"] for r in sizes], max(SLOTS, 1 << (PER_GRAM * most - 1).bit_length()) if most else SLOTS)
+    out.coverage = {r["lang"]: r["coverage"] for r in sizes}
+    part = (np.cumsum([r["grams"] for r in sizes]) // MET).tolist()
+    for p in sorted(set(part)):             # about MET keys at a time meet in the driver
+        some = [k for k in range(len(sizes)) if part[k] == p]
+        got = grams.where(F.col("own") & F.col("lang").isin([out.names[k] for k in some])).select("lang", "gram").toArrow()
+        keys = got.column("gram").to_numpy().view(U64)
+        for k in some:
+            out.add(k, keys[pc.equal(got.column("lang"), out.names[k]).to_numpy()])
+    out.false_rate()
+    return out
 
 
 _PREDICTED = pa.schema([("lang_pred", pa.string()), ("score", pa.float64())])

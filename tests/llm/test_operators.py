@@ -287,6 +287,23 @@ def test_language(spark):
     assert {r.lang_pred for r in language.identify(docs(spark, ODD, [None] * len(ODD))).collect()} == {"und"}
 
 
+def test_many_letter_scripts_keep_their_trigrams(spark):
+    rng = random.Random(7)
+    han, kana = [chr(0x4E00 + k) for k in range(3000)], [chr(0xAC00 + k) for k in range(3000)]
+    zipf = [1 / (k + 1) for k in range(3000)]
+    make = lambda letters, n: "".join(rng.choices(letters, zipf, k=n))
+    for per in (10, 150):
+        rows = [(k, make(kana if k % 2 else han, 400)) for k in range(10, 10 + per)]
+        langs = ["ko" if k % 2 else "zh" for k, _ in rows]
+        d = docs(spark, rows, langs)
+        model = language.learn(d)
+        got = {r.doc_id: r for r in language.predict(d, model, ["doc_id"]).collect()}
+        assert all(got[k].lang_pred == lang and got[k].score > 0.95 for (k, _), lang in zip(rows, langs))
+        new = docs(spark, [(k, make(kana if k % 2 else han, 400)) for k in range(20)])
+        for r in language.predict(new, model, ["doc_id"]).collect():
+            assert r.lang_pred == ("ko" if r.doc_id % 2 else "zh") and r.score >= 0.2 * model.coverage[r.lang_pred]
+
+
 def test_bloom_masks_contain_every_language_of_a_gram():
     f = language.LanguageFilter.build([(f"l{k:03}", g) for k in range(70) for g in range(k, k + 50)], 1 << 14)
     m = f.masks(np.arange(120, dtype=np.uint64))
