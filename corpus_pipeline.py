@@ -36,19 +36,29 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join: of each component the document of the smallest id stays
-    (of rows that repeat that id in a component, the one of least text and columns)."""
-    found = neardup.near_duplicates(docs)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    first = docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
-    return first.dropDuplicates(["doc_id", "text"])
+    """N-gram Jaccard join: of each component the document of the smallest id stays, of
+    rows that share it the one of least text (null ids come last).  Rows without words
+    stand alone; rows of equal id and text are one."""
+    found = stash(neardup.row_components(docs).select("doc_id", "row", "root").distinct(), "components")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")
+    least = found.where("root is not null").groupBy("root").agg(F.min(rank).alias("least"))
+    first = stash(found.join(least, "root").where(rank.eqNullSafe(F.col("least"))).select("root", "row"), "first")
+    tied = first.groupBy("root").agg(F.count("*").alias("n"), F.min("row").alias("row"))
+    rows_ = docs.withColumn("_row", neardup.row_key(docs))
+    # texts are compared only where rows of one component share its least id
+    texts = first.join(tied.where("n > 1").select("root"), "root").join(
+        rows_.select(F.col("_row").alias("row"), F.col("text").cast("string").alias("_text")), "row")
+    by_text = texts.groupBy("root").agg(F.min(F.struct("_text", "row")).alias("m")).select("m.row")
+    keep = (found.where("root is null").select("row").unionByName(tied.where("n = 1").select("row")).unionByName(by_text))
+    return rows_.join(keep, rows_["_row"] == keep["row"], "left_semi").dropDuplicates(["_row"]).drop("_row")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark decontamination: documents that hold a benchmark window go."""
-    seen = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    bad = seen.where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    """Benchmark decontamination: documents that hold a benchmark window go; rows are told
+    apart by id and text."""
+    seen = decontaminate.row_hits(docs, table(spark, sf_dir, "benchmark"))
+    bad = seen.where("contaminated").select("doc_id", "h").distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]) & (F.xxhash64(docs["text"]) == bad["h"]), "left_anti")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -116,6 +116,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
     no hits.  A null item_id takes no part in ``items_sha256``; an empty
     benchmark leaves every document clean.  Other columns are ignored.
     """
+    return row_hits(docs, benchmark, size).drop("h")
+
+
+def row_hits(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
+    """``decontaminate`` with ``h``, the digest of the text: with the id it names the row judged."""
     docs = docs.select("doc_id", "text")
     key = F.struct(F.col("doc_id"), F.xxhash64("text").alias("h"))
     keyed = docs.select(key.alias("key"), "text")
@@ -136,7 +141,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
     out = base.join(found, base["doc_id"].eqNullSafe(found["_id"]) & (base["h"] == found["_h"]), "left")
     ids = F.coalesce(F.col("ids"), F.array().cast("array<string>"))
     return out.select(
-        base["doc_id"], "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        base["doc_id"], base["h"], "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.size(ids).cast("long").alias("n_items"),
         F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievekit.llm._common import rows, stash
@@ -332,8 +332,19 @@ def near_duplicates(docs: DataFrame, turns: int = TURNS, block: int = BLOCK) ->
     repeated id; null ids never name a component that has another.  An empty table
     gives no rows; other columns are ignored.
     """
+    return row_components(docs, turns, block).select("doc_id", "n_shingles", "component_id")
+
+
+def row_key(docs: DataFrame) -> Column:
+    """What ``row_components`` names a row by: a digest of its id and text."""
+    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
+
+
+def row_components(docs: DataFrame, turns: int = TURNS, block: int = BLOCK) -> DataFrame:
+    """``near_duplicates`` with the ``row`` (``row_key``) and the ``root`` of its component
+    (null: a row without a set, alone); ids, null or repeated, name neither."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    own = own.withColumn("row", F.xxhash64("doc_id", "text"))
+    own = own.withColumn("row", row_key(own))
     sketch = stash(own.select("doc_id", "row", "text").mapInArrow(_sketch, "doc_id bigint, row bigint, n bigint, node bigint"), "sketch")
     nodes = stash(sketch.where("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("least"), F.min("row").alias("row")), "nodes")
@@ -358,10 +369,11 @@ def near_duplicates(docs: DataFrame, turns: int = TURNS, block: int = BLOCK) ->
         found = root.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a != b")
     least = (nodes.select("node", "least").join(root, "node")
              .groupBy("root").agg(F.min("least").alias("component_id")))
-    of_node = root.join(least, "root").select("node", "component_id")
+    of_node = root.join(least, "root").select("node", "root", "component_id")
     # equal sets: the node's least id; narrow rows, and a join that Spark splits when copies crowd one node
     named = nodes.select("node", "least").join(of_node, "node", "left") \
-        .select("node", F.coalesce("component_id", "least").alias("component_id"))
-    return (sketch.select("doc_id", "n", "node").join(named, "node", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"),
+        .select("node", F.coalesce("root", "node").alias("root"),
+                F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    return (sketch.select("doc_id", "row", "n", "node").join(named, "node", "left")
+            .select("doc_id", "row", "root", F.col("n").alias("n_shingles"),
                     F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))

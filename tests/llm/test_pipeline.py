@@ -38,3 +38,19 @@ def test_pipeline(spark, tmp_path):
     empty = spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0)
     for _, stage in P.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_decisions_hold_for_the_row_judged(spark, tmp_path):
+    import corpus_pipeline as P
+    rng = random.Random(9)
+    text = lambda n: " ".join(rng.choice(WORDS) + rng.choice(WORDS) for _ in range(n))
+    a, b, c, d, e, item = (text(60) for _ in range(6))
+    rows = [(None, a), (None, a), (None, a + " end"), (1, b), (None, b + " end"), (7, c + " z"), (7, c + " y"), (7, d), (None, e),
+            (None, e + " " + item), (7, text(30) + " " + item), (8, None), (8, None), (None, " "), (2, d + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r.doc_id, r.text) for r in P.drop_contaminated(spark, docs, str(tmp_path)).collect()}
+    assert got == {r for r in rows if item not in (r[1] or "")}
+    kept = [(r.doc_id, r.text) for r in P.drop_near_duplicates(spark, docs, str(tmp_path)).collect()]
+    want = [(None, a), (1, b), (7, c + " y"), (2, d + " end"), (None, e), rows[9], rows[10], (8, None), (None, " ")]
+    assert sorted(kept, key=repr) == sorted(want, key=repr)
