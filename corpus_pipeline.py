@@ -76,7 +76,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Best-fit packing: where each piece of each document stands."""
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, added=packing.added_tokens())
 
 
 STAGES = [

@@ -46,10 +46,11 @@ class ChunkEncoder:
     A text is cut at blanks that always part tokens, and the ids of each distinct
     chunk are remembered, so a corpus is merged about once per distinct word.
     Chunks that recur are ids of ``tokenizers``' vocabulary read as ranks by
-    ``tiktoken`` (the same merges, several times faster on short strings).
+    ``tiktoken`` (the same merges, several times faster on short strings).  ``added``
+    tokens (content to id) are found first, as ``tokenizers`` does by default.
     """
 
-    def __init__(self, ranks_path: str):
+    def __init__(self, ranks_path: str, added: dict[str, int] | None = None):
         import base64
 
         import public_tokenizers
@@ -59,13 +60,23 @@ class ChunkEncoder:
         self._encode = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
                                          special_tokens={}).encode_ordinary
         self._known: dict[str, bytes] = {}
+        self._added = {t: np.array([i], dtype="<u4").tobytes() for t, i in (added or {}).items()}
+        longest = sorted(self._added, key=len, reverse=True)
+        self._parts = re.compile("(" + "|".join(map(re.escape, longest)) + ")").split if longest else None
+
+    def _cut(self, text: str) -> list[str]:
+        if self._parts is None:
+            return CUT.split(text)
+        parts = self._parts(text)
+        return CUT.split(text) if len(parts) == 1 else [c for p in parts for c in ([p] if p in self._added else CUT.split(p))]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit bytes."""
-        cut = [CUT.split(t) for t in texts]
+        cut = [self._cut(t) for t in texts]
         known = self._known
         if len(known) > MEMORY:
             known.clear()
+        known.update(self._added)
         for new in set().union(*cut).difference(known) if cut else ():
             known[new] = np.array(self._encode(new), dtype="<u4").tobytes()
         return [b"".join(map(known.__getitem__, c)) for c in cut]
@@ -76,6 +87,18 @@ def default_ranks() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def added_tokens() -> dict[str, int]:
+    """The added tokens of ``byte_bpe_50k.json`` that are plain strings, with their ids."""
+    import json
+
+    import public_tokenizers
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        got = json.load(f)["added_tokens"]
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in got):
+        raise ValueError("added tokens that take in what stands around them are not supported")
+    return {t["content"]: t["id"] for t in got}
+
+
 def _cut_ids(ids: bytes, limit: int) -> Iterator[tuple[int, int, bytes]]:
     """(start, length, bytes) of the pieces of one document; only the first is short."""
     n = len(ids) // 4
@@ -87,13 +110,15 @@ def _cut_ids(ids: bytes, limit: int) -> Iterator[tuple[int, int, bytes]]:
         at += size
 
 
-def pieces(docs: DataFrame, limit: int = SEQUENCE, ranks: str | None = None, keep_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, limit: int = SEQUENCE, ranks: str | None = None, keep_ids: bool = False,
+           added: dict[str, int] | None = None) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, row`` (and ``ids`` binary): every
     document's ids and the end id, cut into pieces of at most ``limit`` where they
-    are more.  ``row`` tells repeated ids apart.  Null text: the end id alone."""
+    are more.  ``row`` tells repeated ids apart.  Null text: the end id alone.
+    ``added``: strings that are one token each (``added_tokens()``); without, they are plain text."""
     def cut(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = ChunkEncoder(ranks or default_ranks())
+        encode = ChunkEncoder(ranks or default_ranks(), added)
         end = np.array([END_ID], dtype="<u4").tobytes()
         for b in sliced(batches):
             out: list[tuple] = []
@@ -190,13 +215,14 @@ def pack(items: DataFrame, limit: int = SEQUENCE, per_block: int = BLOCK) -> Dat
     return placed.unionByName(whole).select("item", F.xxhash64("seq").alias("sequence_id"), "offset")
 
 
-def pack_documents(docs: DataFrame, limit: int = SEQUENCE, per_block: int = BLOCK, ranks: str | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, limit: int = SEQUENCE, per_block: int = BLOCK, ranks: str | None = None,
+                   added: dict[str, int] | None = None) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of every piece.
 
     Null and empty texts are a piece of one id.  A repeated row is packed as often
     as it occurs.  Other columns are ignored; an empty table gives no rows.
     """
-    p = pieces(docs, limit, ranks)
+    p = pieces(docs, limit, ranks, added=added)
     # a row that occurs more than once gives equal pieces: number them within their (rare) group
     w = stash(p, "pieces")
     copies = w.groupBy("row", "piece").agg(F.count("*").alias("n")).where("n > 1")

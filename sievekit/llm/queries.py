@@ -65,7 +65,7 @@ def op3_jaccard(spark, sf_dir):
 
 @register("op4_packing")
 def op4_packing(spark, sf_dir):
-    return packing.pack_documents(table(spark, sf_dir, "documents"))
+    return packing.pack_documents(table(spark, sf_dir, "documents"), added=packing.added_tokens())
 
 
 @register("op5_quality")

@@ -122,6 +122,22 @@ def test_packing(spark):
     assert packing.pack_documents(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_added_tokens_are_found_as_by_default():
+    from tokenizers import Tokenizer
+    import public_tokenizers
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>  x", "a<|endoftext|>", " <|endoftext| > \n<|endoftext|>\n y", "", "don't  we'll"]
+    encode = packing.ChunkEncoder(packing.default_ranks(), packing.added_tokens())
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in encode(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_query_packs_added_tokens(spark, tmp_path):
+    from sievekit.llm.queries import QUERIES
+    docs(spark, [(1, "a <|endoftext|> b")]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op4_packing"](spark, str(tmp_path)).collect()
+    assert [(r.length, r.ids_crc32) for r in got] == [(5, zlib.crc32(np.array([64, 220, 50256, 275, 2], dtype="<u4").tobytes()))]
+
+
 def test_sum_of_squares_prefers_the_crowded_gap():
     where, offset = packing.sum_of_squares(np.array([7, 7, 7, 6, 3]), 10)
     assert where.tolist() == [0, 1, 2, 3, 2] and offset.tolist() == [0, 0, 0, 0, 7]
