@@ -10,6 +10,7 @@ pass are measured exactly.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -89,35 +90,48 @@ class Scanner:
         return out
 
     def contained(self, h: np.ndarray, first: np.ndarray) -> list[tuple[int, str, float, int, int]]:
-        """(text, label, containment, first word, end word): for each template and hit
-        of its prefix, the best block of words that holds the hit."""
+        """(text, label, containment, first word, end word): for each template the blocks of
+        words that hold enough of it, by place; no two overlap, and no block that overlaps
+        one of them holds more.  A block is cut to the words that count."""
         at = np.searchsorted(self.prefix, h)
         at[at == len(self.prefix)] = 0
-        hits = np.flatnonzero(self.prefix[at] == h) if len(self.prefix) else []
-        best: dict[tuple[int, str], tuple[float, int, int]] = {}
-        for i in hits:
-            d = int(np.searchsorted(first, i, side="right")) - 1
+        hits = np.flatnonzero(self.prefix[at] == h) if len(self.prefix) else np.zeros(0, dtype=np.int64)
+        out = []
+        of = np.searchsorted(first, hits, side="right") - 1
+        for d in np.unique(of).tolist():
+            own = hits[of == d]
             for label, order, need, width in self.templates:
-                place = np.flatnonzero(order[:len(order) - need + 1] == h[i])
-                if not len(place):
-                    continue
-                a, e = max(int(first[d]), int(i) - width + 1), min(int(first[d + 1]), int(i) + width)
-                if e - a < need:                                      # length filter
-                    continue
-                has = np.isin(order, h[a:e])
-                if has[:place[0]].any() and has[:place[0]].sum() + len(order) - place[0] < need:
-                    continue                                          # an earlier prefix term leads this block
-                if has[place[0]:].sum() + has[:place[0]].sum() < need:  # positional filter over the neighbourhood
+                mine = own[np.isin(h[own], order[:len(order) - need + 1])]
+                for n, a, e in self._blocks(h, int(first[d]), int(first[d + 1]), mine.tolist(), order, need, width):
+                    out.append((d, label, n / len(order), a - int(first[d]), e - int(first[d])))
+        return out
+
+    def _blocks(self, h, low, high, hits, order, need, width) -> list[tuple[int, int, int]]:
+        """(terms, from, to) of the blocks in h[low:high], left to right: the first hit that
+        passes gives way to any overlapping block that holds more."""
+        out: list[tuple[int, int, int]] = []
+        todo = [(low, high)]                    # ranges still to search, the last one first
+        while todo:
+            low, high = todo.pop()
+            top = None
+            for i in hits[bisect_left(hits, low):bisect_left(hits, high)]:
+                if top is not None and i >= top[2] + width:
+                    break                       # no block of this hit reaches the one found
+                a, e = max(low, i - width + 1), min(high, i + width)
+                if e - a < need or np.isin(order, h[a:e]).sum() < need:     # length and positional filter
                     continue
-                got = self._best_block(h, a, e, int(i), order, width)
-                old = best.get((d, label))
-                if got[0] >= need and (old is None or got[0] / len(order) > old[0]):
-                    best[d, label] = (got[0] / len(order), int(got[1] - first[d]), int(got[2] - first[d]))
-        return [(d, label, c, a, e) for (d, label), (c, a, e) in best.items()]
+                got = self._best_block(h, a, e, i, order, width)
+                if got[0] >= need and (top is None or got[0] > top[0] and got[1] < top[2] and got[2] > top[1]):
+                    top = got
+            if top is not None:
+                out.append(top)
+                todo += [(top[2], high), (low, top[1])]
+        return sorted(out, key=lambda x: x[1])
 
     @staticmethod
     def _best_block(h, a, e, i, order, width):
-        """Most distinct terms in any ``width`` words of h[a:e] that include word i: (n, from, to)."""
+        """Most distinct terms in any ``width`` words of h[a:e] that include word i: (n, from,
+        to), without the words at either end that add no term."""
         place = {t: k for k, t in enumerate(order.tolist())}
         ids = [place.get(t, -1) for t in h[a:e].tolist()]
         top = (0, a, e)
@@ -125,7 +139,16 @@ class Scanner:
             n = len({k for k in ids[s - a:s - a + width] if k >= 0})
             if n > top[0]:
                 top = (n, s, min(s + width, e))
-        return top
+        n, s, t = top
+        seen: set[int] = set()
+        for t in range(s, top[2]):
+            seen |= {ids[t - a]} - {-1}
+            if len(seen) == n:
+                break
+        t += 1
+        while s < t and (ids[s - a] < 0 or ids[s - a] in ids[s - a + 1:t - a]):
+            s += 1
+        return n, s, t
 
 
 def corpus_frequency(docs: DataFrame, templates: dict[str, str]) -> dict[int, int]:

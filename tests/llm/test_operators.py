@@ -179,6 +179,21 @@ def test_licences(spark):
     assert "gpl-3" in got[13].labels
 
 
+def test_every_licence_block_is_listed(spark):
+    mit, bsd = licences.TEMPLATES["mit"], licences.TEMPLATES["bsd"]
+    part = " ".join(mit.split()[:17])           # enough of it, less than the whole
+    texts = [(1, " ".join([part, mit, mit, "x " * 40, bsd, mit, "y " * 9, bsd])), (2, mit), (3, "x " * 99)]
+    got = {r.doc_id: r for r in licences.scan_licences(docs(spark, texts)).collect()}
+    n, m = len(mit.split()), len(bsd.split())
+    starts = {"mit": [0, 17, 17 + n, 57 + 2 * n + m], "bsd": [57 + 2 * n, 66 + 3 * n + m]}
+    for label, want in starts.items():
+        found = [b for b in got[1].blocks if b["label"] == label]
+        assert len(found) == len(want)
+        assert all(abs(b["first"] - w) <= 4 for b, w in zip(found, want))
+        assert all(x["end"] <= y["first"] for x, y in zip(found, found[1:]))
+    assert [b["label"] for b in got[2].blocks] == ["mit"] and got[1].score == 1.0 and got[3].blocks == []
+
+
 def test_top_k_matches_brute_force(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(300, 6)).round(2)
