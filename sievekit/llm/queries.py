@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievekit.llm import (decontaminate, language, licences, neardup, packing, quality, secrets, toxicity, vectors,
-                          warc)
+from sievekit.llm import (decontaminate, language, licences, neardup, packing, quality, secrets, suffixes, toxicity,
+                          vectors, warc)
 from sievekit.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,6 +122,25 @@ def op10_language(spark, sf_dir):
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+@register("op11_suffix_dedup", """
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, i, md5(substr(h, 2 * i + 1, 400)) AS s
+      FROM (SELECT r, h, unnest(range(0, len(h) // 2 - 199)) AS i FROM d WHERE len(h) >= 400)),
+x AS (SELECT w.r, w.i, i - lag(i) OVER (PARTITION BY w.r ORDER BY i) AS gap
+      FROM w SEMI JOIN (SELECT s FROM w GROUP BY s HAVING count(*) > 1) t USING (s)),
+g AS (SELECT r, i, sum(CASE WHEN gap <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS run FROM x),
+s AS (SELECT r, min(i) AS a, max(i) + 200 AS z, lag(max(i) + 200, 1, 0) OVER (PARTITION BY r ORDER BY min(i)) AS after
+      FROM g GROUP BY r, run),
+k AS (SELECT r, sum(z - a) AS gone, count(*) AS n, max(z) AS z,
+             string_agg(substr(h, 2 * after + 1, 2 * (a - after)), '' ORDER BY a) AS kept FROM s JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+       sha256(from_hex(coalesce(kept, '') || substr(h, 2 * coalesce(z, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN k USING (r)""")
+def op11_suffix_dedup(spark, sf_dir):
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 @register("pipeline")
 def pipeline(spark, sf_dir):
     """All stages of ``corpus_pipeline.py``, one after the other."""
