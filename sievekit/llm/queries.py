@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievekit.llm import (decontaminate, language, licences, neardup, packing, quality, secrets, suffixes, toxicity,
-                          vectors, warc)
+from sievekit.llm import (decontaminate, language, licences, merkle, neardup, packing, quality, ranked, secrets, suffixes,
+                          toxicity, vectors, warc)
 from sievekit.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,6 +141,71 @@ def op11_suffix_dedup(spark, sf_dir):
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+@register("op12_ranked_search", r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+           FROM documents),
+c AS (SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+b AS (SELECT DISTINCT item_id, text FROM benchmark),
+q AS (SELECT item_id, text, term, count(*) AS times FROM (SELECT item_id, text, unnest(list_filter(string_split_regex(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS term FROM b) GROUP BY ALL),
+p AS (SELECT r, doc_id, len(w) AS size, term, count(*) AS tf FROM (SELECT r, doc_id, w, unnest(w) AS term FROM d)
+      SEMI JOIN q USING (term) GROUP BY ALL),
+t AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS weight
+      FROM p, c GROUP BY term, n),
+s AS (SELECT q.item_id, q.text, p.r, p.doc_id, CAST(sum(times * weight * ((1000000000 * tf)
+             // (1000 * tf + 8 * (100 - 75 + ((75 * size * n) // l))))) AS BIGINT) AS score
+      FROM q JOIN p USING (term) JOIN t USING (term), c GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST) AS rank
+  FROM s WHERE score > 0) WHERE rank <= 10""")
+def op12_ranked_search(spark, sf_dir):
+    return ranked.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _merkle_sql(levels: int = 6) -> str:
+    """The manifest with up to ``levels`` levels in each tree and in the top tree, one step a level: ``t`` holds the
+    nodes, ``g`` the joined runs, ``d`` each row's place, folded node and proof so far."""
+    def cell(c):
+        v = f"CAST({c} AS VARCHAR)"
+        return f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode({v})) || ':' || {v} END"
+
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    head = " || ".join(cell(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    crc = ("xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), "
+           "lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: "
+           "CASE WHEN v & 1 = 1 THEN xor(v >> 1, CAST(3988292384 AS BIGINT)) ELSE v >> 1 END)), CAST(4294967295 AS BIGINT))")
+    out = [f"x AS (SELECT row_number() OVER () AS r, doc_id, source, sha256({head} || {cell('text')}) AS leaf, "
+           f"sha256({head} || CASE WHEN {crc} % 5 = 0 THEN {cell(low)} ELSE {cell('text')} END) AS fold FROM documents)",
+           "y AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS sid, row_number() OVER (PARTITION BY source "
+           "ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, count(*) OVER (PARTITION BY source) AS n FROM x)",
+           "t0 AS (SELECT sid, p, n, leaf AS node FROM y)",
+           "d0 AS (SELECT r, doc_id, leaf, sid, p, n, fold, '' AS proof FROM y)"]
+    for k in range(2 * levels):
+        if k == levels:  # the roots are the leaves of the top tree
+            out += [f"t{k}a AS (SELECT sid AS s, node FROM t{k})",
+                    f"t{k}b AS (SELECT 0 AS sid, s AS p, (SELECT count(*) FROM t{k}) AS n, node FROM t{k}a)",
+                    f"d{k}a AS (SELECT r, doc_id, leaf, 0 AS sid, d{k}.sid AS p, (SELECT count(*) FROM t{k}) AS n, fold, proof, "
+                    f"node AS subroot FROM d{k} JOIN t{k} USING (sid))"]
+        t, d = (f"t{k}b", f"d{k}a") if k == levels else (f"t{k}", f"d{k}")
+        keep = ", subroot" if k >= levels else ""
+        out += [f"g{k} AS (SELECT sid, p // 16 AS up, n, string_agg(node, '' ORDER BY p) AS run FROM {t} GROUP BY ALL)",
+                f"t{k + 1} AS (SELECT sid, up AS p, (n + 15) // 16 AS n, CASE WHEN n = 1 THEN run ELSE sha256(run) END AS node FROM g{k})",
+                f"d{k + 1} AS (SELECT r, doc_id, leaf, sid, up AS p, (d.n + 15) // 16 AS n, CASE WHEN d.n = 1 THEN fold ELSE "
+                f"sha256(substr(run, 1, 64 * (p % 16)) || fold || substr(run, 64 * (p % 16) + 65)) END AS fold, proof || "
+                f"substr(run, 1, 64 * (p % 16)) || substr(run, 64 * (p % 16) + 65) AS proof{keep} "
+                f"FROM (SELECT *, p // 16 AS up FROM {d}) d JOIN g{k} USING (sid, up))"]
+    k = 2 * levels
+    return "WITH " + ",\n".join(out) + (f"\nSELECT doc_id, leaf, subroot, node AS root, sha256(proof) AS proof_sha256, "
+                                        f"fold AS folded_root, fold = node AS verified FROM d{k}, t{k}")
+
+
+@register("op13_merkle", _merkle_sql())
+def op13_merkle(spark, sf_dir):
+    return merkle.verify_documents(table(spark, sf_dir, "documents")).drop("source", "place")
+
+
 @register("pipeline")
 def pipeline(spark, sf_dir):
     """All stages of ``corpus_pipeline.py``, one after the other."""
