@@ -37,13 +37,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievekit.llm._common import CLEANUP, rows, stash
+from sievekit.llm._common import CLEANUP, discard, rows, stash
 from sievekit.llm._words import U64, utf8
 from sievekit.session import ensure_checkpoint_dir
 
 LENGTH = 200
 #: String starts worked on at once, and strings of a run in the second round.
-PART, STEP = 1 << 19, 16
+PART, STEP = 1 << 19, 8
 
 #: Odd multipliers of the two lanes of a name.
 _MUL = ((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD),
@@ -288,7 +288,9 @@ def _settle(met: DataFrame, tag: str) -> DataFrame:
     (``whole``), and of those to be looked at more closely (``open``): their name is shared, their triple is
     not, or they stand for an equal triple that such runs must be compared with."""
     names = met.groupBy("name").agg(F.sum("n").alias("t")).where("t > 1").select("name")
-    met = stash(met.join(names, "name", "left_semi").select("key", "name", "f0", "f1", "n"), tag)
+    met, every = stash(met.join(names, "name", "left_semi").select("key", "name", "f0", "f1", "n"), tag), met
+    if hasattr(every, "_stashed_at"):
+        discard(every)
     classes = met.groupBy("name", "f0", "f1").agg(F.sum("n").alias("total"), F.min("key").alias("stands"))
     mixed = (classes.groupBy("name").agg(F.count("*").alias("classes"), F.count_if(F.col("total") == 1).alias("alone"))
              .where("classes > 1 and alone > 0").select("name", F.lit(True).alias("mixed")))
