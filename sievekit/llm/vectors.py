@@ -26,8 +26,10 @@ SCALE = 256
 BLOCK_ROWS = 8192
 QUERY_ROWS = 128
 SLICES = 8
-#: Scaled components beyond this have no exact 64-bit products; such vectors take no part.
-LARGEST = 1 << 26
+#: Queries that meet a block of rows in one task.
+QUERY_BLOCK = 8192
+#: Integers of at least this size have no 64-bit slices; they stand in blocks of their own.
+WIDE = 1 << 61
 
 
 class Block:
@@ -35,6 +37,7 @@ class Block:
 
     def __init__(self, x: np.ndarray, slices: int = SLICES):
         self.x = x
+        self.most = int(np.abs(x).max()) if x.size else 0
         self.low = x.min(axis=0) if len(x) else np.zeros(x.shape[1], dtype=np.int64)
         spread = int((x - self.low).max()) if x.size else 0
         self.drop = max(0, spread.bit_length() - slices)
@@ -95,9 +98,15 @@ class Block:
                 out.append(half ^ c)
                 carry = (a & b) | (half & c)
             weight += 1
-        error = size.sum(axis=1) * ((1 << self.drop) - 1)
+        error = size.astype(object).sum(axis=1) * ((1 << self.drop) - 1)
         return out, error
 
+    def products(self, at: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Exact scores of some rows; in unbounded integers where 64 bits may not hold a sum."""
+        if len(q) * int(np.abs(q).max()) * self.most < 1 << 63:
+            return self.x[at] @ q
+        return _held(self.x[at].astype(object) @ q.astype(object))
+
     def top(self, q: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(query, rows, exact scores) of at least the k best rows of each query."""
         slices, error = self.scores(q)
@@ -119,7 +128,7 @@ class Block:
             if error[i]:
                 pick = pick | self._reach(slices, i, int(floor[i]) * (1 << self.drop) - int(error[i]))
             at = np.flatnonzero(np.unpackbits(pick.view(np.uint8), bitorder="little"))
-            yield i, at, self.x[at] @ q[i]
+            yield i, at, self.products(at, q[i])
 
     def _reach(self, slices: list[np.ndarray], i: int, least: int) -> np.ndarray:
         """Rows whose kept bits give at least ``least``: compared slice by slice."""
@@ -135,6 +144,31 @@ class Block:
         return above | same
 
 
+class WideBlock:
+    """Rows or queries with integers too wide for slices: every score in unbounded integers."""
+
+    def __init__(self, x: np.ndarray):
+        self.x = x.astype(object)
+
+    def top(self, q: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for i, one in enumerate(q.astype(object)):
+            score = self.x @ one
+            at = np.array(sorted(range(len(score)), key=lambda r: -score[r])[:k], dtype=np.int64)
+            if len(at):     # ties of the last one too: ids decide between them
+                at = np.array([r for r in range(len(score)) if score[r] >= score[at[-1]]], dtype=np.int64)
+            yield i, at, score[at]
+
+
+def _held(score: np.ndarray) -> np.ndarray:
+    return score if score.dtype == np.int64 else np.array([int(s) for s in score], dtype=object)
+
+
+def _as_long(score: np.ndarray) -> np.ndarray:
+    if score.dtype != np.int64 and any(abs(int(s)) >= 1 << 63 for s in score):
+        raise OverflowError("a score among the best does not fit a 64-bit integer")
+    return score.astype(np.int64)
+
+
 _FOUND = pa.schema([("query_row", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
@@ -147,7 +181,9 @@ def _search(k: int, slices: int):
         found: list[tuple] = []
         if left.num_rows and right.num_rows:
             x = _matrix(left.column("v"))[order]
-            block, q_all = Block(x, slices), _matrix(right.column("v"))
+            q_all = _matrix(right.column("v"))
+            wide = x.dtype == object or q_all.dtype == object
+            block = WideBlock(x) if wide else Block(x, slices)
             q_ids, q_rows = right.column("vec_id").to_numpy(), right.column("row").to_numpy()
             # its own rows may stand among the best: ask for as many more
             own = int(np.unique(ids, return_counts=True)[1].max())
@@ -155,48 +191,63 @@ def _search(k: int, slices: int):
                 for i, at, score in block.top(q_all[a:a + QUERY_ROWS], min(k + own, len(ids))):
                     keep = ids[at] != q_ids[a + i]
                     at, score = at[keep], score[keep]
-                    best = np.lexsort((ids[at], -score))[:k]
-                    found.append((np.full(len(best), q_rows[a + i]), np.full(len(best), q_ids[a + i]), ids[at[best]], score[best]))
+                    best = np.array(sorted(range(len(at)), key=lambda r: (-int(score[r]), ids[at[r]]))[:k], dtype=np.int64) \
+                        if score.dtype == object else np.lexsort((ids[at], -score))[:k]
+                    found.append((np.full(len(best), q_rows[a + i]), np.full(len(best), q_ids[a + i]), ids[at[best]],
+                                  _as_long(score[best])))
         cols = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, dtype=np.int64)] * 4
         return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=_FOUND)
     return run
 
 
 def _matrix(col: pa.ChunkedArray) -> np.ndarray:
+    """Integers of a column of whole doubles, in 64 bits where all fit."""
     flat = col.combine_chunks()
-    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(flat), -1)
+    x = flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+    if x.size and float(np.abs(x).max()) >= WIDE:
+        return np.array([[int(c) for c in row] for row in x], dtype=object)
+    return x.astype(np.int64)
 
 
 def integers(embeddings: DataFrame, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """``vec_id, dim, v``: floor(256 x) of every component.  Null ids, null or empty
-    vectors and those with a null, non-finite or out-of-range component are left out."""
+    """``vec_id, dim, v, wide``: floor(256 x) of every component, as a whole double (exact at any size), and
+    whether one is too wide for slices.  Null ids, null or empty vectors and those with a null or non-finite
+    component are left out."""
     x = F.col("e")
     e = embeddings.select(F.col(id_).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("e"))
-    fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) * SCALE < LARGEST))
+    fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    # doubles of 2^53 and more are whole; floor() gives a long, so they go around it
+    whole = F.transform(x, lambda c: F.when(F.abs(c * SCALE) < 1 << 53, F.floor(c * SCALE).cast("double")).otherwise(c * SCALE))
     return (e.where(F.col("vec_id").isNotNull() & (F.size(x) > 0) & F.coalesce(fine, F.lit(False)))
-            .select("vec_id", F.size(x).alias("dim"), F.transform(x, lambda c: F.floor(c * SCALE)).alias("v")))
+            .select("vec_id", F.size(x).alias("dim"), whole.alias("v"))
+            .withColumn("wide", F.exists("v", lambda c: F.abs(c) >= float(WIDE))))
 
 
 def top_k(embeddings: DataFrame, k: int = 5, every: int = 50, slices: int = SLICES,
-          block_rows: int = BLOCK_ROWS) -> DataFrame:
+          block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_BLOCK) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each vector whose id is divisible by
     ``every``, its k best rows by integer inner product.
 
     Candidates are all rows of the same dimension but those with the query's own id.
     Ties go to the smaller vec_id.  A repeated query row gets one answer per id; a
     repeated candidate row counts as often as it occurs.  Empty tables, and queries
-    without a candidate, give no rows.  Work is blocks of rows times blocks of
-    queries; a block hands on k rows per query, never all pairs.
+    without a candidate, give no rows.  Components of any finite size take part: sums that 64 bits may
+    not hold are made in unbounded integers, and a best score that is no 64-bit integer is an error.
+    A task is a block of at most about ``block_rows`` rows and one of about ``query_rows`` queries; it hands on
+    k rows per query, never all pairs.
     """
     v = stash(integers(embeddings), "vectors")
-    n = v.count()
-    blocks = max(1, -(-n // block_rows))
+    n, n_queries = v.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
+    blocks, turns = max(1, -(-n // block_rows)), max(1, -(-n_queries // query_rows))
     # dealt by place in the stored table: no value, however often repeated, fills a block
     cand = v.withColumn("block", F.pmod(F.monotonically_increasing_id(), F.lit(blocks)))
     queries = (v.where(F.col("vec_id") % every == 0).groupBy("vec_id", "dim", "v").agg(F.count("*").alias("_n")).drop("_n")
-               .withColumn("row", F.xxhash64("vec_id", "v")))
-    sent = queries.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    found = cand.groupBy("block", "dim").cogroup(sent.groupBy("block", "dim")).applyInArrow(
+               .withColumn("row", F.xxhash64("vec_id", "v")).withColumn("turn", F.pmod(F.xxhash64("row"), F.lit(turns))))
+    spread = lambda name, count: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))).alias(name)
+    sent = queries.select("*", spread("block", blocks))
+    sent = sent.select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("wide"))
+    keys = ["block", "turn", "dim", "wide"]
+    found = cand.select("*", spread("turn", turns)).groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(
         _search(k, slices), "query_row bigint, query_id bigint, vec_id bigint, score bigint")
     from pyspark.sql import Window
     by = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
