@@ -17,8 +17,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from sievekit.llm._common import fold_of, local_rows, rows, stash
+from sievekit.llm._common import fold_of, rows, stash
 from sievekit.llm._words import U64, mix64, sliced
 
 #: A trigram is frequent from this share of a language's trigrams on; a rarer one is owned
@@ -32,28 +33,27 @@ PER_GRAM = 16
 PROBES = 4
 #: Trigrams the driver takes in at a time, about.
 MET = 4_000_000
-#: Languages the training labels may name.
-MAX_LANGUAGES = 1024
 
 UND = "und"
 
 
-def _letters() -> np.ndarray:
+def _letters() -> tuple[np.ndarray, np.ndarray]:
     """A code per code point: letters fold to their lower case, all else is 0; a
-    combining mark counts with the letters, as scripts spell with them."""
+    combining mark has a code too, as scripts spell with them.  Second: what is a letter."""
     import sys
     import unicodedata
-    table = np.zeros(sys.maxunicode + 1, dtype=np.uint32)
+    table, letter = np.zeros(sys.maxunicode + 1, dtype=np.uint32), np.zeros(sys.maxunicode + 1, dtype=bool)
     for c in range(sys.maxunicode + 1):
         ch = chr(c)
-        kind = unicodedata.category(ch)
-        if kind[0] == "L" or kind[0] == "M":
+        kind = unicodedata.category(ch)[0]
+        letter[c] = kind == "L"
+        if kind in "LM":
             low = ch.lower()
             table[c] = ord(low) if len(low) == 1 else c
-    return table
+    return table, letter
 
 
-_table: list[np.ndarray] = []
+_table: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,12 +65,12 @@ def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     # a blank at either end of every text, so that no trigram spans two
     joined = " " + " ".join(strings) + " "
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    code = _table[0][points]
+    code = _table[0][0][points]
     lens = np.fromiter(map(len, strings), dtype=np.int64, count=len(strings))
     owner = np.repeat(np.arange(len(strings)), lens + 1)
     owner = np.concatenate([owner[:1], owner])[:len(points)]
     letter = code > 0
-    letters = np.bincount(owner[letter], minlength=len(strings))
+    letters = np.bincount(owner[_table[0][1][points]], minlength=len(strings))
     keep = letter.copy()
     keep[1:] |= letter[:-1]
     keep[0] = True
@@ -175,9 +175,9 @@ def learn(labelled: DataFrame) -> LanguageFilter:
     seen once (Good and Turing's estimate of what new text adds)."""
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     grams = language_grams(known)
-    sizes = sorted(local_rows(grams.groupBy("lang").agg(
+    sizes = sorted(grams.groupBy("lang").agg(       # one row a language
         F.count_if("own").alias("grams"), (F.sum(F.when(F.col("own") & (F.col("n") > 1), F.col("n")).otherwise(0)) / F.max("total"))
-        .alias("coverage")), MAX_LANGUAGES))
+        .alias("coverage")).collect())
     most = max((r["grams"] for r in sizes), default=0)
     out = LanguageFilter.empty([r["lang"] for r in sizes], max(SLOTS, 1 << (PER_GRAM * most - 1).bit_length()) if most else SLOTS)
     out.coverage = {r["lang"]: r["coverage"] for r in sizes}
@@ -225,8 +225,7 @@ def predict(docs: DataFrame, model: LanguageFilter, keep: list[str]) -> DataFram
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(c) for c in keep), pa.array(names.tolist(), pa.string()), pa.array(score)],
                 names=[*keep, "lang_pred", "score"])
-    kinds = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", lang_pred string, score double"
+    schema = StructType([*(docs.schema[c] for c in keep), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     cols = list(dict.fromkeys([*keep, "text"]))
     return docs.select(*cols).mapInArrow(run, schema)
 
