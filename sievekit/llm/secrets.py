@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from sievekit.llm._common import rows, stash
 from sievekit.llm._words import U64, Words, sliced
@@ -253,12 +254,19 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Field | None:
-    """Train on one window of each of at most ``sample`` texts with a base span and as
-    many without (those of smallest hash); None if no text has one."""
+    """Train on one window of each of at most ``sample`` distinct texts with a base span and as
+    many without (those of smallest hash); None if no text has one.  A bound on the hash, taken
+    from the counts, keeps about a tenth more than that before the smallest are chosen."""
     src = docs.where(F.col("text").isNotNull()).select("text", F.xxhash64("text").alias("order"))
     win = stash(src.mapInArrow(_windows, "hit boolean, order bigint, f array<int>, y array<tinyint>")
                 .where(F.col("hit") | (F.pmod("order", F.lit(8)) == 0)), "windows")
-    got = [win.where(F.col("hit") == k).orderBy("order", "f").limit(sample).select("f", "y").collect() for k in (True, False)]
+    place = F.pmod(F.xxhash64("order"), F.lit(1 << 30))
+    count = {r["hit"]: r["n"] for r in win.groupBy("hit").agg(F.countDistinct("order").alias("n")).collect()}
+    got = []
+    for k in (True, False):
+        part = min(1.0, (1.1 * sample + 64) / max(count.get(k, 0), 1))
+        few = win.where((F.col("hit") == k) & (place < int(part * (1 << 30)))).dropDuplicates(["order"])
+        got.append(few.orderBy(place, "order").limit(sample).select("f", "y").collect())
     if not got[0]:
         return None
     span = 2 * HALF + 1
@@ -321,8 +329,8 @@ def find_secrets(docs: DataFrame, model: Field | None, keep: list[str]) -> DataF
         for b in sliced(batches):
             found = [[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in spans_of(b.column("text"), handle.value)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(found, _SPAN)], names=[*keep, "found"])
-    kinds = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", found array<struct<kind:string,start:bigint,end:bigint>>"
+    span = StructType([StructField("kind", StringType()), StructField("start", LongType()), StructField("end", LongType())])
+    schema = StructType([*(docs.schema[c] for c in keep), StructField("found", ArrayType(span))])
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 
 
