@@ -29,8 +29,6 @@ from sievekit.llm.neardup import shingle_sets
 WORD = re.compile(r"[^\W\d_]+")
 #: Letters of stems, longest first.
 STEMS = (5, 4)
-#: Weights the model may hold: the largest by evidence.
-MAX_WEIGHTS = 100_000
 #: Mass of the corpus prior, as a share of the labelled tokens, and the least evidence
 #: (z-score) of a weight.
 PRIOR = 0.05
@@ -188,23 +186,25 @@ class ToxicModel:
         return min(1.0, max(0.0, low + (high - low) * 0.5 * rise if high > low else low + (1 - low) * 1e-3 * rise))
 
 
-_SCAN = pa.schema([("label", pa.int32()), ("n", pa.int64()), ("best", pa.float64()), ("segments", pa.list_(pa.float64()))])
-def _fit_law(rows_: list, model: ToxicModel) -> None:
+_SCAN = pa.schema([("label", pa.int32()), ("n", pa.int64()), ("segments", pa.list_(pa.float64()))])
+def _fit_law(seen: DataFrame, model: ToxicModel) -> None:
     """lambda and K by maximum likelihood from clean texts' segment scores: scores
     over 0 fall off as exp(-lambda s), K is their number per token."""
-    clean = [r for r in rows_ if r["label"] == 0]
-    scores = [s for r in clean for s in r["segments"]]
-    n = sum(r["n"] for r in clean)
+    total = F.aggregate("segments", F.lit(0.0), lambda a, s: a + s)
+    got = seen.where("label = 0").agg(F.sum(F.size("segments")), F.sum(F.round(total, 6)), F.sum("n")).first()
+    count, score, n = (x or 0 for x in got)
     # one pseudo-segment of score 1 keeps the law proper where clean text has none
-    model.scale = (len(scores) + 1) / (sum(scores) + 1.0)
-    model.rate = (len(scores) + 1) / (n + 1)
+    model.scale = (count + 1) / (score + 1.0)
+    model.rate = (count + 1) / (n + 1)
 
 
-def _calibrate(rows_: list, model: ToxicModel, steps: int = 24) -> None:
+def _calibrate(seen: DataFrame, model: ToxicModel, steps: int = 24) -> None:
     """Isotonic steps of P(label 1 | evidence): pool texts by evidence, then merge
-    neighbours until the shares rise."""
-    ev = np.array([model.evidence([(0, 0, s) for s in r["segments"]], r["n"]) for r in rows_])
-    y = np.array([float(r["label"]) for r in rows_])
+    neighbours until the shares rise.  Two numbers a labelled text reach the driver."""
+    base = F.log(F.greatest(F.lit(model.rate) * F.greatest(F.col("n"), F.lit(1)), F.lit(1e-300)))
+    gain = F.aggregate("segments", F.lit(0.0), lambda a, s: a + F.greatest(F.lit(0.0), F.lit(model.scale) * s - base))
+    got = seen.select(gain.alias("ev"), F.col("label").cast("double").alias("y")).toArrow()
+    ev, y = got.column("ev").to_numpy(), got.column("y").to_numpy()
     if not len(y):
         model.chance = (0.0,)
         return
@@ -228,7 +228,8 @@ def fit(labelled: DataFrame, corpus: DataFrame) -> ToxicModel:
 
     ``labelled``: text, label (bounded by ``MAX_LABELS``); ``corpus``: text.  Without positive labels the
     model scores every text 0."""
-    got = weights(labelled, corpus).orderBy(F.abs("z").desc(), "token").limit(MAX_WEIGHTS).collect()
+    # no more tokens than the labelled texts hold, of which there are at most MAX_LABELS
+    got = weights(labelled, corpus).select("token", "delta").collect()
     model = ToxicModel({r["token"]: float(r["delta"]) for r in got})
     plain = ToxicModel(dict(model.weight))
 
@@ -238,10 +239,10 @@ def fit(labelled: DataFrame, corpus: DataFrame) -> ToxicModel:
             for text, label in zip(b.column("text").to_pylist(), b.column("label").to_pylist()):
                 w = tokens(text or "")
                 seg = [s for *_, s in plain.segments(w)]
-                out.append((label, len(w), max(seg, default=0.0), seg))
+                out.append((label, len(w), seg))
             yield rows(_SCAN, **dict(zip(_SCAN.names, map(list, zip(*out)))))
-    seen = labelled.select("text", F.col("label").cast("int").alias("label")).mapInArrow(
-        scan, "label int, n bigint, best double, segments array<double>").toArrow().to_pylist()
+    seen = stash(labelled.select("text", F.col("label").cast("int").alias("label")).mapInArrow(
+        scan, "label int, n bigint, segments array<double>"), "segments")
     _fit_law(seen, model)
     _calibrate(seen, model)
     return model
@@ -289,7 +290,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, he
     a fixed bound and no text is shuffled."""
     y = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("label")) \
         .where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id"), folds) != held)).distinct()
-    y = y.orderBy(F.xxhash64("_id"), "_id", "label").limit(MAX_LABELS)
+    n = y.count()
+    if n > MAX_LABELS:      # by hash down to about the bound first, so that no task hands on more than its share
+        y = y.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int((1 << 30) * 1.05 * MAX_LABELS / n) + 1)
+    y = y.orderBy(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)), "_id", "label").limit(MAX_LABELS)
     return docs.join(F.broadcast(y), docs["doc_id"] == y["_id"]).select(docs["text"], "label")
 
 
