@@ -99,7 +99,7 @@ def bucket_frequencies(docs: DataFrame) -> np.ndarray:
     return out
 
 
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("node", pa.int64())])
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("row", pa.binary()), ("n", pa.int64()), ("node", pa.int64())])
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,8 +336,9 @@ def near_duplicates(docs: DataFrame, turns: int = TURNS, block: int = BLOCK) ->
 
 
 def row_key(docs: DataFrame) -> Column:
-    """What ``row_components`` names a row by: a digest of its id and text."""
-    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
+    """What ``row_components`` names a row by: a 128-bit digest of its id and text."""
+    id_ = F.coalesce(docs["doc_id"].cast("long").cast("string"), F.lit(""))
+    return F.unhex(F.md5(F.concat(id_, F.coalesce(F.concat(F.lit(":"), docs["text"].cast("string")), F.lit("")))))
 
 
 def row_components(docs: DataFrame, turns: int = TURNS, block: int = BLOCK) -> DataFrame:
@@ -345,7 +346,7 @@ def row_components(docs: DataFrame, turns: int = TURNS, block: int = BLOCK) -> D
     (null: a row without a set, alone); ids, null or repeated, name neither."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = own.withColumn("row", row_key(own))
-    sketch = stash(own.select("doc_id", "row", "text").mapInArrow(_sketch, "doc_id bigint, row bigint, n bigint, node bigint"), "sketch")
+    sketch = stash(own.select("doc_id", "row", "text").mapInArrow(_sketch, "doc_id bigint, row binary, n bigint, node bigint"), "sketch")
     nodes = stash(sketch.where("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("least"), F.min("row").alias("row")), "nodes")
     # a list is the nodes that hold some of their rarest shingles in common; lists of one are dropped
