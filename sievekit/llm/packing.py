@@ -130,7 +130,7 @@ def pieces(docs: DataFrame, limit: int = SEQUENCE, ranks: str | None = None, kee
             schema = _PIECES.append(pa.field("ids", pa.binary())) if keep_ids else _PIECES
             yield rows(schema, **dict(zip(names, map(list, zip(*out)))))
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
-                      F.hex(F.xxhash64("doc_id", "text")).alias("row"))
+                      F.concat(F.hex(F.xxhash64("doc_id", "text")), F.hex(F.xxhash64(F.lit(1), "text", "doc_id"))).alias("row"))
     return src.mapInArrow(cut, PIECES + (", ids binary" if keep_ids else ""))
 
 
@@ -205,14 +205,16 @@ def pack(items: DataFrame, limit: int = SEQUENCE, per_block: int = BLOCK) -> Dat
     loose = bins.where(F.col("length") <= limit // 2)  # of two bins that can be joined, one is
     n_loose = loose.count()
     again = stash(_blocked(loose, n_loose, per_block, limit), "repacked")
-    to = again.select(F.col("item").alias("b"), F.concat_ws(".", F.lit("r"), "block", "bin").alias("seq"),
-                      F.col("offset").alias("shift"))
-    placed = (first.select("item", bin_.alias("b"), "offset").join(to, "b", "left")
-              .select("item", F.coalesce("seq", "b").alias("seq"),
+    # a sequence's number: its block and bin, even in the first round, odd in the second; below 0 if it holds one item.
+    # A block has no more bins than items, and these are about ``per_block``; 2^22 is far from that
+    number = lambda odd: (F.col("block") * (1 << 22) + F.col("bin")) * 2 + odd
+    to = again.select(F.col("item").alias("b"), number(1).alias("seq"), F.col("offset").alias("shift"))
+    placed = (first.select("item", bin_.alias("b"), number(0).alias("own"), "offset").join(to, "b", "left")
+              .select("item", F.coalesce("seq", "own").alias("sequence_id"),
                       (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset")))
-    whole = items.where(F.col("length") == limit).select(
-        "item", F.concat(F.lit("w"), F.col("item")).alias("seq"), F.lit(0).cast("long").alias("offset"))
-    return placed.unionByName(whole).select("item", F.xxhash64("seq").alias("sequence_id"), "offset")
+    whole = stash(items.where(F.col("length") == limit).select(
+        "item", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset")), "whole")
+    return placed.unionByName(whole)
 
 
 def pack_documents(docs: DataFrame, limit: int = SEQUENCE, per_block: int = BLOCK, ranks: str | None = None,
