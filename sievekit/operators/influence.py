@@ -63,10 +63,11 @@ def score_runs(preds: DataFrame, examples: DataFrame, null: DataFrame | None = N
                     S.el2n("probs", label_col).alias("el2n"))
 
 
-def _ordered_mean(v):
-    runs = F.transform(F.array_sort(F.collect_list(F.when(v.isNotNull(), F.struct(F.col("run").alias("run"), v.alias("v"))))),
-                       lambda x: x["v"])
-    return F.when(F.size(runs) > 0, F.aggregate(runs, F.lit(0.0), lambda a, x: a + x) / F.size(runs))
+def _ordered_mean(runs, c: str):
+    """Mean of field ``c`` over the sorted runs, nulls left out, added in the order of the runs."""
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n"))
+    step = lambda a, r: F.when(r[c].isNull(), a).otherwise(F.struct((a["s"] + r[c]).alias("s"), (a["n"] + 1).alias("n")))
+    return F.aggregate(runs, start, step, lambda a: F.when(a["n"] > 0, a["s"] / a["n"]))
 
 
 def average_scores(scored: DataFrame, score_cols: Sequence[str] = ("pvi", "el2n"),
@@ -80,14 +81,17 @@ def average_scores(scored: DataFrame, score_cols: Sequence[str] = ("pvi", "el2n"
     it.  Runs are added in order of their number (a group holds one row per run),
     so a mean does not depend on how rows were shuffled.  ``keys`` adds grouping
     columns (e.g. a checkpoint number)."""
-    aggs = []
-    for c in score_cols:
-        v = F.when(F.isnan(c), None).otherwise(F.col(c))
-        a = _ordered_mean(v) if "run" in scored.columns else F.avg(v)
-        aggs.append((F.round(a, rounding) if rounding is not None else a).alias(f"average_{c}"))
-    miss = F.sum(F.when(F.col("predicted_label") != F.col(label_col), 1).otherwise(0)).cast("long")
-    aggs.append(miss.alias("misclassification_number"))
-    return scored.groupBy(id_col, label_col, *keys).agg(*aggs)
+    names = [f"average_{c}" for c in score_cols]
+    value = {c: F.when(~F.isnan(c), F.col(c).cast("double")) for c in score_cols}
+    miss = F.sum(F.when(F.col("predicted_label") != F.col(label_col), 1).otherwise(0)).cast("long").alias("misclassification_number")
+    by = [id_col, label_col, *keys]
+    if "run" in scored.columns:     # one array of all scores a row, sorted once
+        runs = F.array_sort(F.collect_list(F.struct("run", *(value[c].alias(c) for c in score_cols))))
+        out = scored.groupBy(*by).agg(runs.alias("_runs"), miss)
+        out = out.select(*by, *(_ordered_mean("_runs", c).alias(n) for c, n in zip(score_cols, names)), "misclassification_number")
+    else:
+        out = scored.groupBy(*by).agg(*(F.avg(value[c]).alias(n) for c, n in zip(score_cols, names)), miss)
+    return out if rounding is None else out.withColumns({n: F.round(n, rounding) for n in names})
 
 
 def final_score_table(examples: DataFrame, averaged: DataFrame, id_col: str = "id",

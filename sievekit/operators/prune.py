@@ -10,18 +10,19 @@ reference does.
   ``drop_last=True`` reproduces the reference's ``iloc[-k:-1]``, which also
   drops the very last (easiest) row (defect D1); default False.
 
-A grid of rates is answered by **one** ranking and one filter against a small
-broadcast grid table, and the kept sets are nested across rates by
-construction.
+Kept sets are nested across rates, so a grid of rates is one number a row: the
+largest rate that keeps it (``kept_rates``).  It comes from the rows at the exact
+ranks where each rate cuts a class, found without a sort (``quantiles``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievekit.operators.quantiles import rank_thresholds, up_to, with_thresholds
 from sievekit.operators.rank import distributed_rank, hash_key, with_group_sizes
 
 PRUNE_RATES = (5, 10, 15, 20, 25, 30, 35, 40, 50, 60)
@@ -52,13 +53,6 @@ def rank_by_score(df: DataFrame, score_col: str, direction: str | None = None,
     return with_group_sizes(ranked, [label_col], "n_class").drop("_pk")
 
 
-def _keep_condition(prune_type: Column, k: Column, rank: Column, n: Column,
-                    drop_last: bool) -> Column:
-    easy = rank <= k
-    hard = (rank > n - k) & ((rank < n) if drop_last else F.lit(True))
-    return F.when(prune_type == "easy", easy).otherwise(hard)
-
-
 def _stacked_scores(df: DataFrame, scores: Sequence[str], label_col: str, id_col: str) -> DataFrame:
     """One row per (example, score) with a common hardness key, so one ranking
     serves every score."""
@@ -74,24 +68,69 @@ def _stacked_scores(df: DataFrame, scores: Sequence[str], label_col: str, id_col
     return out
 
 
-def _grid(spark: SparkSession, **cols: Sequence) -> DataFrame:
-    """Cartesian product of small literal lists (``itertools.product``)."""
-    import itertools
-    names = list(cols)
-    rows = list(itertools.product(*[cols[n] for n in names]))
-    return spark.createDataFrame(rows, names)
+def _kept_rank(prune_type: str, q: float, n: Column) -> Column:
+    """The rank that parts kept from dropped rows: the last kept one (``easy``), or the last dropped one."""
+    k = keep_count(F.lit(float(q)), n)
+    return k if prune_type == "easy" else n - k
+
+
+def _share(prune_type: str, q: float) -> float:
+    return 1.0 - q / 100.0 if prune_type == "easy" else q / 100.0
+
+
+def _kept(prune_type: str, order: Column, at: Column, i: int, last: Column | None) -> Column:
+    """Whether a row stays, given the threshold at place ``i``; ``last`` is the easiest row of the class, which goes
+    too when the reference's slice is reproduced."""
+    inside = up_to(order, at, i)
+    if prune_type == "easy":
+        return inside
+    return ~inside if last is None else ~inside & (order < last)
 
 
 def undersample(df: DataFrame, score_col: str = "average_pvi", rate: float = 20,
                 prune_type: str = "easy", prune_label: int = 0, label_col: str = "y",
                 id_col: str = "id", drop_last: bool = False) -> DataFrame:
     """Informed undersampling: prune ``prune_label`` (the majority class) by
-    score, keep every other class whole.  Returns the kept rows of ``df``."""
-    ranked = rank_by_score(df, score_col, label_col=label_col, id_col=id_col, rank_col="_r")
-    k = keep_count(F.lit(rate), "n_class")
-    keep = _keep_condition(F.lit(prune_type), k, F.col("_r"), F.col("n_class"), drop_last)
-    cond = (F.col(label_col) != F.lit(prune_label)) | keep
-    return ranked.filter(cond).drop("_r", "n_class")
+    score, keep every other class whole.  Returns the kept rows of ``df``, each class cut at the row of one
+    exact rank (``rank_thresholds``)."""
+    keyed = _keyed(df, score_col).checkpoint(eager=True)
+    wanted = [(prune_type, rate), ("easy", 0)]
+    t = rank_thresholds(keyed, [label_col], "_pk", [id_col], [_share(*w) for w in wanted],
+                        lambda n, i: _kept_rank(*wanted[i], n))
+    rows = with_thresholds(keyed, t, [label_col])
+    order, last = F.struct("_pk", id_col), F.get("at", F.lit(1)) if drop_last else None
+    keep = _kept(prune_type, order, F.col("at"), 0, last)
+    return rows.filter((F.col(label_col) != F.lit(prune_label)) | keep).select(*df.columns)
+
+
+def _keyed(df: DataFrame, score_col: str) -> DataFrame:
+    name = score_col.replace("average_", "")
+    return df.withColumn("_pk", _hardness_key(score_col, HARDEST_FIRST.get(name, "asc")))
+
+
+def _largest(kept: Sequence[Column], rates: Sequence[float]) -> Column:
+    """The largest of ``rates`` (rising) at which a row is kept: kept sets are nested, so this says all; null if
+    the row goes at every rate."""
+    return F.array_max(F.array(*[F.when(k, F.lit(int(r))) for k, r in zip(kept, rates)]))
+
+
+def kept_rates(df: DataFrame, scores: Sequence[str] = ("average_pvi", "average_el2n"),
+               types: Sequence[str] = ("easy", "hard"), rates: Sequence[float] = PRUNE_RATES,
+               label_col: str = "y", id_col: str = "id", drop_last: bool = False, halve: bool = False) -> DataFrame:
+    """One row per (score, example): ``inf_score, id, y`` and, per type, ``kept_<type>``: the largest rate at which
+    pruning its class by this score keeps the row (null: none).  A split of any rate is a filter on it, so a grid of
+    rates is stored once instead of once a rate."""
+    rates = sorted(rates)
+    wanted = [(t, q / 2.0 if halve else q) for t in types for q in rates] + [("easy", 0)]
+    stacked = _stacked_scores(df, scores, label_col, id_col).checkpoint(eager=True)
+    by = ["inf_score", label_col]
+    t = rank_thresholds(stacked, by, "_pk", [id_col], [_share(*w) for w in wanted], lambda n, i: _kept_rank(*wanted[i], n))
+    rows = with_thresholds(stacked, t, by)
+    order, last = F.struct("_pk", id_col), F.get("at", F.lit(len(wanted) - 1)) if drop_last else None
+    n = len(rates)
+    return rows.select("inf_score", id_col, label_col, *(
+        _largest([_kept(kind, order, F.col("at"), j * n + i, last) for i in range(n)], rates).alias(f"kept_{kind}")
+        for j, kind in enumerate(types)))
 
 
 def undersample_grid(df: DataFrame, scores: Sequence[str] = ("average_pvi", "average_el2n"),
@@ -99,19 +138,13 @@ def undersample_grid(df: DataFrame, scores: Sequence[str] = ("average_pvi", "ave
                      prune_label: int = 0, label_col: str = "y", id_col: str = "id",
                      drop_last: bool = False) -> DataFrame:
     """All (score × type × rate) undersampled splits as one long table
-    ``(inf_score, prune_type, prune_rate, id, y)`` — one ranking job for all
-    scores, one broadcast grid (|scores|·|types|·|rates| rows)."""
-    spark = df.sparkSession
-    stacked = _stacked_scores(df, scores, label_col, id_col)
-    ranked = distributed_rank(stacked, ["_pk", id_col], ["inf_score", label_col], rank_col="_r")
-    ranked = with_group_sizes(ranked, ["inf_score", label_col], "_n")
-    grid = _grid(spark, prune_type=list(types), prune_rate=[int(r) for r in rates])
-    j = ranked.crossJoin(F.broadcast(grid))
-    k = keep_count(F.col("prune_rate"), "_n")
-    keep = _keep_condition(F.col("prune_type"), k, F.col("_r"), F.col("_n"), drop_last)
-    cond = (F.col(label_col) != F.lit(prune_label)) | keep
-    return j.filter(cond).select("inf_score", "prune_type", F.col("prune_rate").cast("int"),
-                                 id_col, label_col)
+    ``(inf_score, prune_type, prune_rate, id, y)``, spread out of ``kept_rates``."""
+    kept = kept_rates(df, scores, types, rates, label_col, id_col, drop_last)
+    rows = kept.select("inf_score", id_col, label_col, F.explode(F.array(*[
+        F.struct(F.lit(t).alias("prune_type"), F.col(f"kept_{t}").alias("most")) for t in types])).alias("k"))
+    stays = (F.col(label_col) != F.lit(prune_label))
+    at = F.filter(F.array(*[F.lit(int(r)) for r in rates]), lambda r: stays | (r <= F.col("k.most")))
+    return rows.select("inf_score", "k.prune_type", F.explode(at).alias("prune_rate"), id_col, label_col)
 
 
 def proportional_grid(df: DataFrame, scores: Sequence[str] = ("average_pvi", "average_el2n"),
@@ -123,38 +156,45 @@ def proportional_grid(df: DataFrame, scores: Sequence[str] = ("average_pvi", "av
     (score, type of positive class, type of the other class, rate).  Output
     ``(inf_score, type_pos, type_neg, prune_rate, id, y)``.  Each score uses its
     own order (the reference fed the PVI order to both, defect D3)."""
-    spark = df.sparkSession
-    stacked = _stacked_scores(df, scores, label_col, id_col)
-    ranked = distributed_rank(stacked, ["_pk", id_col], ["inf_score", label_col], rank_col="_r")
-    ranked = with_group_sizes(ranked, ["inf_score", label_col], "_n")
-    grid = _grid(spark, type_pos=list(types), type_neg=list(types), prune_rate=[int(r) for r in rates])
-    j = ranked.crossJoin(F.broadcast(grid))
-    q = F.col("prune_rate").cast("double") / (2.0 if halve else 1.0)
-    k = keep_count(q, "_n")
-    t = F.when(F.col(label_col) == F.lit(positive_label), F.col("type_pos")).otherwise(F.col("type_neg"))
-    keep = _keep_condition(t, k, F.col("_r"), F.col("_n"), drop_last)
-    return j.filter(keep).select("inf_score", "type_pos", "type_neg",
-                                 F.col("prune_rate").cast("int"), id_col, label_col)
+    kept = kept_rates(df, scores, types, rates, label_col, id_col, drop_last, halve)
+    positive = F.col(label_col) == F.lit(positive_label)
+    pairs = [F.struct(F.lit(p).alias("type_pos"), F.lit(m).alias("type_neg"),
+                      F.when(positive, F.col(f"kept_{p}")).otherwise(F.col(f"kept_{m}")).alias("most"))
+             for p in types for m in types]
+    rows = kept.select("inf_score", id_col, label_col, F.explode(F.array(*pairs)).alias("k"))
+    at = F.filter(F.array(*[F.lit(int(r)) for r in rates]), lambda r: r <= F.col("k.most"))
+    return rows.select("inf_score", "k.type_pos", "k.type_neg", F.explode(at).alias("prune_rate"), id_col, label_col)
+
+
+def random_kept_rates(df: DataFrame, rates: Sequence[float] = PRUNE_RATES, seeds: Sequence[int] = RANDOM_SEEDS,
+                      id_col: str = "id", label_col: str = "y") -> DataFrame:
+    """``run, seed, id, y, kept``: per seed (run = position) the largest rate at which an exact
+    ``bround((1-q/100)·N)``-row sample in md5 order of ``seed|id`` keeps the row (null: none)."""
+    rates = sorted(rates)
+    runs = F.array(*[F.struct(F.lit(i + 1).alias("run"), F.lit(int(s)).alias("seed")) for i, s in enumerate(seeds)])
+    keyed = df.select(id_col, label_col, F.explode(runs).alias("r")).select(id_col, label_col, "r.run", "r.seed")
+    keyed = keyed.withColumn("_h", hash_key(F.col("seed"), id_col))
+    # the first 52 bits of the digest as a double order like the digest, ties but for the rest of it
+    keyed = keyed.withColumn("_pk", F.conv(F.substring("_h", 1, 13), 16, 10).cast("double")).checkpoint(eager=True)
+
+    def rank(n: Column, i: int) -> Column:
+        return F.bround((F.lit(1.0) - F.lit(float(rates[i])) / F.lit(100.0)) * n, 0)
+    t = rank_thresholds(keyed, ["run"], "_pk", ["_h", id_col], [1.0 - q / 100.0 for q in rates], rank)
+    rows = with_thresholds(keyed, t, ["run"])
+    order = F.struct("_pk", "_h", id_col)
+    kept = _largest([up_to(order, F.col("at"), i) for i in range(len(rates))], rates)
+    return rows.select("run", "seed", id_col, label_col, kept.alias("kept"))
 
 
 def random_prune_grid(df: DataFrame, rates: Sequence[float] = PRUNE_RATES,
                       seeds: Sequence[int] = RANDOM_SEEDS, id_col: str = "id",
                       label_col: str = "y") -> DataFrame:
     """Random pruning: for each seed (run = position 1..5) an exact
-    ``bround((1-q/100)·N)``-row sample without replacement; one ranking per seed
-    answers every rate.  Output ``(run, seed, prune_rate, id, y)``."""
-    spark = df.sparkSession
-    seeds_df = spark.createDataFrame([(i + 1, int(s)) for i, s in enumerate(seeds)], ["run", "seed"])
-    keyed = (df.select(id_col, label_col).crossJoin(F.broadcast(seeds_df))
-             .withColumn("_h", hash_key(F.col("seed"), id_col)))
-    ranked = distributed_rank(keyed, ["_h", id_col], ["run"], rank_col="_r")
-    ranked = with_group_sizes(ranked, ["run"], "_n")
-    grid = _grid(spark, prune_rate=[int(r) for r in rates])
-    j = ranked.crossJoin(F.broadcast(grid))
-    frac = F.lit(1.0) - F.col("prune_rate").cast("double") / F.lit(100.0)
-    return (j.filter(F.col("_r") <= F.bround(frac * F.col("_n"), 0))
-            .select(F.col("run").cast("int"), F.col("seed").cast("int"),
-                    F.col("prune_rate").cast("int"), id_col, label_col))
+    ``bround((1-q/100)·N)``-row sample without replacement, spread out of ``random_kept_rates``.  Output
+    ``(run, seed, prune_rate, id, y)``."""
+    rows = random_kept_rates(df, rates, seeds, id_col, label_col)
+    at = F.filter(F.array(*[F.lit(int(r)) for r in rates]), lambda r: r <= F.col("kept"))
+    return rows.select("run", "seed", F.explode(at).alias("prune_rate"), id_col, label_col)
 
 
 def prune_ratio(splits: DataFrame, keys: Sequence[str], label_col: str = "y",

@@ -249,7 +249,6 @@ def pair_ngram_features(pairs: DataFrame, patterns: DataFrame, id_col: str = "ui
     ``(uid, group)``."""
     a = pairs.select(id_col, F.explode(F.array_distinct(ngrams(a_col, max_n))).alias("u"))
     b = pairs.select(id_col, F.explode(F.array_distinct(ngrams(b_col, max_m))).alias("v"))
-    eps = F.array(F.lit("ϵ"))
     p = patterns.select("group", "u", "v")
     only_v = p.filter(F.col("u")[0] == "ϵ")
     only_u = p.filter((F.col("u")[0] != "ϵ") & (F.col("v")[0] == "ϵ"))
@@ -258,7 +257,6 @@ def pair_ngram_features(pairs: DataFrame, patterns: DataFrame, id_col: str = "ui
     hit_u = a.join(only_u.select("group", "u"), "u").select(id_col, "group")
     hit_uv = (a.join(both, "u").select(id_col, "group", "v")
               .join(b, [id_col, "v"]).select(id_col, "group"))
-    del eps
     return hit_v.unionByName(hit_u).unionByName(hit_uv).distinct()
 
 
@@ -270,26 +268,72 @@ def hypothesis_ngram_features(pairs: DataFrame, patterns: DataFrame, id_col: str
     return b.join(patterns.select("group", "v"), "v").select(id_col, "group").distinct()
 
 
-# ------------------------------------------------------------- pattern joins
-def pattern_join(texts: DataFrame, patterns: DataFrame, text_col: str = "text",
-                 pattern_col: str = "pattern", id_col: str = "id") -> DataFrame:
-    """Rows whose text matches any pattern, case-insensitive (patterns holding
-    ``[UNK]`` are skipped).  Patterns are a small table: broadcast nested-loop
-    ``left_semi`` join; the pattern table is counted before it is broadcast."""
-    pats = patterns.filter(~F.col(pattern_col).contains("[UNK]")).select(
-        F.concat(F.lit("(?i)"), F.col(pattern_col)).alias("_re"))
-    return texts.join(F.broadcast(pats), F.col(text_col).rlike(F.col("_re")), "left_semi")
+# ------------------------------------------------------------- greedy merge
+#: Bytes of the bit masks of one key that a task may hold; a key with more is worked on in parts.
+MASK_BYTES = 256 << 20
+
+
+def feature_masks(incidence: DataFrame, members: DataFrame, label_col: str = "y", id_col: str = "uid") -> DataFrame:
+    """Contingency table of feature masks: ``group_key, mask, label, n``.
+
+    ``members`` is ``(tpl, yield, group_key, step)``, at most K rows; ``mask`` is the sorted array of the steps (places in
+    its key) of the features an example has.  One pass over the incidence: examples with the same mask and label are one
+    row, and those without any feature of a key are not in it."""
+    hit = incidence.join(members.select("tpl", "yield", "group_key", "step"), ["tpl", "yield"])
+    per = hit.groupBy(id_col, label_col, "group_key").agg(F.array_sort(F.collect_set("step")).alias("mask"))
+    return per.groupBy("group_key", "mask", F.col(label_col).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _mi(counts, totals):
+    """``functions.scores.natural_mi`` for one row of label counts."""
+    import math
+    cells = [(c + 1.0, t - c + 1.0) for c, t in zip(counts, totals)]
+    whole = 0.0
+    for a, b in cells:
+        whole = whole + a + b
+    one = 0.0
+    for a, _ in cells:
+        one += a
+    one /= whole
+    out = 0.0
+    for a, b in cells:
+        p = (a + b) / whole
+        out += (a / whole) * math.log((a / whole) / (p * one))
+        out += (b / whole) * math.log((b / whole) / (p * (1.0 - one)))
+    return out
 
 
-def explode_examples(roots: DataFrame, examples_col: str = "Examples") -> DataFrame:
-    """Split a group's ``Examples`` string on ``,`` into trimmed patterns."""
-    return roots.select("*", F.explode(F.split(F.col(examples_col), ",")).alias("_p")).withColumn(
-        "pattern", F.trim("_p")).drop("_p").filter(F.col("pattern") != "")
+def greedy_groups(rows_of: list, weight, n_features: int, totals: Sequence[int]) -> list[tuple[int, list[int], list[int], float]]:
+    """The greedy walk over one key: ``(group, steps, label counts, MI)``.
+
+    ``rows_of[s]`` holds the table rows of feature s, ``weight`` the examples of each row per label.  What a feature adds
+    to a group is the weight of its rows that the group does not have yet, so a step costs its own rows per group."""
+    import numpy as np
+    groups = [([], [0] * len(totals), 0.0, np.zeros(len(weight), dtype=bool))]
+    for s in range(n_features):
+        mine = rows_of[s]
+        best, place, most = None, 0, None
+        for j, (_, counts, mi, has) in enumerate(groups):
+            more = weight[mine[~has[mine]]].sum(axis=0)
+            union = [int(c + m) for c, m in zip(counts, more)]
+            new = _mi(union, totals)
+            score = new if new > mi else -new if new < mi else 0.0
+            if most is None or score > most:
+                best, place, most = (union, new), j, score
+        if most < 0:
+            own = [int(c) for c in weight[mine].sum(axis=0)]
+            has = np.zeros(len(weight), dtype=bool)
+            has[mine] = True
+            groups.append(([s], own, _mi(own, totals), has))
+        else:
+            steps, _, _, has = groups[place]
+            has[mine] = True
+            groups[place] = ([*steps, s], *best, has)
+    return [(j, steps, counts, mi) for j, (steps, counts, mi, _) in enumerate(groups)]
 
 
-# ------------------------------------------------------------- greedy merge
 def merge_greedy(incidence: DataFrame, examples: DataFrame, topk: DataFrame, by_template: bool = False,
-                 label_col: str = "y", id_col: str = "uid") -> DataFrame:
+                 label_col: str = "y", id_col: str = "uid", mask_bytes: int = MASK_BYTES) -> DataFrame:
     """Greedy merge of top-K features into groups per key (root label, or the
     whole template).
 
@@ -298,73 +342,87 @@ def merge_greedy(incidence: DataFrame, examples: DataFrame, topk: DataFrame, by_
     (score = sign(new − old) · new, first group on ties) unless every score
     is negative, in which case it opens a new group.
 
-    The walk is sequential per key but keys are independent: step s handles
-    the s-th feature of **every** key at once with distributed joins —
-    intersections of the feature's examples with each group's members give
-    the union counts — and the group state (≤ K rows) and the membership
-    table are written with a reliable checkpoint after each step, so lineage
-    stays one step long.  Steps = the most features any key has."""
+    The walk needs only how many examples of each label have each set of features, so the incidence is read once into
+    the table of ``feature_masks``; the walk of a key is arithmetic on its rows, in one task, and the number of jobs
+    does not depend on K.  A key whose table would take more than ``mask_bytes`` (counted first) keeps its rows in
+    blocks: every step is then one aggregation over stored blocks (``_walk_in_blocks``)."""
     spark = incidence.sparkSession
     labs = label_list(class_totals(examples, label_col), label_col)
-    labels = [x for x, _ in labs]
-    tot = F.array(*[F.lit(int(n)).cast("long") for _, n in labs])
+    labels, totals = [x for x, _ in labs], [n for _, n in labs]
     key = F.col("tpl") if by_template else root_label("tpl")
     members = (topk.select("tpl", "yield", "topk_no", key.alias("group_key"))
-               .withColumn("step", F.row_number().over(Window.partitionBy("group_key").orderBy("topk_no"))))
-    feat = (incidence.join(members.select("tpl", "yield", "group_key", "step"), ["tpl", "yield"])
-            .select(id_col, label_col, "group_key", "step").distinct().checkpoint(eager=True))
-
-    def counts_of(df, keys):
-        return df.groupBy(*keys).agg(F.array(*[F.sum(F.when(F.col(label_col) == F.lit(lab), 1).otherwise(0))
-                                               .cast("long") for lab in labels]).alias("counts"))
-    fcounts = counts_of(feat, ["group_key", "step"]).checkpoint(eager=True)
-    zero = F.array(*[F.lit(0).cast("long") for _ in labels])
-    groups = (members.select("group_key").distinct()
-              .select("group_key", F.lit(0).alias("g"), zero.alias("counts"), F.lit(0.0).alias("mi"))
-              .checkpoint(eager=True))
-    member_of = spark.createDataFrame([], f"{id_col} {incidence.schema[id_col].dataType.simpleString()}, "
-                                          f"group_key string, g int")
-    assigned = None
-    max_step = members.agg(F.max("step")).first()[0] or 0  # one scalar: the number of steps
-    for s in range(1, max_step + 1):
-        fs = feat.filter(F.col("step") == s).select(id_col, label_col, "group_key")
-        fc = fcounts.filter(F.col("step") == s).select("group_key", F.col("counts").alias("fc"))
-        inter = counts_of(fs.join(member_of, [id_col, "group_key"]), ["group_key", "g"]) \
-            .withColumnRenamed("counts", "ic")
-        cand = (groups.join(fc, "group_key").join(inter, ["group_key", "g"], "left")
-                .withColumn("ic", F.coalesce("ic", zero))
-                .withColumn("uc", F.zip_with(F.zip_with("counts", "fc", lambda a, b: a + b), "ic",
-                                             lambda a, b: a - b))
-                .withColumn("new_mi", natural_mi("uc", tot))
-                .withColumn("score", F.signum(F.col("new_mi") - F.col("mi")) * F.col("new_mi")))
-        wk = Window.partitionBy("group_key")
-        best = (cand.withColumn("_r", F.row_number().over(wk.orderBy(F.col("score").desc(), "g")))
-                .withColumn("_max_score", F.max("score").over(wk))
-                .withColumn("_max_g", F.max("g").over(wk))
-                .filter(F.col("_r") == 1))
-        opens = F.col("_max_score") < 0
-        decision = best.select(
-            "group_key",
-            F.when(opens, F.col("_max_g") + 1).otherwise(F.col("g")).alias("g"),
-            F.when(opens, F.col("fc")).otherwise(F.col("uc")).alias("counts"),
-            F.when(opens, natural_mi("fc", tot)).otherwise(F.col("new_mi")).alias("mi")).checkpoint(eager=True)
-        groups = (groups.join(decision.select("group_key", "g"), ["group_key", "g"], "left_anti")
-                  .unionByName(decision).checkpoint(eager=True))
-        new_members = fs.join(decision.select("group_key", "g"), "group_key").select(id_col, "group_key", "g")
-        member_of = member_of.unionByName(new_members).distinct().checkpoint(eager=True)
-        step_assign = decision.select("group_key", F.lit(s).alias("step"), "g")
-        assigned = step_assign if assigned is None else assigned.unionByName(step_assign)
+               .withColumn("step", F.row_number().over(Window.partitionBy("group_key").orderBy("topk_no")) - 1)
+               .checkpoint(eager=True))
+    index = F.create_map(*[x for i, lab in enumerate(labels) for x in (F.lit(lab), F.lit(i))])
+    table = (feature_masks(incidence, members, label_col, id_col)
+             .withColumn("label", index[F.col("label")]).checkpoint(eager=True))
+    sizes = table.groupBy("group_key").agg((F.sum(F.size("mask") * 8 + 8 * len(labels)) + F.count(F.lit(1)) * 16).alias("bytes"))
+    keys = members.groupBy("group_key").agg(F.count(F.lit(1)).alias("features")).join(sizes, "group_key", "left").collect()  # ≤ K
+    wide = [r["group_key"] for r in keys if (r["bytes"] or 0) > mask_bytes]
+    schema = "group_key string, g int, steps array<int>, counts array<bigint>, mi double"
+
+    def walk(pdf):
+        import numpy as np
+        import pandas as pd
+        pdf = pdf.sort_values(["label"]).reset_index(drop=True)
+        n = int(pdf["features"].iloc[0])
+        masks: dict = {}
+        at = np.array([masks.setdefault(tuple(m), len(masks)) if m is not None else -1 for m in pdf["mask"]])
+        weight = np.zeros((len(masks), len(totals)), dtype=np.int64)
+        real = at >= 0
+        np.add.at(weight, (at[real], pdf["label"].to_numpy()[real].astype(int)), pdf["n"].to_numpy()[real].astype(np.int64))
+        rows_of: list = [[] for _ in range(n)]
+        for mask, row in masks.items():
+            for s in mask:
+                rows_of[s].append(row)
+        found = greedy_groups([np.array(r, dtype=np.int64) for r in rows_of], weight, n, totals)
+        return pd.DataFrame([(pdf["group_key"].iloc[0], *f) for f in found], columns=["group_key", "g", "steps", "counts", "mi"])
+    counted = members.groupBy("group_key").agg(F.count(F.lit(1)).cast("int").alias("features"))
+    narrow = counted if not wide else counted.where(~F.col("group_key").isin(wide))
+    groups = (narrow.join(table, "group_key", "left").select("group_key", "features", "mask", "label", "n")
+              .groupBy("group_key").applyInPandas(walk, schema))
+    for k in wide:
+        groups = groups.unionByName(_walk_in_blocks(spark, table.where(F.col("group_key") == F.lit(k)), k, totals, schema))
     lab = F.array(*[F.lit(x) for x in labels])
     plus = F.transform("counts", lambda x: (x + 1).cast("double"))
     out = (groups.withColumn("count", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x))
            .withColumn("majority", _argmax_first(F.col("counts")))
            .withColumn("majority_label", F.element_at(lab, F.col("majority") + 1))
            .withColumn("pct_majority", F.array_max(plus) / F.aggregate(plus, F.lit(0.0), lambda a, x: a + x)))
-    if assigned is not None:
-        lists = (assigned.join(members.select("group_key", "step", "yield"), ["group_key", "step"])
-                 .groupBy("group_key", "g").agg(F.transform(F.sort_array(F.collect_list(F.struct("step", "yield"))),
-                                                            lambda x: x["yield"]).alias("members")))
-        out = out.join(lists, ["group_key", "g"], "left")
-    else:
-        out = out.withColumn("members", F.array().cast("array<string>"))
-    return out.withColumn("examples", F.array_join(F.coalesce("members", F.array().cast("array<string>")), ", "))
+    named = (out.select("group_key", "g", F.explode("steps").alias("step")).join(members, ["group_key", "step"])
+             .groupBy("group_key", "g").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "yield"))),
+                                                        lambda x: x["yield"]).alias("members")))
+    out = out.drop("steps").join(named, ["group_key", "g"], "left")
+    none = F.array().cast("array<string>")
+    return out.withColumn("members", F.coalesce("members", none)).withColumn("examples", F.array_join("members", ", "))
+
+
+def _walk_in_blocks(spark, table: DataFrame, key: str, totals: Sequence[int], schema: str) -> DataFrame:
+    """The walk for a key whose table no task should hold: each step adds up, over the stored rows, the weight that the
+    step's feature adds to every group there is.  Rows know their groups from their mask and the assignment so far."""
+    assigned: list[int] = []
+    groups: list[list] = [[[], [0] * len(totals), 0.0]]
+    n = table.select(F.max(F.array_max("mask"))).first()[0] + 1
+    for s in range(n):
+        owner = F.array(*[F.lit(g) for g in assigned]) if assigned else F.array().cast("array<int>")
+        has = F.transform(F.filter("mask", lambda f: f < s), lambda f: F.get(owner, f))
+        of = table.where(F.array_contains("mask", s)).withColumn("has", has)
+        own = F.sum("n").alias("own")
+        more = [F.sum(F.when(~F.array_contains("has", g), F.col("n")).otherwise(0)).alias(f"m{g}") for g in range(len(groups))]
+        got = {r["label"]: r for r in of.groupBy("label").agg(own, *more).collect()}    # one row a label
+        pick, most = None, None
+        for g, (_, counts, mi) in enumerate(groups):
+            union = [c + (got[i][f"m{g}"] if i in got else 0) for i, c in enumerate(counts)]
+            new = _mi(union, totals)
+            score = new if new > mi else -new if new < mi else 0.0
+            if most is None or score > most:
+                pick, most = (g, union, new), score
+        if most < 0:
+            fresh = [got[i]["own"] if i in got else 0 for i in range(len(totals))]
+            groups.append([[s], fresh, _mi(fresh, totals)])
+            assigned.append(len(groups) - 1)
+        else:
+            g, union, new = pick
+            groups[g] = [[*groups[g][0], s], union, new]
+            assigned.append(g)
+    return spark.createDataFrame([(key, g, *row) for g, row in enumerate(groups)], schema)

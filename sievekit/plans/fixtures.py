@@ -63,6 +63,8 @@ PREDICTIONS_SQL = """preds AS (
          (1 + (e.id * 7919 + r.run * 104729 + e.n_chars * 31) % 97) / CAST(99 AS DOUBLE) AS p1
   FROM examples e CROSS JOIN runs r)"""
 
+# ``raw_scores`` adds the runs up in their order and orders rows by the exact mean;
+# ``avg_scores`` is what is shown.
 # Scores per (id, run) with the class prior as the null model.  p_y and
 # the one-hot error are written per class, which for two classes is the same
 # arithmetic the array expressions do.
@@ -75,10 +77,14 @@ scored AS (
                   + (p.p1 - CASE WHEN e.y = 1 THEN 1.0 ELSE 0.0 END) * (p.p1 - CASE WHEN e.y = 1 THEN 1.0 ELSE 0.0 END)) AS el2n,
          CAST(p.p1 >= 0.5 AS INTEGER) AS predicted
   FROM preds p JOIN examples e ON p.id = e.id JOIN prior pr ON pr.y = e.y),
-avg_scores AS (
-  SELECT id, y, round(avg(pvi), 6) AS average_pvi, round(avg(el2n), 6) AS average_el2n,
+raw_scores AS (
+  SELECT id, y, {pvi} / 5 AS average_pvi, {el2n} / 5 AS average_el2n,
          CAST(SUM(CASE WHEN predicted <> y THEN 1 ELSE 0 END) AS BIGINT) AS misclassification_number
-  FROM scored GROUP BY id, y)"""
+  FROM scored GROUP BY id, y),
+avg_scores AS (
+  SELECT id, y, round(average_pvi, 6) AS average_pvi, round(average_el2n, 6) AS average_el2n, misclassification_number
+  FROM raw_scores)""".format(**{c: "(" + " + ".join(["0.0::DOUBLE", *(
+    f"max(CASE WHEN run = {r} THEN {c} END)" for r in range(1, N_RUNS + 1))]) + ")" for c in ("pvi", "el2n")})
 
 
 def with_ctes(*parts: str) -> str:

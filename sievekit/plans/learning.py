@@ -42,17 +42,26 @@ def q_join_scores_embeddings(spark, sf):
     return averaged(spark, sf).join(e, "id").select("id", "average_pvi", "misclassification_number", "label")
 
 
-@register("cosine_matrix")
+_VECTORS_SQL = """e AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+sims AS (SELECT a.id AS i, b.id AS j, a.label AS li, b.label AS lj, list_cosine_similarity(a.v, b.v) AS s FROM e a CROSS JOIN e b)"""
+#: Selected sets that SQL can state: a share of ids that falls with the rate.
+_STATED = "(id * 7919) % 100 >= "
+
+
+@register("cosine_matrix", X.with_ctes(_VECTORS_SQL) + """
+SELECT li AS label, i AS id, j AS neighbour, round(s, 6) AS similarity FROM (
+  SELECT *, row_number() OVER (PARTITION BY i ORDER BY round(s, 9) DESC, j) AS r FROM sims WHERE li = lj AND i <> j) WHERE r = 1
+UNION ALL SELECT label, min(id), NULL, NULL FROM e GROUP BY label HAVING count(*) = 1""")
 def q_cosine_matrix(spark, sf):
-    """The similarity matrix is only formed block-wise inside tasks; its
-    linear-size summary per row is the nearest neighbour in the block."""
+    """The similarity matrix is only formed in block pairs inside tasks; its linear-size summary is each row's nearest
+    neighbour in its class, exact at any number of blocks."""
     nn = SL.nearest_neighbour(_emb(spark, sf), ["label"])
-    return nn.select("label", "block", "id", "neighbour", r6("similarity").alias("similarity"))
+    return nn.select("label", "id", "neighbour", r6("similarity").alias("similarity"))
 
 
 @register("facility_location_select")
 def q_facility_location_select(spark, sf):
-    """Greedy order of every pool (one per label) with marginal gains."""
+    """Greedy order of every pool (one per label) with marginal gains; block -1 is the head, picked over the whole pool."""
     g = SL.greedy_order(_emb(spark, sf), ["label"])
     return g.select("label", "block", "id", "step", r6("gain").alias("gain"), "order")
 
@@ -71,22 +80,37 @@ def q_submodular_prune_per_class(spark, sf):
     return p.select("prune_rate", "label", "id", r6("gain").alias("gain"), "order")
 
 
-@register("facility_location_value")
+@register("facility_location_value", X.with_ctes(_VECTORS_SQL, "rates AS (SELECT * FROM (VALUES "
+          + ", ".join(f"({r})" for r in RATES) + ") AS t(prune_rate))") + """
+SELECT CAST(prune_rate AS INTEGER) AS prune_rate, round(sum(best), 6) AS value, max(n) AS n_selected FROM (
+  SELECT prune_rate, i, greatest(max(round(s, 9)), 0) AS best, count(*) AS n FROM sims, rates
+  WHERE (j * 7919) % 100 >= prune_rate GROUP BY prune_rate, i) GROUP BY prune_rate""")
 def q_facility_location_value(spark, sf):
-    """Block-local f(S) of the selected sets, per rate: rises with the budget."""
+    """f(S) over the whole table, per rate, of sets that SQL can state too."""
+    e = _emb(spark, sf)
+    rates = F.array(*[F.lit(r) for r in RATES])
+    sel = e.select("id", F.explode(F.filter(rates, lambda r: (F.col("id") * 7919) % 100 >= r)).alias("prune_rate"))
+    v = SL.objective(e, sel, set_cols=["prune_rate"])
+    return v.select("prune_rate", r6("value").alias("value"), "n_selected")
+
+
+@register("submodular_values")
+def q_submodular_values(spark, sf):
+    """f(S) over the whole table of the greedy sets of every rate: rises with the budget."""
     e = _emb(spark, sf)
-    sel = SL.submodular_prune(e, RATES).select("prune_rate", "id")
-    v = SL.block_objective(e, sel, set_cols=["prune_rate"])
+    v = SL.objective(e, SL.submodular_prune(e, RATES).select("prune_rate", "id"), set_cols=["prune_rate"])
     return v.select("prune_rate", r6("value").alias("value"), "n_selected")
 
 
-@register("facility_location_gain")
+@register("facility_location_gain", X.with_ctes(_VECTORS_SQL) + """,
+cover AS (SELECT i, greatest(max(round(s, 9)), 0) AS c FROM sims WHERE (j * 7919) % 100 >= 50 GROUP BY i)
+SELECT s.j AS id, round(sum(greatest(s.s - coalesce(c.c, 0), 0)), 6) AS gain, (s.j * 7919) % 100 >= 50 AS selected
+FROM sims s LEFT JOIN cover c ON c.i = s.i GROUP BY s.j""")
 def q_facility_location_gain(spark, sf):
-    """Marginal gain of every candidate given the q=50 selection."""
+    """Marginal gain of every candidate over the whole table, given a set that SQL can state too."""
     e = _emb(spark, sf)
-    sel = SL.submodular_prune(e, (50,)).select("id")
-    g = SL.marginal_gains(e, sel)
-    return g.select("id", "block", r6("gain").alias("gain"), "selected")
+    g = SL.marginal_gains(e, e.where(F.expr(_STATED + "50")).select("id"))
+    return g.select("id", r6("gain").alias("gain"), "selected")
 
 
 @register("attach_gains")

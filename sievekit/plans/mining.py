@@ -485,9 +485,9 @@ def q_yield_equals(spark, sf):
 
 @register("merge_greedy")
 def q_merge_greedy(spark, sf):
-    """Greedy MI merge of the top-10 features per root label."""
+    """Greedy MI merge of the top-1000 features, per root label."""
     inc = _incidence(spark, sf)
-    topk = SC.topk_features(SC.feature_mi(inc, _examples(spark, sf)), 10)
+    topk = SC.topk_features(SC.feature_mi(inc, _examples(spark, sf)), 1000)
     g = SC.merge_greedy(inc, _examples(spark, sf), topk)
     return g.select("group_key", "g", r6("mi").alias("mi"), "count", "counts", "examples")
 

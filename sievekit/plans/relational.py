@@ -15,7 +15,7 @@ from sievekit.operators import trees as TR
 from sievekit.plans import fixtures as X
 from sievekit.plans import mining as MN
 from sievekit.plans.registry import register
-from sievekit.plans.scoring import averaged, scored
+from sievekit.plans.scoring import averaged, averaged_exactly, scored
 from sievekit.plans.textual import PAIRS_SQL, tok_sql
 from sievekit.sources.tables import table
 
@@ -122,12 +122,12 @@ def q_sort_by(spark, sf):
 
 @register("slice_head_tail", B + """, c0 AS (
   SELECT id, ROW_NUMBER() OVER (ORDER BY average_pvi, id) - 1 AS i, COUNT(*) OVER () AS n
-  FROM avg_scores WHERE y = 0)
+  FROM raw_scores WHERE y = 0)
 SELECT id, 'head' AS part FROM c0 WHERE i < 10
 UNION ALL SELECT id, 'tail' AS part FROM c0 WHERE i >= n - 10 AND i < n - 1""")
 def q_slice_head_tail(spark, sf):
     """``iloc[:10]`` and ``iloc[-10:-1]`` of class 0 in PVI order."""
-    c0 = averaged(spark, sf).filter(F.col("y") == 0)
+    c0 = averaged_exactly(spark, sf).filter(F.col("y") == 0)
     head = J.slice_by_rank(c0, ["average_pvi", "id"], None, 10).select("id", F.lit("head").alias("part"))
     tail = J.slice_by_rank(c0, ["average_pvi", "id"], -10, -1).select("id", F.lit("tail").alias("part"))
     return head.unionByName(tail)
@@ -135,9 +135,9 @@ def q_slice_head_tail(spark, sf):
 
 @register("rank_in_class", B + """
 SELECT id, y, CAST(ROW_NUMBER() OVER (PARTITION BY y ORDER BY average_el2n DESC, id) AS INTEGER) AS rank
-FROM avg_scores""")
+FROM raw_scores""")
 def q_rank_in_class(spark, sf):
-    r = R.distributed_rank(averaged(spark, sf), [F.col("average_el2n").desc(), "id"], ["y"])
+    r = R.distributed_rank(averaged_exactly(spark, sf), [F.col("average_el2n").desc(), "id"], ["y"])
     return r.select("id", "y", "rank")
 
 
@@ -228,9 +228,9 @@ def q_union_distinct_ids(spark, sf):
 
 
 @register("drop_rows_by_index", B + """
-SELECT id FROM (SELECT id, ROW_NUMBER() OVER (ORDER BY average_pvi DESC, id) AS pos FROM avg_scores) WHERE pos <> 5""")
+SELECT id FROM (SELECT id, ROW_NUMBER() OVER (ORDER BY average_pvi DESC, id) AS pos FROM raw_scores) WHERE pos <> 5""")
 def q_drop_rows_by_index(spark, sf):
-    return J.drop_rows_by_rank(averaged(spark, sf).select("id", "average_pvi"),
+    return J.drop_rows_by_rank(averaged_exactly(spark, sf).select("id", "average_pvi"),
                                [F.col("average_pvi").desc(), "id"], [5]).select("id")
 
 

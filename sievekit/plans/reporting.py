@@ -9,7 +9,7 @@ from sievekit.operators import influence as I
 from sievekit.operators import metrics as M
 from sievekit.plans import fixtures as X
 from sievekit.plans.registry import register
-from sievekit.plans.scoring import averaged
+from sievekit.plans.scoring import averaged, averaged_exactly
 
 RS = X.REPORT_SQL
 
@@ -293,11 +293,11 @@ def q_label_counts(spark, sf):
 
 _BANDED = X.BASE_SQL + """, banded AS (
   SELECT *, CASE WHEN misclassification_number >= 4 THEN 'incorrect' ELSE 'correct' END AS correctness
-  FROM avg_scores)"""
+  FROM raw_scores)"""
 
 
 def _banded(spark, sf):
-    return I.correctness_band(averaged(spark, sf))
+    return I.correctness_band(averaged_exactly(spark, sf))
 
 
 @register("class_means", _BANDED + """

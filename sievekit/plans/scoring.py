@@ -19,8 +19,18 @@ def scored(spark, sf):
     return I.score_runs(X.predictions(ex), ex)
 
 
+def averaged_exactly(spark, sf):
+    """Unrounded means: what rows are ordered by."""
+    return I.average_scores(scored(spark, sf))
+
+
+def shown(df):
+    """Means rounded, once all rows are in order."""
+    return df.withColumns({c: r6(c) for c in df.columns if c.startswith("average_")})
+
+
 def averaged(spark, sf):
-    return I.average_scores(scored(spark, sf), rounding=6)
+    return shown(averaged_exactly(spark, sf))
 
 
 # ---------------------------------------------------------------- §2.D
@@ -119,42 +129,50 @@ def q_hardness_band(spark, sf):
 
 # ---------------------------------------------------------------- §2.E
 _RANK_PVI = """ranked AS (
-  SELECT a.*, CAST(ROW_NUMBER() OVER (PARTITION BY y ORDER BY average_pvi, id) AS INTEGER) AS rnk,
-         COUNT(*) OVER (PARTITION BY y) AS n_class
-  FROM avg_scores a)"""
+  SELECT a.id, a.y, round(a.average_pvi, 6) AS average_pvi, round(a.average_el2n, 6) AS average_el2n, misclassification_number,
+         CAST(ROW_NUMBER() OVER (PARTITION BY a.y ORDER BY a.average_pvi, a.id) AS INTEGER) AS rnk,
+         COUNT(*) OVER (PARTITION BY a.y) AS n_class
+  FROM raw_scores a)"""
+
+
+_KEPT = """kept AS (
+  SELECT s.inf_score, s.id, s.y,
+         max(CASE WHEN s.rnk <= CEIL((1 - CAST(r.prune_rate AS DOUBLE) / 100) * s.n) THEN r.prune_rate END) AS kept_easy,
+         max(CASE WHEN s.rnk > s.n - CEIL((1 - CAST(r.prune_rate AS DOUBLE) / 100) * s.n) THEN r.prune_rate END) AS kept_hard
+  FROM sranked s CROSS JOIN rates r GROUP BY ALL)"""
 
 
 @register("rank_by_score", B + ", " + _RANK_PVI + """
 SELECT id, y, average_pvi, rnk AS "rank", n_class FROM ranked""")
 def q_rank_by_score(spark, sf):
-    r = P.rank_by_score(averaged(spark, sf), "average_pvi")
-    return r.select("id", "y", "average_pvi", "rank", "n_class")
+    r = P.rank_by_score(averaged_exactly(spark, sf), "average_pvi")
+    return r.select("id", "y", r6("average_pvi").alias("average_pvi"), "rank", "n_class")
 
 
 @register("undersample_easy", B + ", " + _RANK_PVI + """
 SELECT id, y, average_pvi, average_el2n, misclassification_number FROM ranked
 WHERE y <> 0 OR rnk <= CEIL((1 - CAST(20 AS DOUBLE) / 100) * n_class)""")
 def q_undersample_easy(spark, sf):
-    return P.undersample(averaged(spark, sf), "average_pvi", 20, "easy")
+    return shown(P.undersample(averaged_exactly(spark, sf), "average_pvi", 20, "easy"))
 
 
 @register("undersample_hard", B + ", " + _RANK_PVI + """
 SELECT id, y, average_pvi, average_el2n, misclassification_number FROM ranked
 WHERE y <> 0 OR rnk > n_class - CEIL((1 - CAST(20 AS DOUBLE) / 100) * n_class)""")
 def q_undersample_hard(spark, sf):
-    return P.undersample(averaged(spark, sf), "average_pvi", 20, "hard")
+    return shown(P.undersample(averaged_exactly(spark, sf), "average_pvi", 20, "hard"))
 
 
 @register("undersample_hard_drop_last", B + ", " + _RANK_PVI + """
 SELECT id, y, average_pvi, average_el2n, misclassification_number FROM ranked
 WHERE y <> 0 OR (rnk > n_class - CEIL((1 - CAST(20 AS DOUBLE) / 100) * n_class) AND rnk < n_class)""")
 def q_undersample_hard_drop_last(spark, sf):
-    return P.undersample(averaged(spark, sf), "average_pvi", 20, "hard", drop_last=True)
+    return shown(P.undersample(averaged_exactly(spark, sf), "average_pvi", 20, "hard", drop_last=True))
 
 
 _STACKED = """stacked AS (
-  SELECT 'pvi' AS inf_score, id, y, average_pvi AS k FROM avg_scores
-  UNION ALL SELECT 'el2n', id, y, -average_el2n FROM avg_scores),
+  SELECT 'pvi' AS inf_score, id, y, average_pvi AS k FROM raw_scores
+  UNION ALL SELECT 'el2n', id, y, -average_el2n FROM raw_scores),
 sranked AS (
   SELECT inf_score, id, y, ROW_NUMBER() OVER (PARTITION BY inf_score, y ORDER BY k, id) AS rnk,
          COUNT(*) OVER (PARTITION BY inf_score, y) AS n FROM stacked),
@@ -169,7 +187,13 @@ WHERE s.y <> 0
    OR (t.t = 'easy' AND s.rnk <= CEIL((1 - CAST(r.prune_rate AS DOUBLE) / 100) * s.n))
    OR (t.t = 'hard' AND s.rnk > s.n - CEIL((1 - CAST(r.prune_rate AS DOUBLE) / 100) * s.n))""")
 def q_undersample_grid(spark, sf):
-    return P.undersample_grid(averaged(spark, sf))
+    return P.undersample_grid(averaged_exactly(spark, sf))
+
+
+@register("kept_rates", B + ", " + _STACKED + ", " + _KEPT + "SELECT * FROM kept")
+def q_kept_rates(spark, sf):
+    """Every undersampling split of the grid in one row per (score, example)."""
+    return P.kept_rates(averaged_exactly(spark, sf))
 
 
 _PROP_WHERE = """
@@ -183,7 +207,7 @@ SELECT s.inf_score, a.t AS type_pos, b.t AS type_neg, CAST(r.prune_rate AS INTEG
 FROM sranked s CROSS JOIN types a CROSS JOIN types b CROSS JOIN rates r
 WHERE""" + _PROP_WHERE)
 def q_proportional_grid(spark, sf):
-    return P.proportional_grid(averaged(spark, sf))
+    return P.proportional_grid(averaged_exactly(spark, sf))
 
 
 @register("proportional_prune", B + ", " + _STACKED + """
@@ -192,7 +216,7 @@ FROM sranked s CROSS JOIN (SELECT 'easy' AS t) a CROSS JOIN (SELECT 'hard' AS t)
      CROSS JOIN (SELECT 20 AS prune_rate) r
 WHERE s.inf_score = 'pvi' AND""" + _PROP_WHERE)
 def q_proportional_prune(spark, sf):
-    g = P.proportional_grid(averaged(spark, sf), scores=("average_pvi",), types=("easy", "hard"),
+    g = P.proportional_grid(averaged_exactly(spark, sf), scores=("average_pvi",), types=("easy", "hard"),
                             rates=(20,))
     return g.filter((F.col("type_pos") == "easy") & (F.col("type_neg") == "hard")).select("id", "y")
 
@@ -214,6 +238,14 @@ def q_random_prune(spark, sf):
     return P.random_prune_grid(X.examples(spark, sf).select("id", "y"))
 
 
+@register("random_kept_rates", X.with_ctes(X.EXAMPLES_SQL, _SEEDS) + """
+SELECT CAST(h.run AS INTEGER) AS run, CAST(h.seed AS INTEGER) AS seed, h.id, h.y,
+       max(CASE WHEN h.rnk <= round_even((1 - CAST(r.prune_rate AS DOUBLE) / 100) * h.n, 0) THEN r.prune_rate END) AS kept
+FROM hranked h CROSS JOIN rates r GROUP BY ALL""")
+def q_random_kept_rates(spark, sf):
+    return P.random_kept_rates(X.examples(spark, sf).select("id", "y"))
+
+
 @register("sample_fraction_exact", X.with_ctes(X.EXAMPLES_SQL) + """
 SELECT id, y FROM (
   SELECT id, y, ROW_NUMBER() OVER (ORDER BY md5('42|' || CAST(id AS VARCHAR)), id) AS rnk,
@@ -247,7 +279,7 @@ SELECT inf_score, prune_type, CAST(prune_rate AS INTEGER) AS prune_rate,
        round(SUM(CASE WHEN y = 1 THEN 1 ELSE 0 END) / CAST(SUM(CASE WHEN y <> 1 THEN 1 ELSE 0 END) AS DOUBLE), 6) AS ratio
 FROM grid GROUP BY inf_score, prune_type, prune_rate""")
 def q_prune_ratio(spark, sf):
-    a = averaged(spark, sf)
+    a = averaged_exactly(spark, sf)
     grid = P.undersample_grid(a)
     base = (P._stacked_scores(a, ("average_pvi", "average_el2n"), "y", "id")
             .crossJoin(F.broadcast(spark.createDataFrame([("easy",), ("hard",)], ["prune_type"])))
@@ -257,16 +289,16 @@ def q_prune_ratio(spark, sf):
 
 @register("topk_examples", B + """
 SELECT * FROM (
-  SELECT id, y, average_pvi, average_el2n, misclassification_number,
-         CAST(ROW_NUMBER() OVER (PARTITION BY y ORDER BY average_pvi, id) AS INTEGER) AS pos, 'hard' AS "end"
-  FROM avg_scores) WHERE pos <= 10
+  SELECT a.id, a.y, round(a.average_pvi, 6) AS average_pvi, round(a.average_el2n, 6) AS average_el2n, misclassification_number,
+         CAST(ROW_NUMBER() OVER (PARTITION BY a.y ORDER BY a.average_pvi, a.id) AS INTEGER) AS pos, 'hard' AS "end"
+  FROM raw_scores a) WHERE pos <= 10
 UNION ALL
 SELECT * FROM (
-  SELECT id, y, average_pvi, average_el2n, misclassification_number,
-         CAST(ROW_NUMBER() OVER (PARTITION BY y ORDER BY average_pvi DESC, id DESC) AS INTEGER) AS pos, 'easy' AS "end"
-  FROM avg_scores) WHERE pos <= 10""")
+  SELECT a.id, a.y, round(a.average_pvi, 6) AS average_pvi, round(a.average_el2n, 6) AS average_el2n, misclassification_number,
+         CAST(ROW_NUMBER() OVER (PARTITION BY a.y ORDER BY a.average_pvi DESC, a.id DESC) AS INTEGER) AS pos, 'easy' AS "end"
+  FROM raw_scores a) WHERE pos <= 10""")
 def q_topk_examples(spark, sf):
-    return P.topk_examples(averaged(spark, sf), "average_pvi", 10)
+    return shown(P.topk_examples(averaged_exactly(spark, sf), "average_pvi", 10))
 
 
 @register("easy_hard_pools_majority", B + ", " + _RANK_PVI + """
@@ -275,7 +307,7 @@ SELECT id, y, average_pvi,
        y = 0 AND rnk > n_class - CEIL(CAST(0.6 AS DOUBLE) * n_class) AND rnk < n_class AS in_easy_pool
 FROM ranked""")
 def q_pools_majority(spark, sf):
-    p = P.easy_hard_pools(averaged(spark, sf), "average_pvi", 60, labels=(0,))
+    p = shown(P.easy_hard_pools(averaged_exactly(spark, sf), "average_pvi", 60, labels=(0,)))
     return p.select("id", "y", "average_pvi", "in_hard_pool", "in_easy_pool")
 
 
@@ -285,7 +317,7 @@ SELECT id, y, average_pvi,
        rnk > n_class - CEIL(CAST(0.3 AS DOUBLE) * n_class) AND rnk < n_class AS in_easy_pool
 FROM ranked""")
 def q_pools_each(spark, sf):
-    p = P.easy_hard_pools(averaged(spark, sf), "average_pvi", 30, labels=None)
+    p = shown(P.easy_hard_pools(averaged_exactly(spark, sf), "average_pvi", 30, labels=None))
     return p.select("id", "y", "average_pvi", "in_hard_pool", "in_easy_pool")
 
 
@@ -296,7 +328,7 @@ FROM ranked WHERE y <> 0 OR rnk <= CEIL((1 - CAST(20 AS DOUBLE) / 100) * n_class
 GROUP BY y""")
 def q_prune_class_balance(spark, sf):
     """Slice 1: score → average → undersample_easy(q=20) → per-class balance."""
-    kept = P.undersample(averaged(spark, sf), "average_pvi", 20, "easy")
+    kept = shown(P.undersample(averaged_exactly(spark, sf), "average_pvi", 20, "easy"))
     return kept.groupBy("y").agg(F.count(F.lit(1)).alias("kept"),
                                  r6(F.avg("average_pvi")).alias("mean_average_pvi"),
                                  F.sum("misclassification_number").cast("long").alias("sum_misses"))

@@ -11,7 +11,7 @@ from sievekit.plans import fixtures as X
 from sievekit.plans import mining as MN
 from sievekit.plans.registry import register
 from sievekit.plans.reporting import GRID_KEYS, _f1_sql, _gp
-from sievekit.plans.scoring import averaged
+from sievekit.plans.scoring import averaged, averaged_exactly
 from sievekit.sources import files as FS
 
 EX = X.with_ctes(X.EXAMPLES_SQL)
@@ -178,7 +178,7 @@ def q_read_score_json(spark, sf):
 
 
 _UG_SQL = X.BASE_SQL + """, stacked AS (
-  SELECT 'pvi' AS inf_score, id, y, average_pvi AS k FROM avg_scores),
+  SELECT 'pvi' AS inf_score, id, y, average_pvi AS k FROM raw_scores),
 sranked AS (SELECT inf_score, id, y, ROW_NUMBER() OVER (PARTITION BY inf_score, y ORDER BY k, id) AS rnk,
                    COUNT(*) OVER (PARTITION BY inf_score, y) AS n FROM stacked)"""
 
@@ -188,7 +188,7 @@ SELECT id, y FROM sranked WHERE y <> 0 OR rnk <= CEIL((1 - CAST(20 AS DOUBLE) /
 def q_write_split(spark, sf):
     """The undersample grid written once, partitioned by (strategy, score,
     type, rate); reading one setting prunes partitions (``PartitionFilters``)."""
-    g = P.undersample_grid(averaged(spark, sf), scores=("average_pvi",)).withColumn("strategy", F.lit("informed"))
+    g = P.undersample_grid(averaged_exactly(spark, sf)).withColumn("strategy", F.lit("informed"))
     path = FS.scratch_path(spark, "splits")
     FS.write_split(g, path)
     r = spark.read.parquet(path)

@@ -13,26 +13,19 @@ from sievekit.sources import files as FS
 
 
 @pytest.mark.parametrize("n", [512, 513])
-def test_blocks_are_the_callers_whatever_the_size(spark, n):
-    x = np.random.default_rng(2).normal(size=(n, 6))
-    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, embedding array<double>")
-    got = {r.id: r for r in SL.nearest_neighbour(df, blocks=3).collect()}
-    assert {r.block for r in got.values()} == {0, 1, 2}
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    sim = x @ x.T
-    np.fill_diagonal(sim, -2)
-    block = np.array([got[i].block for i in range(n)])
-    sim[block[:, None] != block[None]] = -2
-    assert [got[i].neighbour for i in range(n)] == sim.argmax(axis=1).tolist()
-    exact = SL.nearest_neighbour(df, blocks=1).agg(F.min("similarity")).first()[0]
-    assert exact >= min(r.similarity for r in got.values())
+def test_blocks_are_bounded_whatever_the_size(spark, n):
+    df = spark.range(n).withColumn("y", F.col("id") % 2)
+    got = SL.assign_blocks(df, [], block_rows=128).groupBy("block", "blocks").count().collect()
+    assert {r.blocks for r in got} == {-(-n // 128)} and max(r["count"] for r in got) < 2 * 128
+    per = SL.assign_blocks(df, ["y"], block_rows=100).groupBy("y").agg(F.max("blocks").alias("b")).collect()
+    assert {r.b for r in per} == {3}
 
 
 def test_objective_and_gains_are_one_function(spark):
     x = [(0, [1.0, 0.0]), (1, [-1.0, 0.0]), (2, [0.0, 1.0]), (3, [-0.6, -0.8])]
     df = spark.createDataFrame(x, "id long, embedding array<double>")
-    value = lambda ids: SL.block_objective(df, df.where(F.col("id").isin(ids)), blocks=1).first().value
-    gains = {r.id: r.gain for r in SL.marginal_gains(df, df.where("id = 0"), blocks=1).collect()}
+    value = lambda ids: SL.objective(df, df.where(F.col("id").isin(ids))).first().value
+    gains = {r.id: r.gain for r in SL.marginal_gains(df, df.where("id = 0")).collect()}
     for c in (1, 2, 3):
         assert gains[c] == pytest.approx(value([0, c]) - value([0]))
 
