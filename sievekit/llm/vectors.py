@@ -164,9 +164,13 @@ def _held(score: np.ndarray) -> np.ndarray:
 
 
 def _as_long(score: np.ndarray) -> np.ndarray:
-    if score.dtype != np.int64 and any(abs(int(s)) >= 1 << 63 for s in score):
+    """Scores as they leave a task.  One above 64 bits is among the best of all, so it is an error here; one below
+    them loses to any other and is null, an error only where a query has nothing better."""
+    if score.dtype == np.int64:
+        return score
+    if any(s >= 1 << 63 for s in score):
         raise OverflowError("a score among the best does not fit a 64-bit integer")
-    return score.astype(np.int64)
+    return np.array([None if s < -(1 << 63) else int(s) for s in score], dtype=object)
 
 
 _FOUND = pa.schema([("query_row", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
@@ -251,5 +255,6 @@ def top_k(embeddings: DataFrame, k: int = 5, every: int = 50, slices: int = SLIC
         _search(k, slices), "query_row bigint, query_id bigint, vec_id bigint, score bigint")
     from pyspark.sql import Window
     by = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
+    held = F.coalesce("score", F.raise_error(F.lit("a score among the best does not fit a 64-bit integer")).cast("long"))
     return (found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
+            .select("query_id", "rank", "vec_id", held.alias("score")))
