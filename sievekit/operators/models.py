@@ -1,10 +1,10 @@
 """Model jobs at the level a Spark user writes them: vocabulary building, id
-encoding, a Spark ML ensemble fitted per run, batched inference with
+encoding, run ensembles and grids of models fitted together, batched inference with
 ``predict_batch_udf``, and text embeddings.
 
 Neural fine-tuning and the GPU grammar are not rebuilt (README); their roles in
 the pipeline — produce per-run predictions, produce vectors — are filled by
-Spark ML and by user models behind ``predict_batch_udf``.
+linear models over hashed words and by user models behind ``predict_batch_udf``.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievekit.functions.text import tokens_basic
+from sievekit.operators import manymodels as MM
 
 # Fixed values of the reference's word tokenizer: special tokens and their ids.
 SPECIALS = ["[PAD]", "[CLS]", "[SEP]", "[UNK]"]
@@ -64,42 +65,48 @@ def encode_ids(df: DataFrame, text_col: str, vocab: DataFrame, id_col: str, out_
     return out
 
 
-def _features(df: DataFrame, text_col: str, num_features: int):
-    from pyspark.ml.feature import HashingTF
-    toks = df.withColumn("_toks", tokens_basic(text_col))
-    return HashingTF(inputCol="_toks", outputCol="_tf", numFeatures=num_features).transform(toks)
-
-
 def fit_run_ensemble(train: DataFrame, text_col: str = "text", label_col: str = "y", id_col: str = "id",
-                     runs: int = 5, score: DataFrame | None = None, num_features: int = 1 << 16,
-                     max_iter: int = 20, seed: int = 7) -> DataFrame:
-    """Fit one classifier per run (hashed term frequencies → IDF → logistic
-    regression) on a Bayesian-bootstrap reweighting of ``train`` (weights
-    ``-ln U``, U uniform by a hash of seed, run and id); predict ``score`` (default the
-    training rows).  Output the long table ``(id, run, probs, predicted)``
-    that the influence operators consume."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF
-    from pyspark.ml.functions import vector_to_array
+                     runs: int = 5, score: DataFrame | None = None, features: int = MM.FEATURES,
+                     passes: int = MM.PASSES, seed: int = 7) -> DataFrame:
+    """One classifier per run on a Bayesian-bootstrap reweighting of ``train`` (weights ``-ln U``, U uniform by a hash
+    of seed, run and id), all fitted in the same passes (``manymodels``); predict ``score`` (default the training
+    rows).  Output the long table ``(id, run, probs, predicted)`` that the influence operators consume."""
     score = score if score is not None else train
-    tr = _features(train, text_col, num_features)
-    sc = _features(score, text_col, num_features)
-    idf = IDF(inputCol="_tf", outputCol="_x").fit(tr)
-    tr, sc = idf.transform(tr), idf.transform(sc)
-    out = None
-    for r in range(1, runs + 1):
-        # U from a hash of (seed, run, id): the same weights however rows are partitioned
-        u = (F.pmod(F.xxhash64(F.lit(seed), F.lit(r), id_col), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-        w = tr.withColumn("_w", -F.log(u))
-        lr = LogisticRegression(featuresCol="_x", labelCol=label_col, weightCol="_w", maxIter=max_iter,
-                                regParam=0.01, probabilityCol="_p", predictionCol="_pred",
-                                rawPredictionCol="_raw")
-        model = lr.fit(w.withColumn(label_col, F.col(label_col).cast("double")))
-        pred = model.transform(sc).select(
-            id_col, F.lit(r).alias("run"), vector_to_array("_p").alias("probs"),
-            F.col("_pred").cast("int").alias("predicted"))
-        out = pred if out is None else out.unionByName(pred)
-    return out
+    every, u = F.array(F.lit(100)), MM.bootstrap_weights(id_col, runs, seed)
+    cells = [MM.Cell((r,), 0, 0, r) for r in range(1, runs + 1)]
+    rows = MM.model_rows(train, text_col, label_col, every, u, features=features).checkpoint(eager=True)
+    coef = MM.train(rows, cells, features, passes)
+    test = MM.model_rows(score, text_col, label_col, every, u, [id_col], features)
+    p = MM.predict(test, coef, cells, [id_col])
+    return p.select(id_col, F.posexplode("p").alias("_r", "_p")).select(
+        id_col, (F.col("_r") + 1).alias("run"), F.array(F.lit(1.0) - F.col("_p"), F.col("_p")).alias("probs"),
+        (F.col("_p") > 0.5).cast("int").alias("predicted"))
+
+
+def retrain_grid(examples: DataFrame, kept: DataFrame, random_kept: DataFrame, rates: Sequence[int], runs: int = 5,
+                 prune_label: int = 0, text_col: str = "text", label_col: str = "y", id_col: str = "id",
+                 set_col: str = "lang", features: int = MM.FEATURES, passes: int = MM.PASSES) -> DataFrame:
+    """Retrain on every split and score every test set: ``strategy, inf_score, prune_type, prune_rate, run, test_set,
+    n, accuracy, macro_f1``.
+
+    ``kept`` is ``prune.kept_rates`` (informed undersampling of ``prune_label``), ``random_kept`` is
+    ``prune.random_kept_rates``; test sets are the values of ``set_col``.  Models of all strategies, scores, types,
+    rates and runs are trained in the same passes, an unpruned one per run among them (rate 0)."""
+    ways = [(s, t) for s in ("pvi", "el2n") for t in ("easy", "hard")]
+    pick = lambda s, t: F.max(F.when(F.col("inf_score") == s, F.coalesce(F.col(f"kept_{t}"), F.lit(-1))))
+    informed = kept.groupBy(id_col).agg(F.array(*[pick(s, t) for s, t in ways]).alias("_informed"))
+    at = [F.max(F.when(F.col("run") == r, F.coalesce("kept", F.lit(-1)))) for r in range(1, runs + 1)]
+    chance = random_kept.groupBy(id_col).agg(F.array(*at).alias("_random"))
+    whole = F.when(F.col(label_col) == prune_label, F.col("_informed")).otherwise(F.array(*[F.lit(100)] * len(ways)))
+    rows = MM.model_rows(examples.join(informed, id_col).join(chance, id_col), text_col, label_col,
+                         F.concat(whole, F.col("_random"), F.array(F.lit(100))), MM.bootstrap_weights(id_col, runs),
+                         [set_col], features).checkpoint(eager=True)
+    cells = [MM.Cell(("informed", s, t, q, r), w, q, r) for w, (s, t) in enumerate(ways) for q in rates for r in range(1, runs + 1)]
+    cells += [MM.Cell(("random", "", "", q, r), len(ways) + r - 1, q, r) for q in rates for r in range(1, runs + 1)]
+    cells += [MM.Cell(("unpruned", "", "", 0, r), len(ways) + runs, 0, r) for r in range(1, runs + 1)]
+    coef = MM.train(rows, cells, features, passes)
+    return MM.grid_report(MM.confusion(rows, coef, cells, set_col), cells,
+                          ["strategy", "inf_score", "prune_type", "prune_rate", "run"])
 
 
 def linear_predict_fn(weights: Sequence[float], bias: float):
@@ -156,10 +163,19 @@ def embed_texts(df: DataFrame, text_col: str, id_col: str = "id", make_embed_fn=
     return df.dropDuplicates([id_col]).select(id_col, udf(F.col(text_col)).alias("embedding"))
 
 
-def token_attribution_stats(df: DataFrame, tokens_col: str, scores_col: str, label_col: str) -> DataFrame:
+def token_attribution_stats(df: DataFrame, tokens_col: str, scores_col: str, label_col: str,
+                            boundary: str | None = None) -> DataFrame:
     """Per (label, token): mean and count of per-token attribution scores,
-    from aligned ``tokens`` / ``scores`` arrays (``arrays_zip`` + explode)."""
-    z = df.select(label_col, F.explode(F.arrays_zip(F.col(tokens_col).alias("t"),
-                                                    F.col(scores_col).alias("s"))).alias("_z"))
-    return z.groupBy(label_col, F.col("_z.t").alias("token")).agg(
+    from aligned ``tokens`` / ``scores`` arrays (``arrays_zip`` + explode).  With ``boundary``, the token that parts the
+    sentences of a pair, the figures are per (label, side, token): side ``a`` before its first place, ``b`` after it; a
+    row without it is all ``a``, and the boundary itself counts for neither."""
+    z = F.arrays_zip(F.col(tokens_col).alias("t"), F.col(scores_col).alias("s"))
+    rows = df.select(label_col, F.posexplode(z).alias("_i", "_z"), *(
+        [F.array_position(tokens_col, F.lit(boundary)).alias("_cut")] if boundary is not None else []))
+    keys = [F.col(label_col)]
+    if boundary is not None:
+        cut = F.col("_cut") - 1
+        rows = rows.where((cut < 0) | (F.col("_i") != cut))
+        keys.append(F.when((cut < 0) | (F.col("_i") < cut), "a").otherwise("b").alias("side"))
+    return rows.groupBy(*keys, F.col("_z.t").alias("token")).agg(
         F.avg("_z.s").alias("mean_score"), F.count(F.lit(1)).alias("count"))

@@ -11,7 +11,7 @@ from sievekit.operators import select as SL
 from sievekit.operators import shortcuts as SC
 from sievekit.plans import fixtures as X
 from sievekit.plans.registry import register
-from sievekit.plans.scoring import averaged
+from sievekit.plans.scoring import averaged, averaged_exactly
 from sievekit.plans.textual import PAIRS_SQL, tok_sql
 from sievekit.sources.tables import table
 
@@ -191,7 +191,7 @@ def q_fit_null_model(spark, sf):
 
 @register("fit_run_ensemble")
 def q_fit_run_ensemble(spark, sf):
-    """Five bootstrap runs of a Spark ML text classifier → long predictions,
+    """Five bootstrap runs of a text classifier, fitted in the same passes → long predictions,
     ready for ``score_runs``."""
     ex = X.examples(spark, sf).select("id", "text", "y")
     p = MD.fit_run_ensemble(ex, runs=5)
@@ -211,19 +211,12 @@ def q_predict_batches(spark, sf):
 
 @register("retrain_grid")
 def q_retrain_grid(spark, sf):
-    """Retrain on every PVI/easy undersampled split (10 rates, one run each)
-    and score the full example set: one Spark ML fit per grid cell."""
+    """Retrain on every informed and random split (2 scores x 2 types x 10 rates x 5 runs, and 10 rates x 5 seeds) and
+    score every language as a test set; 255 models, the same passes over the table."""
     from sievekit.operators import prune as P
-    ex = X.examples(spark, sf).select("id", "text", "y")
-    grid = P.undersample_grid(averaged(spark, sf), scores=("average_pvi",), types=("easy",))
-    out = None
-    for q in RATES:
-        train = ex.join(grid.filter(F.col("prune_rate") == q).select("id"), "id", "left_semi")
-        p = MD.fit_run_ensemble(train, runs=1, score=ex, max_iter=10).withColumn("prune_rate", F.lit(q))
-        out = p if out is None else out.unionByName(p)
-    from sievekit.operators import metrics as M
-    return M.macro_f1(out.join(ex.select("id", "y"), "id"), ["prune_rate"]).withColumn(
-        "macro_f1", r6("macro_f1"))
+    ex = X.examples(spark, sf).select("id", "text", "y", "lang")
+    g = MD.retrain_grid(ex, P.kept_rates(averaged_exactly(spark, sf)), P.random_kept_rates(ex.select("id", "y")), RATES)
+    return g.withColumns({c: r6(c) for c in ("accuracy", "macro_f1")})
 
 
 _ATTR_SQL = f"""attr AS (SELECT id, y, {tok_sql('text')} AS t FROM examples),
@@ -243,6 +236,24 @@ def q_token_attribution_stats(spark, sf):
     return t.select("y", "token", r6(F.col("mean_score") / F.lit(10.0)).alias("mean_score"), "count")
 
 
+_PAIR_ATTR_SQL = f"""attr AS (SELECT uid, turn % 2 AS y, list_concat({tok_sql('premise')}, ['[SEP]'], {tok_sql('hypothesis')}) AS t,
+  len({tok_sql('premise')}) AS n FROM pairs),
+ex2 AS (SELECT y, n, unnest(t) AS token, unnest(range(0, len(t))) AS i FROM attr)"""
+
+
+@register("token_attribution_pairs", X.with_ctes(PAIRS_SQL, _PAIR_ATTR_SQL) + """
+SELECT y, CASE WHEN i < n THEN 'a' ELSE 'b' END AS side, token, round(avg((length(token) % 5 - 2) * (i % 3)) / CAST(10 AS DOUBLE), 6) AS mean_score,
+       COUNT(*) AS count FROM ex2 WHERE i <> n GROUP BY ALL""")
+def q_token_attribution_pairs(spark, sf):
+    """The same figures for pairs, premise and hypothesis apart, split at the boundary token."""
+    from sievekit.operators import text as OT
+    p = OT.conversation_pairs(table(spark, sf, "conversations")).withColumn("y", F.col("turn") % 2)
+    p = p.withColumn("tokens", F.concat(TX.tokens_basic("premise"), F.array(F.lit("[SEP]")), TX.tokens_basic("hypothesis")))
+    p = p.withColumn("scores", F.transform("tokens", lambda w, i: ((F.length(w) % 5) - 2) * (i % 3)))
+    t = MD.token_attribution_stats(p, "tokens", "scores", "y", "[SEP]")
+    return t.select("y", "side", "token", r6(F.col("mean_score") / F.lit(10.0)).alias("mean_score"), "count")
+
+
 _NG_SQL = f"""toks AS (SELECT id, y, {tok_sql('text')} AS t FROM examples),
 grams AS (SELECT DISTINCT id, y, g AS ngram FROM (
   SELECT id, y, unnest(list_transform(range(1, len(t) + 1), lambda i: array_to_string(t[i:i], ' '))) AS g FROM toks
