@@ -1,7 +1,7 @@
 """Readers and writers for the reference's file formats.
 
 Schemas are always given (never inferred).  Texts hold quotes, commas and
-newlines, so CSV is read with ``multiLine`` and ``"`` as escape.  Row-position
+newlines, so CSV goes through ``quoted``, which splits files all the same.  Row-position
 ids (the reference's ``uid = row number`` when a file has no uid column) follow
 the order of file paths, then places in a file, however Spark deals out the files.
 """
@@ -16,22 +16,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievekit.operators.rank import distributed_rank
+from sievekit.sources.quoted import read_quoted
 
 SPLIT_PARTITIONS = ("strategy", "inf_score", "prune_type", "prune_rate")
 
 
-def read_labelled_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """Comma CSV with header; quoted fields may span lines."""
-    return (spark.read.schema(schema).option("header", True).option("multiLine", True)
-            .option("escape", '"').option("quote", '"').csv(path))
+def read_labelled_csv(spark: SparkSession, path: str, schema: T.StructType | str, uid_col: str | None = None) -> DataFrame:
+    """Comma CSV with header; quoted fields may span lines, and a file is read by as many tasks as it has splits."""
+    return read_quoted(spark, path, schema, uid_col=uid_col)
 
 
 def read_labelled_tsv(spark: SparkSession, path: str, schema: T.StructType | str,
-                      header: bool = True) -> DataFrame:
+                      header: bool = True, uid_col: str | None = None) -> DataFrame:
     """Tab-separated file, with or without a header (``schema`` names the
     columns of header-less files)."""
-    return (spark.read.schema(schema).option("header", header).option("sep", "\t")
-            .option("multiLine", True).option("escape", '"').csv(path))
+    return read_quoted(spark, path, schema, "\t", header, uid_col)
 
 
 def with_row_uid(df: DataFrame, uid_col: str = "uid") -> DataFrame:
@@ -106,9 +105,7 @@ def load_tree_table(spark: SparkSession, paths: dict[str, str], schema: T.Struct
     out = None
     for split, path in paths.items():
         try:
-            df = (spark.read.schema(schema).option("header", True).option("sep", sep)
-                  .option("multiLine", True).option("escape", '"').csv(path))
-            df.schema  # noqa: B018  resolve now so a missing path is detected here
+            df = read_quoted(spark, path, schema, sep)
         except AnalysisException:
             continue
         df = df.withColumn("split", F.lit(split))
