@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from sievekit.functions.text import tokens_basic
 from sievekit.operators import manymodels as MM
+from sievekit.operators.lookup import PART_ROWS, lookup
 
 # Fixed values of the reference's word tokenizer: special tokens and their ids.
 SPECIALS = ["[PAD]", "[CLS]", "[SEP]", "[UNK]"]
@@ -45,24 +46,14 @@ def build_vocabulary(df: DataFrame, text_cols: Sequence[str], min_frequency: int
 
 
 def encode_ids(df: DataFrame, text_col: str, vocab: DataFrame, id_col: str, out_col: str = "input_ids",
-               max_vocab: int = 1_000_000) -> DataFrame:
+               part_rows: int = PART_ROWS) -> DataFrame:
     """Tokens → ids (unknown → ``[UNK]``) wrapped in ``[CLS]`` … ``[SEP]``.
 
-    Tokens are exploded with their position and hash-joined with the
-    vocabulary, which is counted first and broadcast only within
-    ``max_vocab`` rows (a proven bound); ids are regrouped per document in
-    token order.  A document is one group, bounded by its own length."""
-    n = vocab.count()
-    if n > max_vocab:
-        raise ValueError(f"vocabulary of {n} rows exceeds max_vocab={max_vocab}")
-    toks = df.select(id_col, F.posexplode(tokens_basic(text_col)).alias("_pos", "word"))
-    ids = (toks.join(F.broadcast(vocab.select("word", F.col("id").alias("_tid"))), "word", "left")
-           .groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("_pos", F.coalesce("_tid", F.lit(UNK))
-                                                                          .alias("_tid")))).alias("_s")))
-    enc = F.concat(F.array(F.lit(CLS)), F.coalesce(F.transform("_s", lambda x: x["_tid"]),
-                                                  F.array().cast("array<int>")), F.array(F.lit(SEP)))
-    out = df.join(ids, id_col, "left").withColumn(out_col, enc).drop("_s")
-    return out
+    Tokens are looked up where their row stands (``lookup``), so neither they nor the rows are shuffled, whatever the
+    size of the vocabulary."""
+    found = lookup(df, tokens_basic(text_col), vocab, "word", "id", out_col, part_rows)
+    ids = F.transform(F.coalesce(out_col, F.array().cast("array<int>")), lambda x: F.coalesce(x, F.lit(UNK)))
+    return found.withColumn(out_col, F.concat(F.array(F.lit(CLS)), ids, F.array(F.lit(SEP))))
 
 
 def fit_run_ensemble(train: DataFrame, text_col: str = "text", label_col: str = "y", id_col: str = "id",

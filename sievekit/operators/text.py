@@ -7,30 +7,33 @@ import re
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievekit.functions import text as TX
+from sievekit.operators.lookup import lookup
+from sievekit.operators.rank import _broadcast_if_few, distributed_rank
 
 NULL_INPUT = " "  # the reference's empty input: one blank, not ""
 
 
+def _coded(df: DataFrame, codes: DataFrame, label_col: str, out_col: str) -> DataFrame:
+    """Rows with their label's code (one row per label, broadcast if counted small); rows without a label go."""
+    return df.join(_broadcast_if_few(codes.select(label_col, (F.col("_rank") - 1).cast("int").alias(out_col))), label_col)
+
+
 def encode_labels_sorted(df: DataFrame, label_col: str, out_col: str = "numeric_labels") -> DataFrame:
-    """Label → code in sorted label order (``LabelBinarizer`` for two classes).
-    The distinct-label table is tiny; AQE broadcasts it when it measures so."""
-    codes = (df.select(label_col).distinct()
-             .withColumn(out_col, (F.dense_rank().over(Window.orderBy(label_col)) - 1).cast("int")))
-    return df.join(codes, label_col)
+    """Label → code in sorted label order (``LabelBinarizer`` for two classes)."""
+    labels = df.select(label_col).where(F.col(label_col).isNotNull()).distinct()
+    return _coded(df, distributed_rank(labels, [label_col], rank_col="_rank"), label_col, out_col)
 
 
 def encode_labels_by_appearance(df: DataFrame, label_col: str, order_col: str,
                                 out_col: str = "numeric_labels") -> DataFrame:
     """Label → code by order of first appearance (``order_col`` fixes the order)."""
-    first = df.groupBy(label_col).agg(F.min(order_col).alias("_first"))
-    codes = first.select(label_col, (F.row_number().over(Window.orderBy("_first")) - 1)
-                         .cast("int").alias(out_col))
-    return df.join(codes, label_col)
+    first = df.where(F.col(label_col).isNotNull()).groupBy(label_col).agg(F.min(order_col).alias("_first"))
+    return _coded(df, distributed_rank(first, ["_first", label_col], rank_col="_rank"), label_col, out_col)
 
 
 def null_input(df: DataFrame, text_col: str = "text", name: str | None = None) -> DataFrame:
@@ -45,12 +48,13 @@ def filter_unlabelled(df: DataFrame, label_col: str = "label") -> DataFrame:
 def sentiment_polarity(df: DataFrame, text_col: str, lexicon: DataFrame, id_col: str = "id",
                        word_col: str = "word", polarity_col: str = "polarity") -> DataFrame:
     """Mean lexicon polarity of a row's tokens (0 when no token is in the
-    lexicon) and its band.  Tokens are exploded and equi-joined with the
-    lexicon — a shuffle join, so the lexicon may be of any size."""
-    toks = df.select(id_col, F.explode(TX.tokens_basic(text_col)).alias("_w"))
-    scored = (toks.join(lexicon.select(F.col(word_col).alias("_w"), F.col(polarity_col).alias("_p")), "_w")
-              .groupBy(id_col).agg(F.avg("_p").alias("polarity")))
-    out = df.join(scored, id_col, "left").withColumn("polarity", F.coalesce("polarity", F.lit(0.0)))
+    lexicon) and its band.  Tokens are looked up where their row stands; the lexicon may be of any size, its words
+    must differ."""
+    found = lookup(df, TX.tokens_basic(text_col), lexicon.select(word_col, F.col(polarity_col).cast("double").alias(polarity_col)),
+                   word_col, polarity_col, "_known")
+    known = F.filter("_known", lambda p: p.isNotNull())
+    mean = F.aggregate(known, F.lit(0.0), lambda a, p: a + p) / F.nullif(F.size(known), F.lit(0))
+    out = found.withColumn("polarity", F.coalesce(mean, F.lit(0.0))).drop("_known")
     return out.withColumn("sentiment", TX.sentiment_label("polarity"))
 
 

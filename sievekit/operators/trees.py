@@ -175,6 +175,11 @@ class ExplodeTree:
         yield from nodes(t, bool(scfg))
 
 
+def register_functions(spark) -> None:
+    """Make ``explode_tree`` known to the SQL of a session."""
+    spark.udtf.register("explode_tree", ExplodeTree)
+
+
 @F.pandas_udf(T.BooleanType())
 def tree_parse_ok(trees: pd.Series) -> pd.Series:
     return pd.Series([parse(t) is not None for t in trees])

@@ -105,6 +105,14 @@ def q_tree_nodes(spark, sf):
     return _nodes(spark, sf).select("uid", *_NODE_COLS)
 
 
+@register("explode_tree", TREES_SQL + "SELECT id AS uid, node_no, root, tpl, yield, depth, n_leaves FROM nodes")
+def q_explode_tree(spark, sf):
+    """The table function on the session, called from SQL with ``LATERAL``."""
+    TR.register_functions(spark)
+    return spark.sql("SELECT t.uid, n.node_no, n.root, n.tpl, n.yield, n.depth, n.n_leaves "
+                     "FROM {trees} t, LATERAL explode_tree(t.tree, false) n", trees=_trees(spark, sf))
+
+
 @register("tree_templates", TREES_SQL + "SELECT id AS uid, node_no, tpl FROM nodes")
 def q_tree_templates(spark, sf):
     return _nodes(spark, sf).select("uid", "node_no", "tpl")

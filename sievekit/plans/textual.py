@@ -312,7 +312,7 @@ SELECT uid, p || h AS tokens, CAST(range(0, len(p) + len(h)) AS INTEGER[]) AS po
 def q_concat_pair_positions(spark, sf):
     t = _pair_toks(spark, sf)
     return t.select("uid", F.concat("p", "h").alias("tokens"),
-                    F.sequence(F.lit(0), F.size("p") + F.size("h") - 1).alias("position_ids"),
+                    TX.concat_positions(F.size("p"), F.size("h")).alias("position_ids"),
                     F.size("p").alias("b_offset"))
 
 
