@@ -101,11 +101,16 @@ def final_score_table(examples: DataFrame, averaged: DataFrame, id_col: str = "i
 
 
 def pivot_runs(scored: DataFrame, value_col: str = "predicted_label", id_col: str = "id",
-               n_runs: int = 5) -> DataFrame:
-    """Export view with one column per run (``<value>_<r>``); the run list is
-    given so Spark does not scan for distinct values."""
-    wide = scored.groupBy(id_col).pivot("run", list(range(1, n_runs + 1))).agg(F.first(value_col))
-    return wide.select(id_col, *[F.col(str(r)).alias(f"{value_col}_{r}") for r in range(1, n_runs + 1)])
+               n_runs: int | None = None) -> DataFrame:
+    """Export view with one column per run (``<value>_<r>``).  Without ``n_runs``, every run the table holds has its
+    column; with it, runs beyond are an error instead of a loss."""
+    runs = sorted(r[0] for r in scored.select("run").distinct().collect())     # columns of an export
+    if n_runs is not None:
+        if runs and runs[-1] > n_runs:
+            raise ValueError(f"run {runs[-1]} is beyond n_runs={n_runs}")
+        runs = list(range(1, n_runs + 1))
+    wide = scored.groupBy(id_col).pivot("run", runs).agg(F.first(value_col))
+    return wide.select(id_col, *[F.col(str(r)).alias(f"{value_col}_{r}") for r in runs])
 
 
 def correctness_band(df: DataFrame, misses_col: str = "misclassification_number",

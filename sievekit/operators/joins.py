@@ -3,7 +3,6 @@ and dictionary logic as keyed relational operations."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -11,35 +10,68 @@ from pyspark.sql import functions as F
 
 from sievekit.operators.rank import distributed_rank
 
-MAX_PATTERNS = 50_000
-
-
-def pattern_regex(patterns: DataFrame, pattern_col: str = "pattern", literal: bool = False,
-                  max_patterns: int = MAX_PATTERNS) -> str | None:
-    """Fold a pattern table into one case-insensitive alternation.
-
-    Patterns holding ``[UNK]`` are skipped (as in the reference).  The table is
-    counted first and must hold at most ``max_patterns`` distinct patterns —
-    they become one literal regex compiled once per task, instead of a
-    rows × patterns nested-loop join that recompiles per pair.  ``literal``
-    escapes every pattern (substring semantics) — needed when patterns are
-    mined words that may hold regex metacharacters."""
-    pats = (patterns.select(F.col(pattern_col).alias("p")).filter(~F.col("p").contains("[UNK]"))
-            .filter(F.col("p") != "").distinct())
-    rows = pats.limit(max_patterns + 1).collect()
-    if len(rows) > max_patterns:
-        raise ValueError(f"more than {max_patterns} patterns; match them with a token join instead")
-    lst = sorted(r["p"] for r in rows)
-    if not lst:
-        return None
-    return "(?iu)" + "|".join("(?:" + (re.escape(p) if literal else p) + ")" for p in lst)
+#: Characters of the patterns of one automaton; more patterns are searched in several passes.
+AUTOMATON_CHARS = 8_000_000
+
+
+def _clean(patterns: DataFrame, pattern_col: str) -> DataFrame:
+    """Distinct patterns but those that hold ``[UNK]`` (as in the reference) or nothing."""
+    p = F.col(pattern_col)
+    return patterns.select(p.alias("p")).where(~p.contains("[UNK]") & (p != "")).distinct()
+
+
+def literal_matches(texts: DataFrame, patterns: DataFrame, text_col: str = "text", pattern_col: str = "pattern",
+                    out_col: str = "matched", chars: int = AUTOMATON_CHARS) -> DataFrame:
+    """``texts`` with ``out_col``: whether the text holds any of the patterns, letters in either case.
+
+    An Aho–Corasick automaton over the lower-cased patterns reads each text once, up to its first hit, whatever the
+    number of patterns.  An automaton holds patterns of about ``chars`` characters; more of them are dealt by hash to
+    several, each with a pass over the rows (a row that has matched is not read again).  A null text does not match."""
+    clean = _clean(patterns, pattern_col).select(F.lower("p").alias("p")).distinct().checkpoint(eager=True)
+    total = clean.agg(F.sum(F.length("p"))).first()[0] or 0
+    out = texts.withColumn("_low", F.lower(F.col(text_col))).withColumn(out_col, F.lit(False))
+    turns = -(-total // chars)
+    for k in range(turns):
+        part = clean if turns == 1 else clean.where(F.pmod(F.xxhash64("p"), F.lit(turns)) == k)
+        out = _searched(out, [r["p"] for r in part.collect()], out_col)     # about ``chars`` characters
+    return out.drop("_low")
+
+
+def _searched(df: DataFrame, words: list[str], out_col: str) -> DataFrame:
+    handle = df.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches):
+        import ahocorasick
+        import pyarrow as pa
+        find = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for w in handle.value:
+            find.add_word(w)
+        find.make_automaton()
+        for b in batches:
+            hit = [h or (t is not None and next(find.iter(t), None) is not None)
+                   for t, h in zip(b.column("_low").to_pylist(), b.column(out_col).to_pylist())] if handle.value else b.column(out_col)
+            yield pa.RecordBatch.from_arrays([pa.array(hit, pa.bool_()) if c == out_col else b.column(c) for c in b.schema.names],
+                                             names=b.schema.names)
+    return df.mapInArrow(run, df.schema)
+
+
+def pattern_regex(patterns: DataFrame, pattern_col: str = "pattern", chars: int = AUTOMATON_CHARS) -> str | None:
+    """Fold a table of regular expressions into one case-insensitive alternation, compiled once a task.  The table
+    must hold at most ``chars`` characters, as a query's own text would; mined words are literals and have no bound."""
+    clean = _clean(patterns, pattern_col)
+    if (clean.agg(F.sum(F.length("p"))).first()[0] or 0) > chars:
+        raise ValueError(f"regular expressions of more than {chars} characters; search literals instead")
+    found = sorted(r["p"] for r in clean.collect())
+    return "(?iu)" + "|".join(f"(?:{p})" for p in found) if found else None
 
 
 def pattern_join(texts: DataFrame, patterns: DataFrame, text_col: str = "text",
                  pattern_col: str = "pattern", literal: bool = False) -> DataFrame:
-    """Rows of ``texts`` whose text matches any pattern (case-insensitive).
-    A filter with one compiled alternation: no join, no shuffle."""
-    rx = pattern_regex(patterns, pattern_col, literal)
+    """Rows of ``texts`` whose text matches any pattern (case-insensitive): a filter, no join, no shuffle.  ``literal``
+    takes patterns as they stand and searches any number of them at once (``literal_matches``)."""
+    if literal:
+        return literal_matches(texts, patterns, text_col, pattern_col, "_matched").where("_matched").drop("_matched")
+    rx = pattern_regex(patterns, pattern_col)
     if rx is None:
         return texts.limit(0)
     return texts.filter(F.col(text_col).rlike(rx))

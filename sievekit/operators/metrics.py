@@ -268,3 +268,18 @@ __all__ = ["class_confusion", "macro_f1", "f1_variants", "accuracy", "mean_loss"
            "label_counts", "score_curve", "curve_band", "average_reports", "mean_std_cell",
            "best_checkpoint", "arange_edges", "histogram_bins", "histogram_auto", "class_means",
            "mann_whitney_u", "r6"]
+
+
+def method_dataset_table(preds: DataFrame, method_col: str, dataset_col: str, run_col: str = "run",
+                         label_col: str = "y", predicted_col: str = "predicted") -> DataFrame:
+    """``method, dataset, runs, accuracy``: the cells of a method × dataset table, mean over all rows of all runs.  Methods
+    and datasets are whatever the table holds; ``wide_table`` lays the cells out."""
+    hit = (F.col(predicted_col) == F.col(label_col)).cast("double")
+    return preds.groupBy(F.col(method_col).alias("method"), F.col(dataset_col).alias("dataset")).agg(
+        F.countDistinct(run_col).alias("runs"), F.avg(hit).alias("accuracy"))
+
+
+def wide_table(cells: DataFrame, row: str = "method", col: str = "dataset", value: str = "accuracy") -> DataFrame:
+    """One row per ``row``, one column per value of ``col`` (sorted)."""
+    names = sorted(r[0] for r in cells.select(col).where(F.col(col).isNotNull()).distinct().collect())     # columns of a report
+    return cells.groupBy(row).pivot(col, names).agg(F.first(value))

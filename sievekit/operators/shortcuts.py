@@ -194,6 +194,26 @@ def support_counter_accuracy(ginc: DataFrame, groups: DataFrame, preds: DataFram
         F.sum((~F.col("_support")).cast("int")).cast("long").alias("n_counter"))
 
 
+def group_accuracy(ginc: DataFrame, groups: DataFrame, preds: DataFrame, splits: DataFrame,
+                   id_col: str = "uid", label_col: str = "y") -> DataFrame:
+    """Accuracy of several models on several splits, inside each group: ``group_key, group_j, split, model, n,
+    majority_acc, support_acc, counter_acc, hard_counter_acc``.
+
+    ``groups`` comes from the training split: its counts fix a group's majority class and its *own* least frequent class
+    (the first on ties).  Support are members of a split with the majority label, counter those with another, hard
+    counter those with the group's least frequent one; an accuracy over no member is null.  ``preds`` is
+    ``(uid, model, acc)``, ``splits`` ``(uid, split)``, ``ginc`` the members of all splits."""
+    least = F.array_position("counts", F.array_min("counts")) - 1
+    g = groups.select("group_key", "group_j", F.col("majority").alias("_most"), least.alias("_least"))
+    j = ginc.join(g, ["group_key", "group_j"]).join(splits, id_col).join(preds, id_col)
+    y, a = F.col(label_col), F.col("acc").cast("double")
+    of = lambda cond: F.avg(F.when(cond, a))
+    return j.groupBy("group_key", "group_j", "split", "model").agg(
+        F.count(F.lit(1)).alias("n"), F.avg((y == F.col("_most")).cast("double")).alias("majority_acc"),
+        of(y == F.col("_most")).alias("support_acc"), of(y != F.col("_most")).alias("counter_acc"),
+        of(y == F.col("_least")).alias("hard_counter_acc"))
+
+
 def apply_train_features(train_fmi: DataFrame, eval_incidence: DataFrame,
                          feature_cols: Sequence[str] = ("tpl", "yield")) -> DataFrame:
     """Fit on train, apply to an evaluation split: features unseen in train are
@@ -206,6 +226,16 @@ def fmt_words(words) -> Column:
     return F.array_join(F.col(words) if isinstance(words, str) else words, ", ")
 
 
+def fmt_ngrams(grams) -> Column:
+    """``fmt_words`` of word lists."""
+    return fmt_words(F.transform(grams, lambda g: F.array_join(g, " ")))
+
+
+def fmt_pairs(pairs) -> Column:
+    """``fmt_words`` of (left, right) word lists, fields ``u`` and ``v``."""
+    return fmt_words(F.transform(pairs, lambda p: F.concat(F.array_join(p["u"], " "), F.lit("/"), F.array_join(p["v"], " "))))
+
+
 def majority_view(groups: DataFrame, majority: int | None = None, n: int | None = None) -> DataFrame:
     """Groups of one majority class (or all), sorted by (majority desc, MI
     desc), first ``n``."""

@@ -241,8 +241,8 @@ def q_feature_filter(spark, sf):
     return f.filter((n >= 2) & F.col("tpl").startswith("(S ")).select("tpl", "yield", n.alias("n_leaves"))
 
 
-def _groups_sql(key_expr: str) -> str:
-    return TOPK_SQL + f""",
+def _groups_sql(key_expr: str, head: str = TOPK_SQL) -> str:
+    return head + f""",
 members AS (SELECT tpl, yield, topk_no, {key_expr} AS group_key, majority AS group_j FROM topk),
 ginc AS (SELECT DISTINCT f.id, f.y, m.group_key, m.group_j FROM feat f JOIN members m ON f.tpl = m.tpl AND f.yield = m.yield),
 gcnt AS (SELECT k.group_key, j.group_j,
@@ -319,7 +319,16 @@ def q_group_table(spark, sf):
 
 @register("fmt_words", GROUPS_ROOT_SQL + "SELECT group_key, group_j, examples FROM groups")
 def q_fmt_words(spark, sf):
-    return _merged(spark, sf).select("group_key", "group_j", "examples")
+    g = _merged(spark, sf)
+    return g.select("group_key", "group_j", SC.fmt_words(F.slice("members", 1, 8)).alias("examples"))
+
+
+@register("fmt_words_pairs")
+def q_fmt_words_pairs(spark, sf):
+    """The word pairs of the top synchronous features, written as ``left/right``, per number of words."""
+    _, pats = _pair_patterns(spark, sf)
+    by = pats.groupBy((F.size("u") + F.size("v")).alias("n_words")).agg(F.array_sort(F.collect_list(F.struct("group", "u", "v"))).alias("p"))
+    return by.select("n_words", SC.fmt_pairs("p").alias("examples"))
 
 
 @register("majority_view", GROUPS_ROOT_SQL + """
@@ -445,31 +454,43 @@ def q_group_flags(spark, sf):
                     (F.col("y") != F.col("majority")).alias("counter"))
 
 
-@register("group_accuracy_tables", _SC_SQL + """
-SELECT gr.group_key, gr.group_j, round(gr.mi, 6) AS mi, gr.n0, gr.n1, gr.majority,
-       round(greatest(gr.n0, gr.n1) / CAST(NULLIF(gr.count, 0) AS DOUBLE), 6) AS majority_acc,
-       round(sc.support_acc, 6) AS support_acc, round(sc.counter_acc, 6) AS counter_acc,
-       round(sc.support_acc - sc.counter_acc, 6) AS drop_,
-       gr.majority <> (CASE WHEN t.t0 <= t.t1 THEN 0 ELSE 1 END) AS hard_counter,
-       round(SUM(gr.mi) OVER (PARTITION BY gr.group_key), 6) AS key_mi
-FROM groups gr LEFT JOIN sc ON gr.group_key = sc.group_key AND gr.group_j = sc.group_j CROSS JOIN gtot t""")
+_MODELS_SQL = _groups_sql("regexp_extract(tpl, '^\\(([^ ]*) ', 1)", _SPLIT_SQL + f""",
+topk AS (SELECT *, CAST(ROW_NUMBER() OVER (ORDER BY round(mi, 10) DESC, tpl, yield) AS INTEGER) AS topk_no
+         FROM (SELECT * FROM fmi ORDER BY round(mi, 10) DESC, tpl, yield LIMIT {K_TOP}))""") + """,
+runs AS (SELECT * FROM (VALUES (1), (2), (3), (4), (5)) AS v(run)),
+""" + X.PREDICTIONS_SQL.replace("FROM examples", "FROM all_examples") + f""",
+members2 AS (SELECT DISTINCT a.id, a.y, m.group_key, m.group_j FROM allfeat a JOIN members m ON a.tpl = m.tpl AND a.yield = m.yield),
+ga AS (SELECT g.group_key, g.group_j, g.mi, g.n0, g.n1, g.majority, {_PHASE.replace('id AS', 'm.id AS')} AS split, 'run' || p.run AS model,
+    COUNT(*) AS n, avg(CAST(m.y = g.majority AS DOUBLE)) AS majority_acc,
+    avg(CASE WHEN m.y = g.majority THEN CAST((p.p1 >= 0.5) = (m.y = 1) AS DOUBLE) END) AS support_acc,
+    avg(CASE WHEN m.y <> g.majority THEN CAST((p.p1 >= 0.5) = (m.y = 1) AS DOUBLE) END) AS counter_acc,
+    avg(CASE WHEN m.y = CASE WHEN g.n0 <= g.n1 THEN 0 ELSE 1 END THEN CAST((p.p1 >= 0.5) = (m.y = 1) AS DOUBLE) END) AS hard_counter_acc
+  FROM members2 m JOIN groups g ON m.group_key = g.group_key AND m.group_j = g.group_j JOIN preds p ON p.id = m.id GROUP BY ALL)"""
+
+
+@register("group_accuracy_tables", _MODELS_SQL + """
+SELECT group_key, group_j, round(mi, 6) AS mi, n0, n1, majority, split, model, n, round(majority_acc, 6) AS majority_acc,
+       round(support_acc, 6) AS support_acc, round(counter_acc, 6) AS counter_acc,
+       round(hard_counter_acc, 6) AS hard_counter_acc, round(support_acc - counter_acc, 6) AS drop_ FROM ga""")
 def q_group_accuracy_tables(spark, sf):
-    """Per group: label counts, accuracy of the majority guess, support and
-    counter accuracy of the classifier, their drop, whether the counter side
-    is the least frequent class (``hard_counter``) and the key's summed MI."""
-    from pyspark.sql import Window
-    groups, s = _sc(spark, sf)
-    totals = SC.label_list(SC.class_totals(_examples(spark, sf)))
-    least = 0 if totals[0][1] <= totals[1][1] else 1
-    j = groups.join(s, ["group_key", "group_j"], "left")
-    return j.select(
-        "group_key", "group_j", r6("mi").alias("mi"), F.element_at("counts", 1).alias("n0"),
-        F.element_at("counts", 2).alias("n1"), "majority",
-        r6(F.try_divide(F.array_max("counts").cast("double"), F.col("count").cast("double"))).alias("majority_acc"),
-        r6("support_acc").alias("support_acc"), r6("counter_acc").alias("counter_acc"),
-        r6(F.col("support_acc") - F.col("counter_acc")).alias("drop_"),
-        (F.col("majority") != F.lit(least)).alias("hard_counter"),
-        r6(F.sum("mi").over(Window.partitionBy("group_key"))).alias("key_mi"))
+    """Groups mined on the training split, looked at in both splits and through five models: accuracy of the majority
+    guess, of the model on support, on counter-examples and on those of the group's own least frequent class."""
+    inc = _incidence(spark, sf)
+    ex = _examples(spark, sf)
+    train = ex.where(_phase("id") == "train")
+    train_inc = inc.where(_phase() == "train")
+    topk = SC.topk_features(SC.feature_mi(train_inc, train), K_TOP).checkpoint(eager=True)
+    groups = SC.merge_by_majority(train_inc, train, topk)
+    ginc = SC.group_incidence(inc, SC.group_members(topk, [0, 1]))
+    right = X.predictions(ex).join(ex.select("id", "y"), "id").select(
+        F.col("id").alias("uid"), F.concat(F.lit("run"), F.col("run").cast("string")).alias("model"),
+        (F.col("predicted") == F.col("y")).cast("int").alias("acc"))
+    acc = SC.group_accuracy(ginc, groups, right, ex.select(F.col("id").alias("uid"), _phase("id").alias("split")))
+    j = acc.join(groups.select("group_key", "group_j", "mi", "counts", "majority"), ["group_key", "group_j"])
+    shown = ("majority_acc", "support_acc", "counter_acc", "hard_counter_acc")
+    return j.select("group_key", "group_j", r6("mi").alias("mi"), F.element_at("counts", 1).alias("n0"),
+                    F.element_at("counts", 2).alias("n1"), "majority", "split", "model", "n", *(r6(c).alias(c) for c in shown),
+                    r6(F.col("support_acc") - F.col("counter_acc")).alias("drop_"))
 
 
 @register("split_accuracy_support_counter", _SC_SQL + f"""

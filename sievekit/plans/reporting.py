@@ -395,21 +395,15 @@ def q_mann_whitney_events(spark, sf):
 
 
 @register("method_dataset_table", RS + """
-SELECT method,
-  round(avg(CASE WHEN lang = 'de' THEN acc END), 6) AS de, round(avg(CASE WHEN lang = 'en' THEN acc END), 6) AS en,
-  round(avg(CASE WHEN lang = 'es' THEN acc END), 6) AS es, round(avg(CASE WHEN lang = 'fr' THEN acc END), 6) AS fr
-FROM (SELECT 'K' || CAST(prune_rate AS VARCHAR) || 'L' || inf_score || '_' || prune_type AS method, lang,
-             CAST(predicted = y AS DOUBLE) AS acc FROM gpreds WHERE run = 1) GROUP BY method""")
+SELECT 'K' || CAST(prune_rate AS VARCHAR) || 'L' || inf_score || '_' || prune_type AS method, lang AS dataset,
+       COUNT(DISTINCT run) AS runs, round(avg(CAST(predicted = y AS DOUBLE)), 6) AS accuracy
+FROM gpreds GROUP BY 1, 2""")
 def q_method_dataset_table(spark, sf):
-    """Method × dataset accuracy table: ``groupBy(method).pivot(dataset)`` with
-    the dataset list given (no extra pass to discover it)."""
-    gp = _gp(spark, sf).filter(F.col("run") == 1).withColumn(
+    """Method × dataset accuracies over all runs and every dataset there is, one row a cell of the table."""
+    gp = _gp(spark, sf).withColumn(
         "method", F.concat(F.lit("K"), F.col("prune_rate").cast("string"), F.lit("L"),
                            F.col("inf_score"), F.lit("_"), F.col("prune_type")))
-    acc = gp.withColumn("acc", (F.col("predicted") == F.col("y")).cast("double"))
-    langs = ["de", "en", "es", "fr"]
-    wide = acc.groupBy("method").pivot("lang", langs).agg(F.avg("acc"))
-    return wide.select("method", *[r6(x).alias(x) for x in langs])
+    return M.method_dataset_table(gp, "method", "lang").withColumn("accuracy", r6("accuracy"))
 
 
 @register("method_settings", RS + """
