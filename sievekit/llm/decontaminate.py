@@ -94,18 +94,35 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Dat
             .select("key", (F.col("pos") - F.col("place")).alias("start"), "length", "gram"))
 
 
+def rare_terms(docs: DataFrame, grams: DataFrame, need: int) -> DataFrame:
+    """``gram, term``: of each window with d distinct terms the d - need + 1 that the corpus holds least (by frequency,
+    then term), without those it lacks.  A stretch that holds ``need`` of the terms holds one of these."""
+    g = stash(grams.select("gram").distinct(), "grams")
+    places = g.select("gram", F.size(F.array_distinct("gram")).alias("d"), F.explode(F.array_distinct("gram")).alias("term"))
+    terms = _sized(stash(places.select("term").distinct(), "terms"))
+    seen = (docs.select(F.explode(words(F.col("text"))).alias("term"))
+            .join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("freq")))
+    rated = places.join(seen, "term", "left").withColumn("freq", F.coalesce("freq", F.lit(0)))
+    of = rated.groupBy("gram", "d").agg(F.array_sort(F.collect_list(F.struct("freq", "term"))).alias("r"))
+    first = F.slice("r", 1, F.greatest(F.col("d") - F.least(F.lit(need), F.col("d")) + 1, F.lit(1)))
+    return of.select("gram", F.explode(first).alias("t")).where("t.freq > 0").select("gram", F.col("t.term").alias("term"))
+
+
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, size: int = 10, need: int = 8) -> DataFrame:
-    """Looser matches: ``(key, start, length, gram, shared)`` where the words around
-    the anchor hold at least ``need`` of the window's distinct terms (all of a
-    window with fewer), in any order."""
+    """Looser matches: ``(key, gram, shared)`` where some stretch of ``size`` words of a document (``key, text``) holds at
+    least ``need`` of a window's distinct terms (all of a window with fewer), in any order; ``shared`` is the most that
+    one stretch holds.  Candidates come from the postings of ``rare_terms``, so a window of which up to
+    ``d - need`` terms were replaced, its rarest among them, is found."""
     grams = windows(benchmark, size)
-    rare = stash(anchors(docs, grams, size), "anchors")
-    terms = _sized(stash(rare.select("term").distinct(), "anchor-terms"))
-    shared = F.size(F.array_intersect("around", "gram"))
-    return (stash(postings(docs, terms, size), "postings").join(_sized(rare), "term")
-            .withColumn("shared", shared)
+    rare = stash(rare_terms(docs, grams, need), "rare")
+    terms = _sized(stash(rare.select("term").distinct(), "rare-terms"))
+    index = stash(postings(docs, terms, size), "postings")
+    # stretches that hold the posting: they begin at each of the words before it and at itself
+    begins = F.sequence(F.lit(1), F.col("left") + 1)
+    shared = F.array_max(F.transform(begins, lambda b: F.size(F.array_intersect(F.slice("around", b, size), F.col("gram")))))
+    return (index.join(_sized(rare), "term").withColumn("shared", shared)
             .where(F.col("shared") >= F.least(F.lit(need), F.size(F.array_distinct("gram"))))
-            .select("key", (F.col("pos") - F.col("place")).alias("start"), "length", "gram", "shared"))
+            .groupBy("key", "gram").agg(F.max("shared").alias("shared")))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:

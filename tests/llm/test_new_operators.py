@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievekit.llm import language, merkle, ranked, suffixes, vectors
+from sievekit.llm import decontaminate, language, merkle, ranked, suffixes, vectors
 from tests.llm.test_operators import DOCS, ODD, WORDS, docs
 
 
@@ -272,3 +272,35 @@ def test_pipeline_keeps_clashing_columns(spark):
         assert all(got[k][5:] == rows[k][5:] for k in got)
     assert P.STAGES[0][1](spark, df.limit(0), "").count() == 0 and P.STAGES[3][1](spark, df.limit(0), "").count() == 0
     assert out.select(F.count("odd name")).first()[0] == 30
+
+
+def test_proximity_finds_windows_with_replaced_terms(spark):
+    """Against all stretches, the rarest words of a window replaced among others."""
+    rng = random.Random(9)
+    common = WORDS[:6]
+    items = [(k, " ".join([f"rare{k}a", f"rare{k}b", *rng.sample(common, 4), *rng.sample(WORDS, 4)])) for k in range(8)] + [(20, "rare0a x"), (21, None)]
+    rows = []
+    for k in range(160):
+        body = [rng.choice(common + WORDS) for _ in range(rng.randint(0, 30))]
+        if k % 2:
+            w = items[k % 8][1].split()
+            for _ in range(k % 5):
+                w[rng.choice((0, 1, 2, 5))] = f"other{k}"
+            rng.shuffle(w) if k % 3 == 0 else None
+            at = rng.randint(0, len(body))
+            body[at:at] = w
+        rows.append((k, " ".join(body)))
+    df = spark.createDataFrame(rows + [(900, None)], "key long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.key, tuple(r.gram)): r.shared for r in decontaminate.proximity_matches(df, b).collect()}
+    want = {}
+    for _, t in items:
+        w = _terms(t)
+        for g in {tuple(w[i:i + 10]) for i in range(max(len(w) - 9, 1))} if w else ():
+            for k, text in rows:
+                x = _terms(text)
+                most = max((len(set(x[i:i + 10]) & set(g)) for i in range(len(x))), default=0)
+                if most >= min(8, len(set(g))):
+                    want[k, g] = most
+    assert got == want and any(not any(w.startswith("rare") for w in set(g) & set(rows[k][1].split())) for k, g in want)
+    assert decontaminate.proximity_matches(df, b.limit(0)).count() == 0 and decontaminate.proximity_matches(df.limit(0), b).count() == 0
