@@ -214,6 +214,19 @@ def group_accuracy(ginc: DataFrame, groups: DataFrame, preds: DataFrame, splits:
         of(y == F.col("_least")).alias("hard_counter_acc"))
 
 
+def aligned_groups(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Groups of two independently mined families lined up: per group of ``left`` (``group_key, group_j, members``) the
+    group of ``right`` with which it shares most members (``other_key, other_j, shared``; ties go to the first by key and
+    class), null where it shares none.  Members are compared whole; both sides hold at most K of them."""
+    one = left.select("group_key", "group_j", F.explode("members").alias("m"))
+    two = right.select(F.col("group_key").alias("other_key"), F.col("group_j").alias("other_j"), F.explode("members").alias("m"))
+    shared = one.join(two, "m").groupBy("group_key", "group_j", "other_key", "other_j").agg(F.countDistinct("m").alias("shared"))
+    best = shared.groupBy("group_key", "group_j").agg(
+        F.min(F.struct((-F.col("shared")).alias("less"), "other_key", "other_j")).alias("b"))
+    return left.select("group_key", "group_j").join(best, ["group_key", "group_j"], "left").select(
+        "group_key", "group_j", "b.other_key", "b.other_j", (-F.col("b.less")).alias("shared"))
+
+
 def apply_train_features(train_fmi: DataFrame, eval_incidence: DataFrame,
                          feature_cols: Sequence[str] = ("tpl", "yield")) -> DataFrame:
     """Fit on train, apply to an evaluation split: features unseen in train are

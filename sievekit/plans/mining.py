@@ -576,36 +576,69 @@ def q_hypothesis_ngram_features(spark, sf):
     return SC.hypothesis_ngram_features(t, pats)
 
 
-@register("equivalent_group_tables")
+def _family_sql(feat: str, head: str) -> str:
+    """Groups of one family with their members and the accuracies of the first run: a query that stands alone."""
+    key = "regexp_extract(tpl, '^\\(([^ ]*) ', 1)"
+    top = head + ", " + mi_sql(feat) + f""", topk AS (
+  SELECT *, CAST(ROW_NUMBER() OVER (ORDER BY round(mi, 10) DESC, tpl, yield) AS INTEGER) AS topk_no
+  FROM (SELECT * FROM fmi ORDER BY round(mi, 10) DESC, tpl, yield LIMIT {K_TOP}))"""
+    return _groups_sql(key, top) + """, runs AS (SELECT * FROM (VALUES (1), (2), (3), (4), (5)) AS v(run)), """ + \
+        X.PREDICTIONS_SQL + ", " + _ACC_SQL + """,
+sc AS (SELECT g.group_key, g.group_j, avg(CASE WHEN g.y = gr.majority THEN CAST(a.acc AS DOUBLE) END) AS support_acc,
+         avg(CASE WHEN g.y <> gr.majority THEN CAST(a.acc AS DOUBLE) END) AS counter_acc
+       FROM ginc g JOIN groups gr ON g.group_key = gr.group_key AND g.group_j = gr.group_j JOIN acc a ON a.id = g.id GROUP BY 1, 2)
+SELECT gr.*, sc.support_acc, sc.counter_acc, COALESCE((SELECT list(m.yield) FROM members m
+  WHERE m.group_key = gr.group_key AND m.group_j = gr.group_j), []) AS yields
+FROM groups gr LEFT JOIN sc ON sc.group_key = gr.group_key AND sc.group_j = gr.group_j"""
+
+
+_GRAMS_SQL = """grams AS (SELECT DISTINCT id, y, tpl, yield FROM (
+  SELECT id, y, '(1-gram *)' AS tpl, unnest(list_transform(range(1, len(t) + 1), lambda i: array_to_string(t[i:i], ' '))) AS yield FROM toks
+  UNION ALL SELECT id, y, '(2-gram *)', unnest(list_transform(range(1, len(t)), lambda i: array_to_string(t[i:i + 1], ' '))) FROM toks
+  UNION ALL SELECT id, y, '(3-gram *)', unnest(list_transform(range(1, len(t) - 1), lambda i: array_to_string(t[i:i + 2], ' '))) FROM toks))"""
+_RAW_TOKS_SQL = f"toks AS (SELECT id, y, {tok_sql('text')} AS t FROM examples)"
+
+
+@register("equivalent_group_tables", "WITH a AS (" + _family_sql("feat", TREES_SQL + ", feat AS (SELECT DISTINCT id, y, tpl, yield FROM nodes)")
+          + "),\nb AS (" + _family_sql("feat", X.with_ctes(X.EXAMPLES_SQL, _RAW_TOKS_SQL, _GRAMS_SQL) + ", feat AS (SELECT * FROM grams)") + """),
+pairs AS (SELECT a.group_key, a.group_j, b.group_key AS other_key, b.group_j AS other_j, len(list_intersect(a.yields, b.yields)) AS shared
+          FROM a CROSS JOIN b),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY group_key, group_j ORDER BY shared DESC, other_key, other_j) AS r
+                        FROM pairs WHERE shared > 0) WHERE r = 1),
+f AS (SELECT group_key, group_j, 'Subtrees' AS family, CAST(NULL AS BIGINT) AS shared, group_key AS own_key, group_j AS own_j,
+             n0, n1, count, majority, support_acc, counter_acc FROM a
+      UNION ALL SELECT p.group_key, p.group_j, 'N-grams', p.shared, b.group_key, b.group_j, b.n0, b.n1, b.count, b.majority,
+             b.support_acc, b.counter_acc FROM best p JOIN b ON b.group_key = p.other_key AND b.group_j = p.other_j)
+SELECT group_key, group_j, family, own_key, own_j, shared, count, round((greatest(n0, n1) + 1) / CAST(count + 2 AS DOUBLE), 6) AS p_y_given_z,
+       round(support_acc, 6) AS support, round(counter_acc, 6) AS counter, round(support_acc - counter_acc, 6) AS drop_ FROM f""")
 def q_equivalent_group_tables(spark, sf):
-    """The same top groups seen through two feature families — subtree
-    features and plain n-grams of the group's example words — side by side:
-    Count, p(y|z) with +1, support and counter accuracy and their drop."""
-    from sievekit.operators import joins as J
-    groups, sc, _ = _sc(spark, sf, with_ginc=True)
-    fam1 = groups.join(sc, ["group_key", "group_j"], "left").select(
-        "group_key", "group_j", F.lit("Subtrees").alias("family"), "count", "counts", "majority",
-        "support_acc", "counter_acc")
-    # second family: documents containing any of the group's example words
+    """Groups of subtrees and of word n-grams, each family mined for itself, lined up by the members they share: Count,
+    p(y|z) with +1, support and counter accuracy and their drop, side by side."""
     ex = _examples(spark, sf)
-    pats = J.explode_examples(groups).select("group_key", "group_j", "pattern")
-    toks = ex.select("id", "y", F.explode(F.array_distinct(TX.tokens_basic("text"))).alias("pattern"))
-    hits = toks.join(pats, "pattern").select("id", "y", "group_key", "group_j").distinct()
-    acc = _acc(spark, sf).withColumnRenamed("uid", "id")
-    lab = [0, 1]
-    cnt = hits.groupBy("group_key", "group_j").agg(F.array(*[F.sum(F.when(F.col("y") == v, 1).otherwise(0))
-                                                            .cast("long") for v in lab]).alias("counts"))
-    maj = fam1.select("group_key", "group_j", "majority")
-    sc2 = (hits.join(maj, ["group_key", "group_j"]).join(acc, "id")
-           .groupBy("group_key", "group_j").agg(
-               F.avg(F.when(F.col("y") == F.col("majority"), F.col("acc").cast("double"))).alias("support_acc"),
-               F.avg(F.when(F.col("y") != F.col("majority"), F.col("acc").cast("double"))).alias("counter_acc")))
-    fam2 = (cnt.join(maj, ["group_key", "group_j"]).join(sc2, ["group_key", "group_j"], "left")
-            .withColumn("count", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x))
-            .select("group_key", "group_j", F.lit("Words").alias("family"), "count", "counts", "majority",
-                    "support_acc", "counter_acc"))
-    both = fam1.unionByName(fam2)
-    p = (F.element_at("counts", F.col("majority") + 1) + 1) / (F.col("count") + F.lit(len(lab))).cast("double")
-    return both.select("group_key", "group_j", "family", "count", r6(p).alias("p_y_given_z"),
-                       r6("support_acc").alias("support"), r6("counter_acc").alias("counter"),
-                       r6(F.col("support_acc") - F.col("counter_acc")).alias("drop"))
+    toks = ex.select(F.col("id").alias("uid"), "y", TX.tokens_basic("text").alias("t"))
+
+    def of_size(n):
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size("t"), F.lit(1))), lambda i: i + (n - 1) <= F.size("t"))
+        return F.transform(starts, lambda i: F.struct(F.lit(f"({n}-gram *)").alias("tpl"),
+                                                      F.array_join(F.slice("t", i, n), " ").alias("yield")))
+    sized = F.flatten(F.array(*[of_size(n) for n in (1, 2, 3)]))
+    grams = toks.select("uid", "y", F.explode(F.array_distinct(sized)).alias("g")).select("uid", "y", "g.tpl", "g.yield")
+    acc, found = _acc(spark, sf), []
+    for inc in (_incidence(spark, sf), grams.checkpoint(eager=True)):
+        topk = SC.topk_features(SC.feature_mi(inc, ex), K_TOP).checkpoint(eager=True)
+        groups = SC.merge_by_majority(inc, ex, topk).checkpoint(eager=True)
+        ginc = SC.group_incidence(inc, SC.group_members(topk, [0, 1]))
+        found.append((groups, groups.join(SC.support_counter_accuracy(ginc, groups, acc), ["group_key", "group_j"], "left")))
+    (one, left), (two, right) = found
+    best = SC.aligned_groups(one, two).where("shared is not null")
+    cols = ["counts", "count", "support_acc", "counter_acc"]
+    own = left.select("group_key", "group_j", F.lit("Subtrees").alias("family"), F.col("group_key").alias("own_key"),
+                      F.col("group_j").alias("own_j"), F.lit(None).cast("long").alias("shared"), *cols)
+    other = best.join(right.select(F.col("group_key").alias("other_key"), F.col("group_j").alias("other_j"), *cols),
+                      ["other_key", "other_j"]).select("group_key", "group_j", F.lit("N-grams").alias("family"),
+                                                       F.col("other_key").alias("own_key"), F.col("other_j").alias("own_j"), "shared", *cols)
+    p = (F.array_max("counts") + 1) / (F.col("count") + 2).cast("double")
+    return own.unionByName(other).select(
+        "group_key", "group_j", "family", "own_key", "own_j", "shared", "count", r6(p).alias("p_y_given_z"),
+        r6("support_acc").alias("support"), r6("counter_acc").alias("counter"),
+        r6(F.col("support_acc") - F.col("counter_acc")).alias("drop_"))
