@@ -25,7 +25,10 @@ from __future__ import annotations
 
 import re
 
+from collections.abc import Sequence
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -189,49 +192,61 @@ def tree_parse_ok(trees: pd.Series) -> pd.Series:
 FRAME_ROWS = 4096
 
 
-def _explode_batches(keep: list[str], scfg: bool):
+def _explode_batches(keep: list[str], scfg: bool, columns: Sequence[str], schema: pa.Schema, distinct: bool,
+                     max_depth: int | None):
+    place = [NODE_COLS.index(c) for c in columns]
+    depth = NODE_COLS.index("depth")
+
     def run(batches):
-        import pandas as pd
-        for pdf in batches:
-            out = {c: [] for c in keep + NODE_COLS}
-            kept = [pdf[c].tolist() for c in keep]
-            for i, tree in enumerate(pdf["_tree"].tolist()):
+        for b in batches:
+            rows: list[tuple] = []
+            of: list[int] = []
+
+            def batch():
+                cells = [pa.array(v, schema.field(c).type) for c, v in zip(columns, zip(*rows))]
+                return pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(of, pa.int64())) for c in keep), *cells],
+                                                  names=[*keep, *columns])
+            for i, tree in enumerate(b.column("_tree").to_pylist()):
                 t = parse(tree)
                 if t is None:
                     continue
-                rows = nodes(t, scfg)
-                if not rows:
-                    continue
-                n = len(rows)
-                for c, vals in zip(keep, kept):
-                    out[c].extend([vals[i]] * n)
-                for j, c in enumerate(NODE_COLS):
-                    out[c].extend([r[j] for r in rows])
-                if len(out["node_no"]) >= FRAME_ROWS:
-                    yield pd.DataFrame(out, columns=keep + NODE_COLS)
-                    out = {c: [] for c in keep + NODE_COLS}
-            if out["node_no"]:  # an all-unparsable batch yields nothing
-                yield pd.DataFrame(out, columns=keep + NODE_COLS)
+                got = [tuple(r[k] for k in place) for r in nodes(t, scfg) if max_depth is None or r[depth] <= max_depth]
+                if distinct:    # all rows of a tree are here: no shuffle tells repeats apart
+                    got = list(dict.fromkeys(got))
+                rows += got
+                of += [i] * len(got)
+                if len(rows) >= FRAME_ROWS:
+                    yield batch()
+                    rows, of = [], []
+            if rows:
+                yield batch()
     return run
 
 
-def tree_nodes(df: DataFrame, tree_col: str = "tree", scfg: bool = False,
-               keep: list[str] | None = None, partitions: int | None = None) -> DataFrame:
+def _exploded(df: DataFrame, tree_col: str, scfg: bool, keep: list[str] | None, columns: Sequence[str], distinct: bool = False,
+              max_depth: int | None = None) -> DataFrame:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    keep = keep if keep is not None else [c for c in df.columns if c != tree_col]
+    base = df.select(*keep, F.col(tree_col).alias("_tree"))
+    schema = T.StructType([*(base.schema[c] for c in keep), *(f for c in columns for f in NODE_FIELDS if f.name == c)])
+    return base.mapInArrow(_explode_batches(keep, bool(scfg), list(columns), to_arrow_schema(schema), distinct, max_depth), schema)
+
+
+def tree_nodes(df: DataFrame, tree_col: str = "tree", scfg: bool = False, keep: list[str] | None = None) -> DataFrame:
     """Explode ``tree_col`` into node rows: ``keep`` columns (default all but
     the tree) + the node columns.
 
-    Arrow batches in, columnar batches out (``mapInPandas``): no per-row
-    Python object crosses the JVM boundary.  Parsing is CPU-bound Python, so
-    ``partitions`` optionally spreads the trees round-robin over that many
-    tasks first (an input read as one large split would otherwise run in one
-    task); partitioning of the input is otherwise kept."""
-    keep = keep if keep is not None else [c for c in df.columns if c != tree_col]
-    base = df.select(*keep, F.col(tree_col).alias("_tree"))
-    if partitions:
-        base = base.repartition(partitions)
-    fields = [f for f in base.schema.fields if f.name in keep]
-    schema = T.StructType(fields + NODE_FIELDS)
-    return base.mapInPandas(_explode_batches(keep, bool(scfg)), schema)
+    Arrow batches in and out (``mapInArrow``), of at most about ``FRAME_ROWS`` nodes and one tree; rows stay where their
+    tree is, so a table of few splits should be ``spread`` before."""
+    return _exploded(df, tree_col, scfg, keep, NODE_COLS)
+
+
+def tree_features(df: DataFrame, tree_col: str = "tree", scfg: bool = False, keep: list[str] | None = None,
+                  max_depth: int | None = None) -> DataFrame:
+    """The set of ``(tpl, yield)`` features of each tree, with ``keep``: the incidence table, each feature of a tree once.
+    Repeats within a tree go where it is parsed, so no yield text is shuffled for that; ``max_depth`` keeps templates
+    up to that depth.  Trees must differ in their kept columns (an id)."""
+    return _exploded(df, tree_col, scfg, keep, ("tpl", "yield"), True, max_depth)
 
 
 def count_unparsed(df: DataFrame, tree_col: str = "tree") -> DataFrame:

@@ -17,23 +17,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievekit.sources.tables import table
+from sievekit.sources.tables import spread, table
 
 N_RUNS = 5
 
 
 def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hash-partitioned by ``id`` into ``spark.sql.shuffle.partitions``: text
-    work spreads over every task, and the later joins and aggregations keyed
-    by ``id`` (scores, averages) reuse this partitioning instead of shuffling
-    again.  Column pruning keeps the shuffle to the columns a plan uses."""
-    d = table(spark, sf_dir, "documents")
-    lab = table(spark, sf_dir, "labels")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return (d.join(lab, "doc_id")
-            .select(F.col("doc_id").alias("id"), "text", "lang", "source", "n_chars",
-                    F.col("toxic").alias("y"), "quality")
-            .repartition(n, "id"))
+    """Labelled documents, dealt to every core by ``id`` where the table is but a few splits.  Column pruning keeps
+    that to the columns a plan uses."""
+    d = spread(table(spark, sf_dir, "documents"), "doc_id")
+    return d.join(table(spark, sf_dir, "labels"), "doc_id").select(
+        F.col("doc_id").alias("id"), "text", "lang", "source", "n_chars", F.col("toxic").alias("y"), "quality")
 
 
 def runs(spark: SparkSession, n_runs: int = N_RUNS) -> DataFrame:

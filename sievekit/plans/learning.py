@@ -13,7 +13,7 @@ from sievekit.plans import fixtures as X
 from sievekit.plans.registry import register
 from sievekit.plans.scoring import averaged, averaged_exactly
 from sievekit.plans.textual import PAIRS_SQL, tok_sql
-from sievekit.sources.tables import table
+from sievekit.sources.tables import spread, table
 
 RATES = (5, 10, 15, 20, 25, 30, 35, 40, 50, 60)
 
@@ -144,14 +144,8 @@ vocab AS (
   FROM (SELECT * FROM cnt ORDER BY count DESC, word LIMIT 19996))"""
 
 
-def _docs_spread(spark, sf):
-    """Documents spread over every task before CPU-bound tokenisation."""
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return table(spark, sf, "documents").repartition(n, "doc_id")
-
-
 def _vocab(spark, sf):
-    return MD.build_vocabulary(_docs_spread(spark, sf), ["text"])
+    return MD.build_vocabulary(spread(table(spark, sf, "documents").select("text")), ["text"])
 
 
 @register("build_vocabulary", X.with_ctes(_VOCAB_SQL) + "SELECT word, id, count FROM vocab")

@@ -72,20 +72,14 @@ def _trees(spark, sf):
     return ex.select(F.col("id").alias("uid"), "y", TR.flat_tree(TX.tokens_basic("text")).alias("tree"))
 
 
-def _spread(spark):
-    """Tasks for tree parsing: every core, and no fewer than the session's shuffles get."""
-    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
 def _nodes(spark, sf):
-    # parsing is CPU-bound Python: spread the trees over every core first
-    return TR.tree_nodes(_trees(spark, sf), "tree", partitions=_spread(spark))
+    return TR.tree_nodes(_trees(spark, sf), "tree")
 
 
 def _incidence(spark, sf):
     """The incidence table is used several times per query (MI, top-K, group
     incidence): materialise it once with a reliable checkpoint."""
-    return SC.feature_incidence(_nodes(spark, sf)).checkpoint(eager=True)
+    return TR.tree_features(_trees(spark, sf), "tree").select("uid", "y", "tpl", "yield").checkpoint(eager=True)
 
 
 def _fmi(spark, sf, inc=None):
@@ -171,7 +165,7 @@ def q_pcfg_subtree_features(spark, sf):
 
 @register("subtree_features_max_depth", TREES_SQL + "SELECT DISTINCT id AS uid, tpl, yield FROM nodes WHERE depth <= 1")
 def q_subtree_features_max_depth(spark, sf):
-    return SC.feature_incidence(_nodes(spark, sf), max_depth=1).select("uid", "tpl", "yield")
+    return TR.tree_features(_trees(spark, sf), "tree", max_depth=1).select("uid", "tpl", "yield")
 
 
 @register("production_features")
@@ -521,7 +515,7 @@ def q_merge_greedy(spark, sf):
     return g.select("group_key", "g", r6("mi").alias("mi"), "count", "counts", "examples")
 
 
-def _pair_nodes(spark, sf):
+def _pair_trees(spark, sf):
     """Synchronous trees over conversation pairs: premise words ``w/`` and
     hypothesis words ``/v`` under one root."""
     from sievekit.operators import text as OT
@@ -530,21 +524,19 @@ def _pair_nodes(spark, sf):
     t = pairs.select("uid", (F.col("turn") % 2).cast("int").alias("y"),
                      TX.tokens_basic("premise").alias("a_tokens"), TX.tokens_basic("hypothesis").alias("b_tokens"))
     trees = t.select("uid", "y", "a_tokens", "b_tokens", TR.pair_tree("a_tokens", "b_tokens").alias("tree"))
-    return t, TR.tree_nodes(trees.select("uid", "y", "tree"), "tree", scfg=True,
-                            partitions=_spread(spark))
+    return t, trees.select("uid", "y", "tree")
 
 
 @register("subtree_features_scfg")
 def q_subtree_features_scfg(spark, sf):
     """Synchronous-grammar features ``(tpl, yield)`` per pair (set semantics)."""
-    _, n = _pair_nodes(spark, sf)
-    return SC.feature_incidence(n).select("uid", "tpl", "yield")
+    return TR.tree_features(_pair_trees(spark, sf)[1], "tree", scfg=True).select("uid", "tpl", "yield")
 
 
 @register("subtree_to_ngram_pair")
 def q_subtree_to_ngram_pair(spark, sf):
     """Synchronous yields split at the last ``/`` into (left n-gram, right n-gram)."""
-    _, n = _pair_nodes(spark, sf)
+    n = TR.tree_nodes(_pair_trees(spark, sf)[1], "tree", scfg=True)
     u, v = SC.subtree_to_ngram_pair("yield")
     return n.select("uid", "node_no", "yield", u.alias("u"), v.alias("v"))
 
@@ -552,8 +544,8 @@ def q_subtree_to_ngram_pair(spark, sf):
 def _pair_patterns(spark, sf, k=20):
     """Groups of n-gram twins from the top synchronous features: every top
     feature of depth ≤ 2 is one group holding its (u, v) pair."""
-    t, n = _pair_nodes(spark, sf)
-    inc = SC.feature_incidence(n).checkpoint(eager=True)
+    t, trees = _pair_trees(spark, sf)
+    inc = TR.tree_features(trees, "tree", scfg=True).checkpoint(eager=True)
     ex = t.select(F.col("uid").alias("id"), "y")
     top = SC.topk_features(SC.feature_mi(inc, ex), k)
     u, v = SC.subtree_to_ngram_pair("yield")

@@ -13,3 +13,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """``spark.read.parquet`` of one table; Catalyst prunes columns and pushes
     filters into this scan."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt to every core where the scan of ``df`` has fewer tasks than that (a small file is one split); a table
+    of many splits stays where it is, so nothing is shuffled for it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    n = max(cores, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *keys)
