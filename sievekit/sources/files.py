@@ -36,10 +36,12 @@ def read_labelled_tsv(spark: SparkSession, path: str, schema: T.StructType | str
 def with_row_uid(df: DataFrame, uid_col: str = "uid") -> DataFrame:
     """Add ``uid`` = row position (string, from 0) when the file has none.
 
-    Rows of a file scan count by path, place of the split and row; others in the
-    order of their partitions.  The rank is exact and made by Spark's range sort."""
+    Rows of a file scan, and of a table as the CSV readers return it, count by path, place of the split and row; others
+    in the order of their partitions.  The rank is exact and made by Spark's range sort."""
     if uid_col in df.columns:
         return df.withColumn(uid_col, F.col(uid_col).cast("string"))
+    if hasattr(df, "_with_places"):
+        return df._with_places(uid_col)
     keys = {"_sk_row": F.monotonically_increasing_id()}
     try:
         at = {"_sk_file": F.col("_metadata.file_path"), "_sk_block": F.col("_metadata.file_block_start")}

@@ -128,7 +128,10 @@ def read_quoted(spark: SparkSession, path: str, schema: T.StructType | str, sep:
     rows = rows.where(F.col("record") != "")
     parsed = F.from_csv("record", _ddl(schema), {"sep": sep, "quote": '"', "escape": '"'})
     if uid_col is None:
-        return rows.select(parsed.alias("r")).select("r.*")
+        out = rows.select(parsed.alias("r")).select("r.*")
+        # its rows do not show their places any more: whoever asks for them later reads them again with places
+        out._with_places = lambda name: read_quoted(spark, path, schema, sep, header, name)
+        return out
     # places: rows of earlier ranges, then the order in the range
     rows = rows.checkpoint(eager=True)
     before = rows.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n"))
