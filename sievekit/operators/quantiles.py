@@ -32,9 +32,9 @@ SMALL = 20_000
 MAX_INSIDE = 200_000
 
 
-def _sized(groups: DataFrame) -> DataFrame:
-    """A stored one-row-per-group table, broadcast if it is counted small."""
-    return F.broadcast(groups) if groups.limit(MAX_BROADCAST_GROUPS + 1).count() <= MAX_BROADCAST_GROUPS else groups
+def _sized(groups: DataFrame, n: int) -> DataFrame:
+    """A one-row-per-group table, broadcast if its counted size ``n`` is small."""
+    return F.broadcast(groups) if n <= MAX_BROADCAST_GROUPS else groups
 
 
 def rank_thresholds(df: DataFrame, by: Sequence[str], key: str, ties: Sequence[str], shares: Sequence[float],
@@ -56,12 +56,12 @@ def rank_thresholds(df: DataFrame, by: Sequence[str], key: str, ties: Sequence[s
         # the ends of the whole range stay open
         *(F.when(F.lit(lo[i] > 0.0), F.get("_q", F.lit(i))).alias(f"_lo{i}") for i in range(k)),
         *(F.when(F.lit(hi[i] < 1.0), F.get("_q", F.lit(k + i))).alias(f"_hi{i}") for i in range(k))).checkpoint(eager=True)
-    least, most = groups.agg(F.min("n"), F.max("n")).first()
+    least, most, n_groups = groups.agg(F.min("n"), F.max("n"), F.count(F.lit(1))).first()
     parts = []
     if least is None or least <= small:
-        parts.append(_in_small(df, groups.where(F.col("n") <= small), by, key, ties))
+        parts.append(_in_small(df, _sized(groups.where(F.col("n") <= small), n_groups), by, key, ties))
     if most is not None and most > small:
-        parts.append(_in_brackets(df, groups.where(F.col("n") > small), by, key, ties, k, max_inside))
+        parts.append(_in_brackets(df, _sized(groups.where(F.col("n") > small), n_groups), by, key, ties, k, max_inside, n_groups))
     found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     found = found.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("_i", "_row"))).alias("_m"))
     g, f = groups.alias("g"), found.alias("f")
@@ -72,7 +72,7 @@ def rank_thresholds(df: DataFrame, by: Sequence[str], key: str, ties: Sequence[s
     lost = F.exists(F.arrays_zip("_rank", "at"), lambda x: x["at"].isNull() & (x["_rank"] >= 1))
     if not out.where(lost).isEmpty():
         raise RuntimeError("a wanted rank lies outside its bracket: shares and ranks do not belong together")
-    return out.drop("_rank")
+    return _sized(out.drop("_rank"), n_groups)
 
 
 def _number(key: str) -> Column:
@@ -82,7 +82,7 @@ def _number(key: str) -> Column:
 
 def _in_small(df: DataFrame, groups: DataFrame, by: Sequence[str], key: str, ties: Sequence[str]) -> DataFrame:
     """``(*by, _i, _row)``: the wanted rows of small groups, each numbered once."""
-    a, b = df.select(*by, key, *ties).alias("a"), _sized(groups.select(*by, "_rank")).alias("b")
+    a, b = df.select(*by, key, *ties).alias("a"), groups.alias("b")
     rows = a.join(b, _null_safe_on(a, b, list(by)) if by else F.lit(True)).select(
         *(F.col(f"a.{c}").alias(c) for c in by), F.struct(*(F.col(f"a.{c}").alias(c) for c in (key, *ties))).alias("_row"), "b._rank")
     rows = rows.withColumn("_at", F.row_number().over(Window.partitionBy(*by).orderBy("_row")))
@@ -91,10 +91,10 @@ def _in_small(df: DataFrame, groups: DataFrame, by: Sequence[str], key: str, tie
 
 
 def _in_brackets(df: DataFrame, groups: DataFrame, by: Sequence[str], key: str, ties: Sequence[str], k: int,
-                 max_inside: int) -> DataFrame:
+                 max_inside: int, n_groups: int) -> DataFrame:
     """The same for groups with a bracket per rank."""
     order = F.struct(key, *ties)
-    a, b = df.select(*by, key, *ties).alias("a"), _sized(groups).alias("b")
+    a, b = df.select(*by, key, *ties).alias("a"), groups.alias("b")
     marked = a.join(b, _null_safe_on(a, b, list(by)) if by else F.lit(True)).select(
         "a.*", "b._rank", *(F.col(f"b._{e}{i}") for e in ("lo", "hi") for i in range(k)))
     v = _number(key)
@@ -110,7 +110,7 @@ def _in_brackets(df: DataFrame, groups: DataFrame, by: Sequence[str], key: str,
         rows = rows.withColumn("_at", F.row_number().over(Window.partitionBy(*by, "_i").orderBy("_row")))
     else:
         rows = distributed_rank(rows, ["_row"], [*by, "_i"], rank_col="_at")
-    r, w = rows.alias("r"), _sized(below).alias("w")
+    r, w = rows.alias("r"), _sized(below, n_groups).alias("w")
     rows = r.join(w, _null_safe_on(r, w, list(by)) if by else F.lit(True)).where(
         F.col("r._at") + F.get("w._below", F.col("r._i")) == F.get("r._rank", F.col("r._i")))
     return rows.select(*(F.col(f"r.{c}").alias(c) for c in by), F.col("r._i").alias("_i"), F.col("r._row").alias("_row"))
@@ -118,7 +118,7 @@ def _in_brackets(df: DataFrame, groups: DataFrame, by: Sequence[str], key: str,
 
 def with_thresholds(df: DataFrame, thresholds: DataFrame, by: Sequence[str]) -> DataFrame:
     """Rows of ``df`` with their group's ``n`` and ``at``."""
-    d, t = df.alias("d"), _sized(thresholds).alias("t")
+    d, t = df.alias("d"), thresholds.alias("t")
     return d.join(t, _null_safe_on(d, t, list(by)) if by else F.lit(True)).select("d.*", "t.n", "t.at")
 
 
