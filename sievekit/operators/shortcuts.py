@@ -26,6 +26,7 @@ from sievekit.operators.rank import distributed_rank
 from sievekit.operators.trees import root_label
 
 MAX_LABELS = 1000
+WRITTEN_OUT = 8  # labels up to which sums over them are written out instead of folded over arrays
 MI_ORDER_DIGITS = 10  # order by MI rounded to this many places, then by the feature
 
 
@@ -59,17 +60,33 @@ def count_columns(labels: Sequence, label_col: str = "y") -> list[Column]:
             for i, lab in enumerate(labels)]
 
 
+def _mi_columns(counted: DataFrame, totals: Sequence[int]) -> DataFrame:
+    """``mi`` from the columns ``_n0.._nk``: ``natural_mi`` with its sums written out, in the same order, so that they are
+    compiled; many labels go through its arrays."""
+    n = [F.col(f"_n{i}") for i in range(len(totals))]
+    if not 0 < len(n) <= WRITTEN_OUT:
+        tot = F.array(*[F.lit(int(t)).cast("long") for t in totals])
+        return counted.withColumn("mi", natural_mi(F.array(*n), tot))
+    cells = [((c + 1).cast("double"), (F.lit(int(t)).cast("long") - c + 1).cast("double")) for c, t in zip(n, totals)]
+    whole, one, mi = F.lit(0.0), F.lit(0.0), F.lit(0.0)
+    for c1, c0 in cells:
+        whole, one = whole + c1 + c0, one + c1
+    tot, pz1, pz0 = F.col("_tot"), F.col("_pz1"), F.lit(1.0) - F.col("_pz1")
+    for c1, c0 in cells:
+        py, p1, p0 = (c1 + c0) / tot, c1 / tot, c0 / tot
+        mi = mi + p1 * F.log(p1 / (py * pz1)) + p0 * F.log(p0 / (py * pz0))
+    return counted.withColumn("_tot", whole).withColumn("_pz1", one / tot).withColumn("mi", mi).drop("_tot", "_pz1")
+
+
 def with_mi(counted: DataFrame, labels: Sequence, totals: Sequence[int]) -> DataFrame:
     """From per-label count columns ``_n0.._nk`` add ``counts`` (array),
     ``count``, ``mi`` (natural log, +1 smoothing), ``majority`` (index of the
     first maximum), ``majority_label`` and ``pct_majority`` = max (n+1)/Σ(n+1)."""
     k = len(labels)
     arr = F.array(*[F.col(f"_n{i}") for i in range(k)])
-    tot = F.array(*[F.lit(int(t)).cast("long") for t in totals])
     lab = F.array(*[F.lit(x) for x in labels])
-    out = (counted.withColumn("counts", arr)
+    out = (_mi_columns(counted, totals).withColumn("counts", arr)
            .withColumn("count", F.aggregate(arr, F.lit(0).cast("long"), lambda a, x: a + x))
-           .withColumn("mi", natural_mi(arr, tot))
            .withColumn("majority", _argmax_first(arr)))
     plus = F.transform(F.col("counts"), lambda x: (x + 1).cast("double"))
     out = (out.withColumn("majority_label", F.element_at(lab, F.col("majority") + 1))
@@ -282,6 +299,14 @@ def ngrams(tokens, max_n: int) -> Column:
     return F.flatten(F.array(*[of_size(n) for n in range(1, max_n + 1)]))
 
 
+def gram_texts(tokens, n: int) -> Column:
+    """The distinct contiguous n-grams of a token column as texts, words joined by a blank.  Texts are told apart by hash;
+    ``array_distinct`` of arrays or structs would compare all of them two by two."""
+    t = F.col(tokens) if isinstance(tokens, str) else tokens
+    starts = F.when(F.size(t) >= n, F.sequence(F.lit(0), F.size(t) - n)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(t, i + k) for k in range(n)])))
+
+
 def pair_ngram_features(pairs: DataFrame, patterns: DataFrame, id_col: str = "uid",
                         a_col: str = "a_tokens", b_col: str = "b_tokens",
                         max_n: int = 3, max_m: int = 3) -> DataFrame:

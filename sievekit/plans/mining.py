@@ -610,11 +610,9 @@ def q_equivalent_group_tables(spark, sf):
     toks = ex.select(F.col("id").alias("uid"), "y", TX.tokens_basic("text").alias("t"))
 
     def of_size(n):
-        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size("t"), F.lit(1))), lambda i: i + (n - 1) <= F.size("t"))
-        return F.transform(starts, lambda i: F.struct(F.lit(f"({n}-gram *)").alias("tpl"),
-                                                      F.array_join(F.slice("t", i, n), " ").alias("yield")))
-    sized = F.flatten(F.array(*[of_size(n) for n in (1, 2, 3)]))
-    grams = toks.select("uid", "y", F.explode(F.array_distinct(sized)).alias("g")).select("uid", "y", "g.tpl", "g.yield")
+        return F.transform(SC.gram_texts("t", n), lambda g: F.struct(F.lit(f"({n}-gram *)").alias("tpl"), g.alias("yield")))
+    sized = F.concat(*[of_size(n) for n in (1, 2, 3)])      # sizes differ in ``tpl``
+    grams = toks.select("uid", "y", F.explode(sized).alias("g")).select("uid", "y", "g.tpl", "g.yield")
     acc, found = _acc(spark, sf), []
     for inc in (_incidence(spark, sf), grams.checkpoint(eager=True)):
         topk = SC.topk_features(SC.feature_mi(inc, ex), K_TOP).checkpoint(eager=True)
