@@ -72,8 +72,8 @@ def _trees(spark, sf):
     return ex.select(F.col("id").alias("uid"), "y", TR.flat_tree(TX.tokens_basic("text")).alias("tree"))
 
 
-def _nodes(spark, sf):
-    return TR.tree_nodes(_trees(spark, sf), "tree")
+def _nodes(spark, sf, *columns):
+    return TR.tree_nodes(_trees(spark, sf), "tree", columns=columns)
 
 
 def _incidence(spark, sf):
@@ -96,7 +96,7 @@ _NODE_COLS = ["node_no", "root", "tpl", "yield", "depth", "n_leaves"]
 
 @register("tree_nodes", TREES_SQL + "SELECT id AS uid, node_no, root, tpl, yield, depth, n_leaves FROM nodes")
 def q_tree_nodes(spark, sf):
-    return _nodes(spark, sf).select("uid", *_NODE_COLS)
+    return _nodes(spark, sf, *_NODE_COLS).select("uid", *_NODE_COLS)
 
 
 @register("explode_tree", TREES_SQL + "SELECT id AS uid, node_no, root, tpl, yield, depth, n_leaves FROM nodes")
@@ -109,23 +109,23 @@ def q_explode_tree(spark, sf):
 
 @register("tree_templates", TREES_SQL + "SELECT id AS uid, node_no, tpl FROM nodes")
 def q_tree_templates(spark, sf):
-    return _nodes(spark, sf).select("uid", "node_no", "tpl")
+    return _nodes(spark, sf, "node_no", "tpl").select("uid", "node_no", "tpl")
 
 
 @register("tree_spans", TREES_SQL + "SELECT id AS uid, node_no, yield FROM nodes")
 def q_tree_spans(spark, sf):
-    return _nodes(spark, sf).select("uid", "node_no", "yield")
+    return _nodes(spark, sf, "node_no", "yield").select("uid", "node_no", "yield")
 
 
 @register("template_depth", TREES_SQL + "SELECT id AS uid, node_no, depth FROM nodes")
 def q_template_depth(spark, sf):
-    return _nodes(spark, sf).select("uid", "node_no", "depth")
+    return _nodes(spark, sf, "node_no", "depth").select("uid", "node_no", "depth")
 
 
 @register("root_label", TREES_SQL + """
 SELECT DISTINCT tpl, regexp_extract(tpl, '^\\(([^ ]*) ', 1) AS root FROM nodes""")
 def q_root_label(spark, sf):
-    return _nodes(spark, sf).select("tpl").distinct().select("tpl", TR.root_label("tpl").alias("root"))
+    return _nodes(spark, sf, "tpl").select("tpl").distinct().select("tpl", TR.root_label("tpl").alias("root"))
 
 
 @register("root_production", TREES_SQL + """
@@ -136,13 +136,13 @@ SELECT id AS uid, node_no, root AS lhs,
             || CASE WHEN n_children = 1 THEN ',' ELSE '' END || ')' END AS rhs
 FROM (SELECT n.*, t.t[n.node_no] AS yield_raw FROM nodes n JOIN toks t ON n.id = t.id)""")
 def q_root_production(spark, sf):
-    return _nodes(spark, sf).select("uid", "node_no", "lhs", "rhs")
+    return _nodes(spark, sf, "node_no", "lhs", "rhs").select("uid", "node_no", "lhs", "rhs")
 
 
 @register("node_production")
 def q_node_production(spark, sf):
     """Printable node (``A -> 'w'`` / ``A -> B C``) and child count."""
-    return _nodes(spark, sf).select("uid", "node_no", "node", "n_children")
+    return _nodes(spark, sf, "node_no", "node", "n_children").select("uid", "node_no", "node", "n_children")
 
 
 @register("tree_parse_skipped")
@@ -171,7 +171,7 @@ def q_subtree_features_max_depth(spark, sf):
 @register("production_features")
 def q_production_features(spark, sf):
     """Grammar productions as binary features ``(lhs, rhs)`` per example."""
-    return _nodes(spark, sf).select("uid", "lhs", "rhs").distinct()
+    return _nodes(spark, sf, "lhs", "rhs").select("uid", "lhs", "rhs").distinct()
 
 
 @register("production_tree_features", TREES_SQL + """
@@ -179,13 +179,13 @@ SELECT id AS uid, 'S -> L L' AS node, yield FROM nodes WHERE n_children >= 2""")
 def q_production_tree_features(spark, sf):
     """Binary productions with the flattened subtree (its yield); nodes with at
     most one child are skipped."""
-    return _nodes(spark, sf).filter(F.col("n_children") >= 2).select("uid", "node", "yield")
+    return _nodes(spark, sf, "node", "yield", "n_children").filter(F.col("n_children") >= 2).select("uid", "node", "yield")
 
 
 @register("tree_feature_rows", TREES_SQL + """
 SELECT id AS uid, y, CASE WHEN y = 1 THEN 'toxic' ELSE 'non-toxic' END AS label, yield AS span, tpl, root FROM nodes""")
 def q_tree_feature_rows(spark, sf):
-    n = _nodes(spark, sf)
+    n = _nodes(spark, sf, "yield", "tpl", "root")
     lab = F.element_at(F.array(*[F.lit(x) for x in LABEL_NAMES]), F.col("y") + 1)
     return n.select("uid", "y", lab.alias("label"), F.col("yield").alias("span"), "tpl", "root")
 
@@ -276,8 +276,8 @@ def _group_cols(g):
 
 def _merged(spark, sf, by_template=False):
     inc = _incidence(spark, sf)
-    return SC.merge_by_majority(inc, _examples(spark, sf), _topk(spark, sf, inc=inc),
-                                by_template=by_template)
+    topk = _topk(spark, sf, inc=inc).checkpoint(eager=True)     # K rows, used in several places
+    return SC.merge_by_majority(inc, _examples(spark, sf), topk, by_template=by_template)
 
 
 GROUPS_ROOT_SQL = _groups_sql("regexp_extract(tpl, '^\\(([^ ]*) ', 1)")
@@ -408,8 +408,8 @@ sc AS (SELECT g.group_key, g.group_j,
 def _sc(spark, sf, with_ginc=False):
     inc = _incidence(spark, sf)
     ex = _examples(spark, sf)
-    topk = _topk(spark, sf, inc=inc)
-    groups = SC.merge_by_majority(inc, ex, topk)
+    topk = _topk(spark, sf, inc=inc).checkpoint(eager=True)     # K rows, used in several places
+    groups = SC.merge_by_majority(inc, ex, topk).checkpoint(eager=True)
     ginc = SC.group_incidence(inc, SC.group_members(topk, [0, 1]))
     sc = SC.support_counter_accuracy(ginc, groups, _acc(spark, sf))
     return (groups, sc, ginc) if with_ginc else (groups, sc)
@@ -503,14 +503,14 @@ def q_split_accuracy(spark, sf):
 
 @register("yield_equals", TREES_SQL + "SELECT DISTINCT id AS uid, tpl FROM nodes WHERE yield = 'the'")
 def q_yield_equals(spark, sf):
-    return _nodes(spark, sf).filter(F.col("yield") == "the").select("uid", "tpl").distinct()
+    return _nodes(spark, sf, "yield", "tpl").filter(F.col("yield") == "the").select("uid", "tpl").distinct()
 
 
 @register("merge_greedy")
 def q_merge_greedy(spark, sf):
     """Greedy MI merge of the top-1000 features, per root label."""
     inc = _incidence(spark, sf)
-    topk = SC.topk_features(SC.feature_mi(inc, _examples(spark, sf)), 1000)
+    topk = SC.topk_features(SC.feature_mi(inc, _examples(spark, sf)), 1000).checkpoint(eager=True)
     g = SC.merge_greedy(inc, _examples(spark, sf), topk)
     return g.select("group_key", "g", r6("mi").alias("mi"), "count", "counts", "examples")
 
@@ -536,7 +536,7 @@ def q_subtree_features_scfg(spark, sf):
 @register("subtree_to_ngram_pair")
 def q_subtree_to_ngram_pair(spark, sf):
     """Synchronous yields split at the last ``/`` into (left n-gram, right n-gram)."""
-    n = TR.tree_nodes(_pair_trees(spark, sf)[1], "tree", scfg=True)
+    n = TR.tree_nodes(_pair_trees(spark, sf)[1], "tree", scfg=True, columns=("node_no", "yield"))
     u, v = SC.subtree_to_ngram_pair("yield")
     return n.select("uid", "node_no", "yield", u.alias("u"), v.alias("v"))
 

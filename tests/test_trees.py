@@ -38,3 +38,25 @@ def test_deep_tree_no_recursion_limit():
     s = "".join("(A " for _ in range(depth)) + "w" + ")" * depth
     rows = TR.nodes(TR.parse(s))
     assert len(rows) == depth and rows[-1][4] == depth
+
+
+def test_one_pass_rows_are_the_trees_rows():
+    """Nested, empty, bare and malformed trees: ``node_columns`` against ``nodes`` of the parsed tree."""
+    odd = [PCFG, SCFG, "(S)", "()", "(S ())", "(S (A) w (B x y_z))", "((A b) c)", "( S ( L  w ) )", "w", "", "(S (L w)) (S (L v))",
+           "(S (L w)", "(S w))", "(S _ (L _) (L a__b))", "(A (B (C d) (C d)))", "(S (L it's) (L \"))", "(L a/) ", "(L /b)"]
+    for s in odd:
+        for scfg in (False, True):
+            t = TR.parse(s)
+            want = None if t is None else TR.nodes(t, scfg)
+            assert TR.node_columns(s, scfg, TR.NODE_COLS) == want, s
+            for depth in (None, 1, 2):
+                pairs = None if t is None else list(dict.fromkeys((r[2], r[3]) for r in want if depth is None or r[4] <= depth))
+                assert TR.node_columns(s, scfg, ("tpl", "yield"), depth, True) == pairs, s
+    assert TR.node_columns(None) is None
+
+
+def test_only_asked_columns_are_sent(spark):
+    df = spark.createDataFrame([("u", PCFG)], "uid string, tree string")
+    got = TR.tree_nodes(df, columns=("node_no", "tpl"))
+    assert got.columns == ["uid", "node_no", "tpl"]
+    assert [tuple(r) for r in got.collect()] == [("u", r["node_no"], r["tpl"]) for r in TR.tree_nodes(df).collect()]
