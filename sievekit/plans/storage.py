@@ -68,9 +68,10 @@ def q_load_examples_csv(spark, sf):
 @register("load_examples_by_position", EX + """
 SELECT CAST(row_number() OVER (ORDER BY id) - 1 AS VARCHAR) AS uid, text, y AS label FROM examples""")
 def q_load_examples_by_position(spark, sf):
-    """One file without ids, written in id order: the uid is the row's place in it, whatever splits it is read in."""
+    """Files without ids, written in id order (a file holds a range of ids): the uid is the row's place in them, whatever
+    splits they are read in."""
     path = FS.scratch_path(spark, "positions_csv")
-    ex = X.examples(spark, sf).select("id", "text", F.col("y").alias("label")).orderBy("id").coalesce(1)
+    ex = X.examples(spark, sf).select("id", "text", F.col("y").alias("label")).orderBy("id")
     _write_csv(ex.select("text", "label"), path)
     return FS.load_examples(FS.read_labelled_csv(spark, path, "text string, label int", uid_col="uid")).select("uid", "text", "label")
 
