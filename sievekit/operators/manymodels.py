@@ -64,15 +64,22 @@ def _dense(words: pa.Array, features: int) -> np.ndarray:
     off = words.offsets.to_numpy().astype(np.int64)
     flat = words.values.to_numpy(zero_copy_only=False)[off[0]:off[-1]]
     row = np.repeat(np.arange(len(words)), np.diff(off))
-    x = np.bincount(row * (features + 1) + flat, minlength=len(words) * (features + 1)).reshape(len(words), features + 1).astype(float)
-    size = np.linalg.norm(x, axis=1, keepdims=True)
-    x /= np.where(size > 0, size, 1.0)
+    x = np.zeros((len(words), features + 1))
+    cells, at = x.reshape(-1), row * (features + 1) + flat
+    np.add.at(cells, at, 1.0)
+    count = cells[at]       # each word's count, once per occurrence: their sum is the sum of squares
+    size = np.sqrt(np.bincount(row, weights=count, minlength=len(words)))
+    cells[at] = count / size[row]
     x[:, -1] = 1.0
     return x
 
 
 def _matrix(col: pa.Array, missing: float) -> np.ndarray:
-    return np.array([[missing if v is None else v for v in row] for row in col.to_pylist()], dtype=float)
+    """Lists of one length as rows of a matrix."""
+    flat = col.flatten()
+    if col.null_count or len(flat) % max(len(col), 1):
+        return np.array([[missing if v is None else v for v in row] for row in col.to_pylist()], dtype=float)
+    return flat.fill_null(missing).to_numpy(zero_copy_only=False).astype(float).reshape(len(col), -1)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

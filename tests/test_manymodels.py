@@ -81,3 +81,19 @@ def test_ensemble_learns_and_does_not_depend_on_partitions(spark, table):
     assert len(a) == 900 and all(abs(a[k][1] - b[k][1]) < 1e-9 for k in a)
     y = {r.id: r.y for r in table.collect()}
     assert np.mean([(p[1] > .5) == y[i] for (i, _), p in a.items()]) > .8
+
+
+def test_dense_rows_are_scaled_counts():
+    """Empty and null texts, repeats and slices of a batch."""
+    import pyarrow as pa
+    words = pa.array([[], None, [1], [3, 3, 3, 7], [0] * 50], pa.list_(pa.int32()))
+
+    def whole(lists, features):
+        x = np.array([np.bincount(r or [], minlength=features + 1) for r in lists.to_pylist()], dtype=float)
+        size = np.linalg.norm(x, axis=1, keepdims=True)
+        x /= np.where(size > 0, size, 1.0)
+        x[:, -1] = 1.0
+        return x
+    assert (MM._dense(words, 8) == whole(words, 8)).all()
+    assert (MM._dense(words.slice(2, 2), 8) == whole(words.slice(2, 2), 8)).all()
+    assert (MM._matrix(pa.array([[1, None], [2, 3]]).slice(1), -1) == [[2, 3]]).all()
